@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, to be deleted with drop_stored()."""
+    path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back.
 
@@ -34,9 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     of what went before. The files go when the Python process ends, or with drop_stored().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
