@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB SQL."""
 
-from tidemill.llm import bpe, licenses, mixing, simple8b, spotsigs
+from tidemill.llm import bpe, language, licenses, mixing, quality, simple8b, spotsigs
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_fingerprints": spotsigs.op2_fingerprints,
     "op3_token_files": simple8b.op3_token_files,
+    "op5_quality": quality.op5_quality,
+    "op8_language": language.op8_language,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_bpe": bpe.op10_bpe,
 }
