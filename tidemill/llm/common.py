@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +130,23 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, mix((total[end] - total[begin]) * down[begin])
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their workers import it by name."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        package = Path(__file__).resolve().parent.parent
+        archive = os.path.realpath(os.path.join(tempfile.mkdtemp(), f"{package.name}.zip"))
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(archive)
+
+
 def batches(spark: SparkSession, rows: int) -> None:
-    """Rows in an Arrow batch for the Python stages that follow; texts may be long, so batches are small."""
+    """Prepare for the Python stages that follow: rows in an Arrow batch (texts may be long, so few), and the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
