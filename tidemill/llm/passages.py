@@ -277,5 +277,35 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.select("_row.doc_id", "_text", "_runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the bytes that an earlier one holds, with their own columns; those of which nothing is left go.
+
+    A cut may fall inside a character at either end of a passage; what is left of that character goes as well. n_chars,
+    where there is such a column, follows the text. Null and empty texts lost nothing and stay as they are.
+    """
+    own = docs.columns
+    rows = _with_runs(docs, LENGTH)
+    shape = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")).schema["_row"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts, changed = [], []
+            for text, runs in zip(part.column("_text").to_pylist(), part.column("_runs").to_pylist(), strict=True):
+                raw = text.encode()
+                a, b = removal(len(raw), runs, LENGTH)
+                texts.append(b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)).decode("utf-8", "ignore"))
+                changed.append(len(a) > 0)
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(changed)], names=["_row", "_new", "_changed"])
+
+    batches(spark, 1000)
+    cut = rows.select("_row", "_text", "_runs").mapInArrow(run, f"_row {shape}, _new string, _changed boolean")
+    cut = cut.filter(~F.col("_changed") | (F.trim("_new") != ""))
+    out = {c: F.col(f"_row.`{c}`") for c in own}
+    out["text"] = F.when(F.col("_changed"), F.col("_new")).otherwise(out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("_changed"), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return cut.select(*[v.alias(c) for c, v in out.items()])
+
+
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(read(spark, sf_dir, "documents"))
