@@ -1,4 +1,48 @@
 """All queries of the relational part, with their DuckDB SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """t.orders is the table of orders in the folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its own name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from tidemill.plans import (  # noqa: E402, F401  these fill the registry
+    aggregation,
+    functions_queries,
+    hierarchy_queries,
+    joins_queries,
+    windows_queries,
+    write_queries,
+)
