@@ -12,10 +12,12 @@ no task holds more than its bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import read, shuffle_width
+from tidemill.llm.common import read, shuffle_width, stored
 
 #: Very common words of four languages.
 ANCHORS = (
@@ -80,7 +82,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, W
     are dealt into buckets at approximate quantiles; the driver gets one id a bucket. The first id of each bucket is also
     sent to the bucket before.
     """
-    buckets = buckets or max(64, 4 * shuffle_width(docs.sparkSession))
+    buckets = buckets or max(64, shuffle_width(docs.sparkSession))
     docs = docs.select("doc_id", "text")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first().q or []
     edges = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
@@ -121,5 +123,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def length_partition(n: Column, threshold: float = THRESHOLD) -> Column:
+    """The partition of a set of n signatures. Borders grow by 1 / threshold, so that sets two or more partitions apart can't
+    reach it."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(math.log(1 / threshold))).cast("int")
+
+
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs a < b of documents with a likeness of threshold or more: a, b, likeness. Of documents with equal sets only the
+    one with the smallest id takes part (`fingerprints` tells the copies: their fingerprints are equal).
+
+    Partitions by set length: each set is looked up in its own partition and the next. Within them, two sets that reach the
+    threshold share a signature among the n - ceil(threshold * n) + 1 rarest of each, so only these are joined on; then
+    pairs whose lengths alone rule it out are dropped, and the rest compared. Texts without words match nothing.
+    """
+    sets = docs.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", signatures(F.col("w")).alias("sigs")).filter("doc_id IS NOT NULL AND size(sigs) > 0")
+    sets = stored(sets.groupBy("sigs").agg(F.min("doc_id").alias("doc_id")), "spot-sets")
+    each = sets.select("doc_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "sig").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("by"))
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
+    rare = ranked.select("doc_id", "n", length_partition(F.col("n"), threshold).alias("part"), F.explode(F.transform(F.slice("by", F.lit(1), keep), lambda s: s["sig"])).alias("sig"))
+    left = rare.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("ap"))
+    right = rare.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), "sig", "part")
+    both = left.join(right, ["sig", "part"]).filter((F.col("a") != F.col("b")) & ((F.col("ap") < F.col("part")) | (F.col("a") < F.col("b"))))
+    both = both.filter(F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("y"))
+    return both.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).filter(F.col("likeness") >= threshold)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
