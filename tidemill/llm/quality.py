@@ -24,7 +24,10 @@ MAX_ROWS = 2500
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 DIM = 8
+#: Passes over the sample; more over a small one, until about this many rows have been seen, but MOST_EPOCHS at most.
 EPOCHS = 6
+ROWS_SEEN = 12_000
+MOST_EPOCHS = 30
 RATE = 0.5
 BATCH = 32
 CUT = 0.7
@@ -85,7 +88,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     vectors = (rng.standard_normal((BUCKETS + 1, DIM)) * 0.1).astype(np.float32)
     layer, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
     seen_v, seen_l, seen_b = np.full((BUCKETS + 1, DIM), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    for _ in range(EPOCHS):
+    # both labels weigh the same, however many rows of each there are
+    weight = (len(labels) / 2 / np.bincount(labels, minlength=2))[labels].astype(np.float32)
+    for _ in range(min(MOST_EPOCHS, max(EPOCHS, -(-ROWS_SEEN // len(labels))))):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
@@ -100,7 +105,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), labels[rows]] -= 1
-            p /= len(rows)
+            p *= weight[rows, None] / len(rows)
             step_h, step_l, step_b = p @ layer.T, hidden.T @ p, p.sum(0)
             touched, back = np.unique(own, return_inverse=True)
             step = np.stack([np.bincount(back, weights=share * step_h[of, d], minlength=len(touched)) for d in range(DIM)], 1).astype(np.float32)
