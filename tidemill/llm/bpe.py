@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -132,7 +133,7 @@ class WordBpe:
         """The tokens of each word (byte letters)."""
         proposed = [self.propose(w) for w in words]
         sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum()))
         of = np.repeat(np.arange(len(words)), sizes)
         inside = np.flatnonzero(of[1:] == of[:-1]) if len(of) else np.zeros(0, np.int64)
         bad = np.unique(of[inside[~self.compatible(flat[inside], flat[inside + 1])]]) if len(inside) else []
@@ -156,13 +157,13 @@ class WordBpe:
             return [p.encode().decode("latin-1").translate(self.letters) for p in _PIECES.findall(chunk.lower())]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         pieces = [self.pieces(c) for c in chunks]
         words = list({w for p in pieces for w in p if isinstance(w, str)})
         tokens = dict(zip(words, self.words(words), strict=True))
         out = [[t for w in p for t in (tokens[w] if isinstance(w, str) else (w,))] for p in pieces]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((t for o in out for t in o), np.uint32, int(sizes.sum())), sizes
+        return chunks, np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
 
     @staticmethod
     def chunks(text: str) -> list[str]:

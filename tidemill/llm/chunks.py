@@ -3,48 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable
+from itertools import chain
 
 import numpy as np
 
 
+class _Index(dict):
+    """Numbers for chunks in the order in which they come; new ones are listed until they have been encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, chunk):
+        self.new.append(chunk)
+        number = len(self)
+        self[chunk] = number
+        return number
+
+
 class ChunkStore:
     """Ids of chunks, by chunk. Holds at most about `limit` chunks and the largest batch's; then it starts anew."""
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 800_000):
-        """encode: ids of all the given chunks one after another, and how many each has."""
+    def __init__(self, encode: Callable[[list], tuple[list, np.ndarray, np.ndarray]], limit: int = 1_500_000):
+        """encode: the given chunks in some order (and others, if it has them), the ids of all of them in that order, and how
+        many each has."""
         self.encode, self.limit = encode, limit
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[Hashable, int] = {}
+        self.index = _Index()
+        self.encoded = 0  # numbers below this have ids
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _add(self, chunks: list) -> None:
-        ids, lengths = self.encode(chunks)
-        n, at = len(self.index), self.used
-        while n + len(chunks) > len(self.starts):
+    def _add(self) -> None:
+        chunks, ids, lengths = self.encode(self.index.new)
+        numbers = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        while len(self.index) > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
-        while at + len(ids) > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[at : at + len(ids)] = ids
-        self.lengths[n : n + len(chunks)] = lengths
-        self.starts[n : n + len(chunks)] = at + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[numbers] = lengths
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.index.new.clear()
+        self.encoded = len(self.index)
 
     def ids(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each a list of chunks, one after another; how many each text has."""
         if len(self.index) > self.limit:
             self._reset()
-        seen: set = set()
-        for chunks in texts:
-            seen.update(chunks)
-        if missing := [c for c in seen if c not in self.index]:
-            self._add(missing)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        get = self.index.__getitem__
-        codes = np.fromiter((i for chunks in texts for i in map(get, chunks)), np.int64, int(sizes.sum()))
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        if self.index.new:
+            self._add()
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

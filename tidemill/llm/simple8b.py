@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -132,11 +133,12 @@ def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class PieceEncoder:
     """Ids of a byte-level BPE file's tokenizer, by the tokenizers library, once for each distinct piece.
 
-    A text may be cut before a single space that stands between two characters other than white space: the splitting
-    pattern starts a new word there, whatever surrounds it, so the ids of the pieces are those of the text.
+    A text may be cut before a single space or line feed that stands between two characters other than white space: the
+    splitting pattern starts a new word there, whatever surrounds it, so the ids of the pieces are those of the text. Where
+    all white space is like that, a piece is known by its word, with the line feed before it but without the space.
+    Other pieces, and the first of a text, are tuples with the piece as it is.
     """
 
-    _ODD = re.compile(r"\s\s|[^\S ]$| $|^\s|\s | \s")
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -146,20 +148,74 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.store = ChunkStore(self._encode)
-
-    def _encode(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        found = self.library.encode_batch_fast([p[0] if isinstance(p, tuple) else " " + p for p in pieces], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+        tokens = self.library.get_vocab()
+        self.begins = np.zeros(max(tokens.values()) + 1, bool)
+        self.begins[[i for t, i in tokens.items() if t[0] in "\u0120\u010a"]] = True  # a space, a line feed
+
+    def _encode(self, pieces: list) -> tuple[list, np.ndarray, np.ndarray]:
+        plain, tailed, others = [], [], []
+        known, encoded = self.store.index, self.store.encoded
+        for p in list(pieces):
+            if type(p) is not str or "<|" in p:
+                others.append(p)
+            elif (core := p.rstrip(".,;:!?")) != p and core and core[-1].isalpha():
+                # marks after a letter are a word of their own
+                tailed.append((p, core))
+                if core not in known:
+                    known[core]  # it gets a number as well
+                    plain.append(core)
+            else:
+                plain.append(p)
+        ids, sizes = [], []
+        for k in range(0, len(plain), 5000):
+            # many pieces as one text: each begins with the only white space that it has
+            part = plain[k : k + 5000]
+            got = np.array(self.library.encode_batch_fast(["".join([p if p[0] == "\n" else " " + p for p in part])], add_special_tokens=False)[0].ids, np.uint32)
+            begin = np.flatnonzero(self.begins[got])
+            if len(begin) != len(part):
+                raise ValueError("the tokenizer doesn't start a word at white space")
+            ids.append(got)
+            sizes.append(np.diff(begin, append=len(got)))
+        if others:
+            got, size = self._one_by_one([p[0] if type(p) is tuple else p if p[0] == "\n" else " " + p for p in others])
+            ids.append(got)
+            sizes.append(size)
+        new, new_sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, sizes))
+        if not tailed:
+            return plain + others, new.astype(np.uint32), new_sizes
+        # cores from what was known before or is new; then their marks
+        place = {p: i for i, p in enumerate(plain)}
+        base, starts = self.store.used, np.cumsum(new_sizes) - new_sizes
+        pool = np.concatenate([self.store.flat[:base], new.astype(np.uint32)])
+        at = np.fromiter((n if (n := known[c]) < encoded else -1 - place[c] for _, c in tailed), np.int64, len(tailed))
+        old = at >= 0
+        first, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        first[old], size[old] = self.store.starts[at[old]], self.store.lengths[at[old]]
+        first[~old], size[~old] = base + starts[-1 - at[~old]], new_sizes[-1 - at[~old]]
+        marks = list({p[len(c) :] for p, c in tailed})
+        mark_ids, mark_sizes = self._one_by_one(marks)
+        mark_at = dict(zip(marks, range(len(marks)), strict=True))
+        mark = np.fromiter((mark_at[p[len(c) :]] for p, c in tailed), np.int64, len(tailed))
+        pool = np.concatenate([pool, mark_ids])
+        both = np.stack([first, len(pool) - len(mark_ids) + (np.cumsum(mark_sizes) - mark_sizes)[mark]], 1).ravel()
+        both_sizes = np.stack([size, mark_sizes[mark]], 1).ravel()
+        whole = pool[_ranges(both, both_sizes)]
+        return plain + others + [p for p, _ in tailed], np.concatenate([new.astype(np.uint32), whole]), np.concatenate([new_sizes, size + mark_sizes[mark]])
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
     def _pieces(self, text: str) -> list:
-        """The first piece as a tuple, the others without the space before them."""
         if not text:
             return []
-        parts = self._CUT.split(text) if self._ODD.search(text) else text.split(" ")
-        parts[0] = (parts[0],)
-        return parts
+        if text.split() == text.replace("\n", " ").split(" "):
+            parts = text.replace("\n", " \n").split(" ")
+            parts[0] = (parts[0],)
+            return parts
+        parts = self._CUT.split(text)
+        return [(parts[0],), *[(" " + p,) for p in parts[1:]]]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, sizes) of runs of texts."""
@@ -213,9 +269,10 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
 def write_files(docs: DataFrame, where: str, path: str, end_id: int | None = 0) -> None:
     """Write the ids of all documents to the folder `where` in ascending doc_id order (rows without an id first, equal ids in any
     order). Part numbers and places within a part give the order of the whole."""
-    coded = encode(docs, path, end_id)
+    # texts are dealt by id before they are encoded: dealing by range looks at its input twice
     parts = max(1, shuffle_width(docs.sparkSession))
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = encode(docs.select("doc_id", "text").repartitionByRange(parts, order).sortWithinPartitions(order), path, end_id)
     placed = ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
     placed.write.option("compression", "none").parquet(where)
 
