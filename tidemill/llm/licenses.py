@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import read
+from tidemill.llm.common import read, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -62,7 +62,11 @@ def template_sections(templates: dict[str, str]) -> list[tuple[str, int, list[li
 
 def _signature(hashes: Column) -> Column:
     """(band, minimum) pairs of a set of shingle hashes."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(hashes, lambda h, b=b: F.xxhash64(h, F.lit(b)))).alias("low")) for b in range(BANDS)])
+
+    def low(band: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+
+    return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(BANDS)])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -88,6 +92,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     places = F.filter(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: hashed(i).isin(known))
     hits = at.filter(F.size("words") >= SHINGLE).select("doc_id", F.explode(F.transform(places, lambda i: F.struct(i.alias("word"), hashed(i).alias("shingle")))).alias("hit")).select("doc_id", "hit.*")
+    hits = stored(hits, "license-hits")
     step = F.floor(F.col("word") / STEP)
     windows = hits.withColumn("window", F.explode(F.when(step > 0, F.array(step, step - 1)).otherwise(F.array(step)))).groupBy("doc_id", "window").agg(F.collect_set("shingle").alias("shingles"))
     bands = windows.select("doc_id", "window", F.explode(_signature(F.col("shingles"))).alias("b")).select("doc_id", "window", "b.*")
