@@ -41,7 +41,7 @@ TEXTS = _texts()
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i * 3, t, None if i % 7 == 0 else ("en", "de")[i % 2], None if i % 5 == 0 else f"s{i % 2}", len(t or ""), "w", i, 1, 0) for i, t in enumerate(TEXTS)]
-    rows += [rows[3], rows[20]]  # repeated rows
+    rows += [rows[3], rows[20], rows[21]]  # repeated rows
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -51,7 +51,7 @@ def empty(docs):
 
 
 def pairs():
-    return [(i * 3, t or "") for i, t in enumerate(TEXTS)] + [(9, TEXTS[3]), (60, TEXTS[20])]
+    return [(i * 3, t or "") for i, t in enumerate(TEXTS)] + [(9, TEXTS[3]), (60, TEXTS[20]), (63, TEXTS[21])]
 
 
 def words(text):

@@ -44,14 +44,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored() -> None:
-    """Delete what stored() has written so far."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def written() -> int:
+    """How many folders have been written so far: a mark for drop_stored()."""
+    return len(_WRITTEN)
+
+
+def drop_stored(start: int = 0, stop: int | None = None) -> None:
+    """Delete what has been written from one mark to another."""
+    gone = _WRITTEN[start:stop]
+    del _WRITTEN[start:stop]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,9 +5,9 @@ stretch of LENGTH bytes is therefore given a key by its own content: the smalles
 Equal stretches have equal keys, so
 
 1. keys that occur in one document only are dropped (a count that is combined before the shuffle);
-2. for the others, the bytes around each occurrence go to the task of their key. Equal bytes are one row by then, with the
+2. for the others, the bytes around each occurrence go to the task of their key. Equal bytes (by 128 bits: their key and a digest) are one row by then, with the
    smallest document that has them;
-3. a task builds suffix arrays of what it gets, in blocks of whole keys and bounded size, by two-stage sorting, and compares
+3. a task leaves out what can't match (both sides of the key's gram unlike all others') and builds suffix arrays of the rest, in blocks of whole keys and bounded size, by two-stage sorting, and compares
    adjacent suffixes: runs with LENGTH common bytes are equal stretches, and the smallest document of a run is their source;
 4. what is to be removed goes back to the documents.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, joined, mix, powers, read, shuffle_width, stored
+from tidemill.llm.common import batches, drop_stored, joined, mix, powers, read, shuffle_width, stored, written
 from tidemill.llm.suffixes import common_prefixes, suffix_array, words
 
 LENGTH = 50
@@ -40,13 +41,18 @@ MAX_GROUP = 8192
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps: it acts on what has been collected as garbage."""
+    """Let Spark's cleaner delete the shuffle files of finished steps.
+
+    It acts on what the driver's JVM has collected as garbage, and the listeners keep the last query until another one has
+    ended: so a query of one row, then a collection."""
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
-def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts, and for every stretch: where it starts, its key, its text. Last, where each text starts."""
+def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """The bytes of all texts; for every stretch where it starts, its key and its text; where each text starts; and the hash
+    of the gram at each place."""
     buf, starts, lengths = joined(texts)
     n = len(buf)
     count = np.maximum(lengths - length + 1, 0)
@@ -54,41 +60,42 @@ def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     ends = np.cumsum(count)
     place = np.repeat(starts - ends + count, count) + np.arange(total)
     if not total:
-        return buf, place, np.zeros(0, np.uint64), place, starts
+        return buf, place, np.zeros(0, np.uint64), place, starts, np.zeros(0, np.uint64)
     up, down = powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    low = mix((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram])
+    grams = low = mix((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram])
     span, width = 1, length - gram + 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if width > span:
         low = np.minimum(low[: -(width - span)], low[width - span :])
-    return buf, place, low[place], np.repeat(np.arange(len(texts)), count), starts
+    return buf, place, low[place], np.repeat(np.arange(len(texts)), count), starts, grams
 
 
 def _keys(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id and key of every run of stretches with one key."""
+    """doc_id and key of every run of stretches with one key, and a number for the row's whole text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column("doc_id").to_numpy()
             texts = part.column("text").to_pylist()
+            whole = part.column("whole").to_numpy()
             for own in groups([t or "" for t in texts]):
-                _, _, key, of, _ = stretch_keys([(texts[i] or "").encode() for i in own], length)
+                _, _, key, of, _, _ = stretch_keys([(texts[i] or "").encode() for i in own], length)
                 if len(key):
                     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[np.array(own)][of[new]], pa.int64())], names=["key", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[np.array(own)][of[new]], pa.int64()), pa.array(whole[np.array(own)][of[new]], pa.int64())], names=["key", "doc_id", "whole"])
 
     batches(docs.sparkSession, 1000)
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("whole")).mapInArrow(run, "key long, doc_id long, whole long")
 
 
 def _surroundings(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, key, first (place of the first stretch), n (stretches), bytes (what they cover), for runs of stretches whose
-    key is in the row's array `keys`."""
+    key is in the row's array `keys`; at: where in them the gram with the key stands (-1: at several places)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -97,7 +104,7 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
             wanted = part.column("keys")
             for own in groups(texts):
                 raw = [texts[i].encode() for i in own]
-                buf, place, key, of, starts = stretch_keys(raw, length)
+                buf, place, key, of, starts, grams = stretch_keys(raw, length)
                 if not len(key):
                     continue
                 hot = np.unique(np.concatenate([wanted[i].values.to_numpy() for i in own])).view(np.uint64)
@@ -118,10 +125,16 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
                 whole = buf.tobytes()
                 covered = [whole[p : p + m + length - 1] for p, m in zip(place[first].tolist(), n.tolist(), strict=True)]
                 doc = of[first]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary())], names=["doc_id", "key", "first", "n", "bytes"])
+                # where the key's gram stands; -1 if it stands there more than once
+                at, from_, last = np.full(len(first), -1), place[first], n - 1 + length - GRAM
+                for o in range(MAX_RUN + length - GRAM):
+                    here = np.minimum(from_ + o, len(grams) - 1)
+                    hit = (o <= last) & (grams[here] == key[first])
+                    at = np.where(hit, np.where(at == -1, o, -2), at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(np.maximum(at, -1), pa.int16())], names=["doc_id", "key", "first", "n", "bytes", "at"])
 
     batches(docs.sparkSession, 1000)
-    return docs.mapInArrow(run, "doc_id long, key long, first long, n int, bytes binary")
+    return docs.mapInArrow(run, "doc_id long, key long, first long, n int, bytes binary, at short")
 
 
 def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -155,26 +168,40 @@ def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = L
     return out
 
 
+def can_match(rows: list[tuple], length: int = LENGTH, gram: int = GRAM) -> list[tuple]:
+    """Of the (bytes, at, ...) of one key those that can share a stretch with another. A stretch holds the gram, so it also
+    holds half of its other bytes on the left or on the right of it: rows of which both halves are unlike all others' go."""
+    if len(rows) < 2 or any(r[1] < 0 for r in rows):
+        return rows if len(rows) > 1 else []
+    half = (length - gram) // 2
+    left = [r[0][r[1] - half : r[1]] if r[1] >= half else None for r in rows]
+    right = [r[0][r[1] + gram : r[1] + gram + half] if r[1] + gram + half <= len(r[0]) else None for r in rows]
+    lefts, rights = Counter(left), Counter(right)
+    return [r for r, x, y in zip(rows, left, right, strict=True) if (x is not None and lefts[x] > 1) or (y is not None and rights[y] > 1)]
+
+
 def _sorted_blocks(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            runs = earlier_runs(texts, np.array(sources, np.int64), length)
+        def flush(rows):
+            runs = earlier_runs([r[0] for r in rows], np.array([r[4] for r in rows], np.int64), length)
             keep = [i for i, r in enumerate(runs) if r]
-            return pa.RecordBatch.from_arrays([pa.array([digests[i] for i in keep], pa.binary()), pa.array([[{"first": a, "past": b} for a, b in runs[i]] for i in keep], pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["digest", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i in keep], pa.int64()), pa.array([rows[i][3] for i in keep], pa.int64()), pa.array([[{"first": a, "past": b} for a, b in runs[i]] for i in keep], pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["key", "digest", "runs"])
 
-        texts, sources, digests, size, last = [], [], [], 0, None
+        block, size, group = [], 0, []
         for part in parts:
-            for key, digest, text, source in zip(part.column("key").to_pylist(), part.column("digest").to_pylist(), part.column("bytes").to_pylist(), part.column("source").to_pylist(), strict=True):
-                if key != last and size >= BLOCK_BYTES:
-                    yield flush()
-                    texts, sources, digests, size = [], [], [], 0
-                last = key
-                texts.append(text)
-                sources.append(source)
-                digests.append(digest)
-                size += len(text)
-        if texts:
-            yield flush()
+            for row in zip(*[part.column(c).to_pylist() for c in ("bytes", "at", "key", "digest", "source")], strict=True):
+                if group and row[2] != group[0][2]:
+                    found = can_match(group, length)
+                    block += found
+                    size += sum(len(r[0]) for r in found)
+                    group = []
+                    if size >= BLOCK_BYTES:
+                        yield flush(block)
+                        block, size = [], 0
+                group.append(row)
+        block += can_match(group, length)
+        if block:
+            yield flush(block)
 
     return run
 
@@ -182,14 +209,14 @@ def _sorted_blocks(length: int):
 def _one_by_one(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            digests, places, stretches, sources = [], [], [], []
-            for digest, text, source in zip(part.column("digest").to_pylist(), part.column("bytes").to_pylist(), part.column("source").to_pylist(), strict=True):
-                for p in range(len(text) - length + 1):
-                    digests.append(digest)
-                    places.append(p)
-                    stretches.append(hashlib.blake2b(text[p : p + length], digest_size=16).digest())
-                    sources.append(source)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.int32()), pa.array(stretches, pa.binary()), pa.array(sources, pa.int64())], names=["digest", "place", "stretch", "source"])
+            rows, places, stretches = [], [], []
+            for i, text in enumerate(part.column("bytes").to_pylist()):
+                n = len(text) - length + 1
+                rows += [i] * n
+                places += range(n)
+                stretches += [hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in range(n)]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("digest").take(at), pa.array(places, pa.int32()), pa.array(stretches, pa.binary()), part.column("source").take(at)], names=["key", "digest", "place", "stretch", "source"])
 
     return run
 
@@ -198,42 +225,51 @@ def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and runs [first, past): stretches of `length` bytes that also start in a document with a smaller id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    # whole copies: the first of them takes part; the others lose everything
+    texts = docs.filter(F.octet_length("text") >= length).select("doc_id", F.unhex(F.md5("text")).alias("text"), F.octet_length("text").alias("size"))
+    firsts = texts.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    ids = stored(texts.join(firsts, "text").select("doc_id", "size", (F.col("doc_id") > F.col("first_id")).alias("copy")), "passages-ids")
+    mark = written()
     keys = _keys(docs, length)
-    shared = stored(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key"), "passages-keys")
+    shared = stored(keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key"), "passages-keys")
     release(spark)
-    held = keys.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("doc_id", "_id")
-    held = stored(held, "passages-held")
+    held = keys.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    held = stored(held.join(ids.filter("NOT copy").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "_id"), "passages-held")
     release(spark)
     wide = _surroundings(docs.join(held, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "keys"), length)
-    wide = stored(wide.withColumn("digest", F.unhex(F.md5("bytes"))), "passages-wide")
+    wide = stored(wide.withColumn("digest", F.xxhash64("bytes")), "passages-wide")
+    drop_stored(mark, written() - 1)
     release(spark)
-    one = stored(wide.groupBy("key", "digest").agg(F.min("doc_id").alias("source"), F.min("bytes").alias("bytes")), "passages-one")
+    one = stored(wide.groupBy("key", "digest").agg(F.min("doc_id").alias("source"), F.min("bytes").alias("bytes"), F.min("at").alias("at")), "passages-one")
     release(spark)
     large = stored(one.groupBy("key").count().filter(F.col("count") > MAX_GROUP).select("key"), "passages-large")
-    shape = "digest binary, runs array<struct<first int, past int>>"
+    shape = "key long, digest long, runs array<struct<first int, past int>>"
     batches(spark, 4096)
-    small = one.join(large, "key", "left_anti").select("key", "digest", "bytes", "source")
+    small = one.join(large, "key", "left_anti").select("key", "digest", "bytes", "at", "source")
     dealt = small.repartition(2 * shuffle_width(spark), "key").sortWithinPartitions("key")
     runs = dealt.mapInArrow(_sorted_blocks(length), shape)
     if not large.isEmpty():
-        each = stored(one.join(large, "key", "left_semi").select("digest", "bytes", "source").mapInArrow(_one_by_one(length), "digest binary, place int, stretch binary, source long"), "passages-each")
+        each = stored(one.join(large, "key", "left_semi").select("key", "digest", "bytes", "source").mapInArrow(_one_by_one(length), "key long, digest long, place int, stretch binary, source long"), "passages-each")
         least = each.groupBy("stretch").agg(F.min("source").alias("least"))
-        found = each.join(least, "stretch").filter("least < source").groupBy("digest").agg(F.collect_list(F.struct(F.col("place").alias("first"), (F.col("place") + 1).alias("past"))).alias("runs"))
-        runs = runs.unionAll(found.select("digest", F.col("runs").cast("array<struct<first:int,past:int>>")))
+        found = each.join(least, "stretch").filter("least < source").groupBy("key", "digest").agg(F.collect_list(F.struct(F.col("place").alias("first"), (F.col("place") + 1).alias("past"))).alias("runs"))
+        runs = runs.unionAll(found.select("key", "digest", F.col("runs").cast("array<struct<first:int,past:int>>")))
     runs = stored(runs, "passages-runs")
     release(spark)
-    sources = one.select("digest", "source").join(runs, "digest", "left")
-    back = wide.select("doc_id", "first", "n", "digest").join(sources, "digest")
+    sources = one.select("key", "digest", "source").join(runs, ["key", "digest"], "left")
+    back = wide.select("doc_id", "first", "n", "key", "digest").join(sources, ["key", "digest"])
     # a later document with the same surroundings loses them all; the first one, what earlier ones hold of them
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("past")))
     part = F.when(F.col("doc_id") > F.col("source"), whole).otherwise(F.col("runs"))
     gone = back.select("doc_id", "first", part.alias("part")).filter(F.size("part") > 0)
     gone = gone.select("doc_id", F.transform("part", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["past"]).alias("past"))).alias("part"))
-    return gone.groupBy("doc_id").agg(F.flatten(F.collect_list("part")).alias("runs"))
+    found = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("part")).alias("runs"))
+    copies = ids.filter("copy").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("past"))).alias("runs"))
+    return found.unionAll(copies).groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def removal(size: int, runs: list | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the maximal runs of bytes that the stretches cover."""
+    runs = [r for r in runs or () if r["past"] + length - 1 <= size]
     if not runs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.zeros(size + 1, np.int32)
@@ -246,7 +282,10 @@ def removal(size: int, runs: list | None, length: int = LENGTH) -> tuple[np.ndar
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
-    runs = stored(covered_places(docs, length), "passages-runs-by-doc").withColumnRenamed("doc_id", "_run_id").withColumnRenamed("runs", "_runs")
+    mark = written()
+    found = stored(covered_places(docs, length), "passages-runs-by-doc")
+    drop_stored(mark, written() - 1)
+    runs = found.withColumnRenamed("doc_id", "_run_id").withColumnRenamed("runs", "_runs")
     release(spark)
     own = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
@@ -257,7 +296,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Texts are UTF-8 bytes; null texts are empty ones. Matches never cross documents. Rows of one doc_id don't remove each
-    other's text. Rows without a doc_id lose nothing and are nobody's source.
+    other's text, and are taken for one document: where their texts differ, what is found in one may be cut from another. Rows without a doc_id lose nothing and are nobody's source.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
