@@ -25,7 +25,7 @@ class _Index(dict):
 class ChunkStore:
     """Ids of chunks, by chunk. Holds at most about `limit` chunks and the largest batch's; then it starts anew."""
 
-    def __init__(self, encode: Callable[[list], tuple[list, np.ndarray, np.ndarray]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list], tuple[list, np.ndarray, np.ndarray]], limit: int = 800_000):
         """encode: the given chunks in some order (and others, if it has them), the ids of all of them in that order, and how
         many each has."""
         self.encode, self.limit = encode, limit
