@@ -27,12 +27,13 @@ from tidemill.llm.graph import components
 THRESHOLD = 0.93
 OVERLAP = 2
 MOST_OVERLAP = 4
-SHARD = 1500  # vectors aimed at; a shard of twice as many is split again
+SHARD = 3000  # vectors aimed at; a shard of twice as many is split again
 MAX_WAYS = 64
 #: Rows of a block that its centroids are fitted on, at most about.
 FIT_ROWS = 4096
 DEGREE = 20
 CANDIDATES = 64
+BACK = 3  # nearest neighbours that get an edge back
 ALPHA = 1.2
 BEAM = 16
 STEPS = 40
@@ -141,56 +142,76 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
 
 
 def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, found) in blocks: found is a boolean matrix, a row for each query, of the nodes in range."""
+    """(query, node) pairs in range, in blocks of queries. What a step costs follows from the nodes it touches, not from the
+    size of the graph."""
     y = x.astype(np.float32)
     medoid = int((y @ y.mean(0)).argmax())
     n = len(x)
     for k in range(0, len(queries), 64):
         q = queries[k : k + 64]
         rows = np.arange(len(q))
-        sims = np.full((len(q), n), -2, np.float32)
-        open_ = np.zeros((len(q), n), bool)
+        visited = np.zeros(len(q) * n, bool)
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def visit(r, node, q=q, sims=sims, open_=open_):
-            new = np.zeros(sims.shape, bool)
+        def visit(r, node, q=q, visited=visited, near=near):
             ok = node >= 0
-            new[r[ok], node[ok]] = True
-            r, node = np.nonzero(new & (sims == -2))
-            for a in range(0, len(r), 65536):
+            code = np.unique(r[ok] * n + node[ok])
+            code = code[~visited[code]]
+            visited[code] = True
+            r, node = np.divmod(code, n)
+            sims = np.empty(len(code), np.float32)
+            for a in range(0, len(code), 65536):
                 s = slice(a, a + 65536)
-                sims[r[s], node[s]] = np.einsum("nd,nd->n", y[q[r[s]]], y[node[s]])
-            open_[r, node] = True
-
-        visit(rows, np.full(len(q), medoid))
-        visit(rows, q)
-        for _ in range(STEPS):  # best first, while the best open node is among the beam's
-            best = np.where(open_, sims, -3).argmax(1)
-            bar = np.partition(sims, max(0, n - BEAM), 1)[:, max(0, n - BEAM)]
-            go = open_[rows, best] & (sims[rows, best] >= bar)
-            if not go.any():
-                break
-            open_[rows[go], best[go]] = False
-            visit(np.repeat(rows[go], edges.shape[1]), edges[best[go]].ravel())
-        while True:  # everything in range, or nearly, is expanded
-            r, node = np.nonzero(open_ & (sims >= threshold - SLACK))
+                sims[s] = np.einsum("nd,nd->n", y[q[r[s]]], y[node[s]])
+            close = sims >= threshold - SLACK
+            near.append((r[close], node[close], sims[close]))
+            return r, node, sims
+
+        beam = np.full((len(q), BEAM), -1), np.full((len(q), BEAM), -2, np.float32), np.zeros((len(q), BEAM), bool)
+
+        def merged(beam, r, node, sims, q=q, rows=rows):
             if not len(r):
+                return beam
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            shape = (len(q), int(place.max()) + 1)
+            new = np.full(shape, -1), np.full(shape, -2, np.float32), np.zeros(shape, bool)
+            for part, v in zip(new, (node, sims, True), strict=True):
+                part[r, place] = v
+            both = [np.concatenate(p, 1) for p in zip(beam, new, strict=True)]
+            top = np.argpartition(-both[1], BEAM - 1, 1)[:, :BEAM]
+            return tuple(p[rows[:, None], top] for p in both)
+
+        beam = merged(beam, *visit(np.concatenate([rows, rows]), np.concatenate([np.full(len(q), medoid), q])))
+        for _ in range(STEPS):  # best first, while a node of the beam is open
+            best = np.where(beam[2], beam[1], -3).argmax(1)
+            go = beam[2][rows, best]
+            if not go.any():
                 break
-            open_[r, node] = False
+            beam[2][rows[go], best[go]] = False
+            beam = merged(beam, *visit(np.repeat(rows[go], edges.shape[1]), edges[beam[0][rows[go], best[go]]].ravel()))
+        done = 0
+        while done < len(near):  # everything in range, or nearly, is expanded
+            todo, done = near[done:], len(near)
+            r, node = (np.concatenate([t[i] for t in todo]) for i in (0, 1))
             for a in range(0, len(r), 32768):
                 visit(np.repeat(r[a : a + 32768], edges.shape[1]), edges[node[a : a + 32768]].ravel())
-        found = np.zeros(sims.shape, bool)
-        r, node = np.nonzero(sims >= threshold - 1e-3)
-        for a in range(0, len(r), 65536):
-            s = slice(a, a + 65536)
-            found[r[s], node[s]] = np.einsum("nd,nd->n", x[q[r[s]]], x[node[s]]) >= threshold
-        found[rows, q] = False
-        yield q, found
+        r, node, sims = (np.concatenate([t[i] for t in near]) for i in range(3))
+        sure = (sims >= threshold - 1e-3) & (q[r] != node)
+        r, node = r[sure], node[sure]
+        exact = np.concatenate([np.einsum("nd,nd->n", x[q[r[a : a + 65536]]], x[node[a : a + 65536]]) for a in range(0, len(r), 65536)] or [np.zeros(0)]) >= threshold
+        yield q[r[exact]], node[exact]
 
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
+    """Edges to pruned neighbours, and back from the nearest ones, so that no vector is without an edge that leads to it."""
     ids = frame["rep"].to_numpy()
     edges = prune(unit(frame["v"]))
-    return pd.DataFrame({"rep": ids, "near": [ids[e[e >= 0]].tolist() for e in edges]})
+    near = [ids[e[e >= 0]].tolist() for e in edges]
+    for i, e in enumerate(edges[:, :BACK].tolist()):
+        for j in e:
+            if j >= 0:
+                near[j].append(ids[i])
+    return pd.DataFrame({"rep": ids, "near": near})
 
 
 def _search(threshold: float):
@@ -207,10 +228,9 @@ def _search(threshold: float):
         queries = np.flatnonzero(frame["own"].to_numpy(bool))
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         pairs = []
-        for q, found in search(x, edges, queries, threshold):
-            links[q] = found @ copies
-            r, node = np.nonzero(found)
-            pairs.append((q[r], node))
+        for a, b in search(x, edges, queries, threshold):
+            links += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
+            pairs.append((a, b))
         if pairs:
             a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
             while len(a):  # the smallest place that can be reached inside the shard
