@@ -302,6 +302,27 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def _near_copies(centre, n, spread, rng):
+    """n unequal vectors about one, their cosines with each other about 1 - spread squared."""
+    noise = rng.standard_normal((n, len(centre)))
+    return centre + spread * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+
+
+def _links_of(spark, x):
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    return {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table).collect()}
+
+
+def test_vectors_hot_group(spark, monkeypatch):
+    """A group much larger than a shard, and one that no fitting splits: multiples of one vector."""
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    rng = np.random.default_rng(6)
+    centre = np.eye(16)[0]
+    assert set(_links_of(spark, _near_copies(centre, 1500, 0.15, rng)).values()) == {(1499, 0)}
+    assert set(_links_of(spark, centre * np.arange(1, 701)[:, None]).values()) == {(699, 0)}
+
+
 def test_mixing(docs, empty, spark):
     counts = {r.k: r.n for r in docs.groupBy(mixing._key(F.col("source")).alias("k")).agg(F.sum(mixing.token_count()).alias("n")).collect()}
     light, ends, _, mix = mixing.plan(docs, max_repetition=2.0)

@@ -5,8 +5,9 @@ OVERLAP nearest ones, and shards that are still too large are split again. In ea
 vectors, robustly pruned: a candidate is dropped when a chosen neighbour is much nearer to it. The adjacency lists of all
 shards are united. Each shard then searches for its own vectors, over its members and the neighbours that the united lists
 add, by best-first search from its medoid, and expands from everything in range until nothing new is in range. What is found
-is verified in double precision. Recall is audited against brute force on a bounded set of queries; while it is short of the
-target, the whole is done again with more overlap.
+is verified in double precision. Recall is audited against brute force on a bounded set of queries, for each label; labels
+that are short of the target are done again with more overlap, and those that stay short, or that no fitting splits, go
+through all pairs of bounded blocks, which is exact.
 
 Equal vectors of a label are one from the first step on. Nothing is a row for each link: a shard counts links and hands on at
 most one edge a vector, and components are found on those.
@@ -39,6 +40,9 @@ BEAM = 16
 STEPS = 40
 SLACK = 0.05
 MAX_LEVELS = 8
+STUCK = 0.95  # the share of a shard that one of its parts may hold, or splitting it is given up
+#: Vectors of a block in the exact way, about.
+BLOCK = 2000
 #: Queries of the recall audit, at most about, and the recall to reach.
 AUDIT = 200
 TARGET_RECALL = 0.95
@@ -69,24 +73,32 @@ def fit(x: np.ndarray, ways: int, seed: int = 3) -> np.ndarray:
     return c
 
 
-def shards(reps: DataFrame, overlap: int) -> DataFrame:
-    """rep, label, v, copies, shard, own (the one shard that searches for it), for every shard that holds the vector."""
+def shards(reps: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame | None]:
+    """rep, label, v, copies, shard, own (the one shard that searches for it), for every shard that holds the vector; and
+    the labels and lengths, if any, with vectors that no fitting tells apart (these vectors are in no shard)."""
     spark = reps.sparkSession
-    rest = reps.withColumn("shard", F.xxhash64("label", F.size("v"))).withColumn("own", F.lit(True))
+    rest = reps.withColumn("shard", F.xxhash64("label", "d")).withColumn("own", F.lit(True)).withColumn("was", F.lit(None).cast("long"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)
-    done = None
-    for level in range(MAX_LEVELS):
-        sizes = rest.groupBy("shard").agg(F.count("*").alias("_n"))
-        ready = rest.join(sizes.filter(F.col("_n") <= 2 * SHARD).select("shard"), "shard", "left_semi").select(*rest.columns)
-        done = ready if done is None else done.unionAll(ready)
-        large = stored(sizes.filter(F.col("_n") > 2 * SHARD), "shard-sizes")
+    done = crowded = None
+    for level in range(MAX_LEVELS + 1):
+        sizes = stored(rest.groupBy("shard").agg(F.count("*").alias("_n"), F.max("was").alias("_was")), "shard-sizes")
+        ready = rest.join(sizes.filter(F.col("_n") <= 2 * SHARD).select("shard"), "shard", "left_semi").drop("was")
+        done = ready if done is None else done.unionByName(ready)
+        large = sizes.filter(F.col("_n") > 2 * SHARD)
+        # vectors that no fitting tells apart: every split leaves them together, and copies them
+        stuck = large.filter(F.lit(level == MAX_LEVELS) | (F.col("_n") > STUCK * F.col("_was")))
+        if not stuck.isEmpty():
+            more = rest.join(stuck, "shard", "left_semi").select("label", "d").distinct()
+            crowded = stored(more if crowded is None else crowded.unionAll(more).distinct(), "vector-crowds")
+            large = large.join(stuck, "shard", "left_anti")
         if large.isEmpty():
-            return stored(done, "shards")
+            break
+        large = large.select("shard", "_n")
         draw = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
         sample = rest.join(large, "shard").filter(draw < FIT_ROWS / F.col("_n")).select("shard", "_n", "v")
 
         def centres(frame: pd.DataFrame) -> pd.DataFrame:
-            ways = min(MAX_WAYS, int(np.ceil(frame["_n"].iloc[0] / SHARD)), len(frame))
+            ways = min(MAX_WAYS, int(np.ceil(frame["_n"].iloc[0] * overlap / SHARD)), len(frame))
             return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "c": [fit(unit(frame["v"]), max(2, ways)).tolist()]})
 
         fitted = stored(sample.groupBy("shard").applyInPandas(centres, "shard long, c array<array<double>>"), "shard-centres")
@@ -106,11 +118,9 @@ def shards(reps: DataFrame, overlap: int) -> DataFrame:
                     yield pd.concat(out)
 
         batches(spark, 2000)
-        split = rest.join(fitted, "shard").mapInPandas(assign, kinds + ", way long")
+        split = rest.drop("was").join(large.withColumnRenamed("_n", "was"), "shard").select(*rest.columns).join(fitted, "shard").mapInPandas(assign, kinds + ", way long")
         rest = stored(split.withColumn("shard", F.xxhash64("shard", "way", F.lit(level))).drop("way").select(*rest.columns), "shard-level")
-    # vectors that no fitting tells apart: by chance
-    chance = F.xxhash64("shard", F.pmod(F.xxhash64("rep"), F.ceil(F.count("*").over(Window.partitionBy("shard")) / SHARD)))
-    return stored(done.unionAll(rest.withColumn("shard", chance)), "shards")
+    return stored(done, "shards"), crowded
 
 
 def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -247,64 +257,115 @@ def _search(threshold: float):
     return run
 
 
-def _linked(reps: DataFrame, threshold: float, overlap: int) -> DataFrame:
-    """a, b (an edge towards what a is linked with), n (links of a)."""
-    held = shards(reps, overlap)
+def _linked(reps: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame | None]:
+    """a, b (an edge towards what a is linked with), n (links of a); and what shards() says of crowded labels."""
+    held, crowded = shards(reps, overlap)
     near = held.groupBy("shard").applyInPandas(_build, "rep long, near array<bigint>")
     near = stored(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-edges")
     members = held.join(near, "rep").select("shard", "rep", "v", "copies", "own", F.lit(True).alias("member"), "near")
     beyond = members.select("shard", F.explode("near").alias("rep")).distinct().join(held.select("shard", "rep"), ["shard", "rep"], "left_anti")
     halo = beyond.join(reps.select("rep", "v", "copies"), "rep").join(near, "rep").select("shard", "rep", "v", "copies", F.lit(False).alias("own"), F.lit(False).alias("member"), "near")
-    return stored(members.unionAll(halo).groupBy("shard").applyInPandas(_search(threshold), "a long, b long, n long"), "vector-links")
+    return stored(members.unionAll(halo).groupBy("shard").applyInPandas(_search(threshold), "a long, b long, n long"), "vector-links"), crowded
+
+
+def _compare(threshold: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        one, two = frame[frame["block"] == lo], frame[frame["block"] == hi]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
+        x, y = unit(one["v"]), unit(two["v"])
+        hit = np.concatenate([x[k : k + 256] @ y.T >= threshold for k in range(0, len(x), 256)])
+        if lo == hi:
+            hit = np.triu(hit, 1)
+            hit |= hit.T
+        ids = np.concatenate([one["rep"].to_numpy(), two["rep"].to_numpy()])
+        low, high = np.arange(len(x), dtype=np.int32), np.arange(len(x), len(ids), dtype=np.int32)
+        while True:  # the smallest place that can be reached inside the two blocks
+            before = low, high
+            low = np.minimum(low, np.where(hit, high, len(ids)).min(1))
+            high = np.minimum(high, np.where(hit, low[:, None], len(ids)).min(0))
+            if (low == before[0]).all() and (high == before[1]).all():
+                break
+        n = np.concatenate([hit @ two["copies"].to_numpy(), hit.T @ one["copies"].to_numpy() * int(lo != hi)])
+        linked = np.concatenate([hit.any(1), hit.any(0)])
+        return pd.DataFrame({"a": ids, "b": ids[np.concatenate([low, high])], "n": n})[linked]
 
+    return run
 
-def audit(reps: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Recall of links on at most about AUDIT vectors, against brute force over all vectors in blocks; 1 without any link.
 
-    The queries are of a bounded number, so they are broadcast to the scan."""
-    count = reps.count()
+def exact_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """As _linked(), with every link: all pairs of blocks of a label, each compared once. A vector is sent once for each block
+    of its label."""
+    count = reps.groupBy("label", "d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k"))
+    dealt = reps.join(count, ["label", "d"]).withColumn("block", F.pmod(F.xxhash64("rep"), "_k").cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    paired = paired.select("label", "d", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "v", "copies")
+    found = stored(paired.groupBy("label", "d", "lo", "hi").applyInPandas(_compare(threshold), "a long, b long, n long"), "vector-pairs")
+    return found.select("a", "b", F.lit(0).cast("long").alias("n")).unionAll(found.groupBy("a").agg(F.sum("n").alias("n")).select("a", F.col("a").alias("b"), "n"))
+
+
+def audit(reps: DataFrame, links: DataFrame, threshold: float) -> dict[tuple[str, int], tuple[float, float]]:
+    """(label, length) -> recall of links, and the mean recall of queries, for those with links among the audited queries.
+
+    Queries are about AUDIT of all vectors, as many of those with links, and AUDIT // 4 with the most links; brute force
+    compares them with all vectors in blocks. They are of a bounded number, so they are broadcast to the scan."""
+    found = links.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("found"))
+    seen = stored(reps.select("rep", "label", "d", "v").join(found, "rep", "left"), "vector-found")
+    count, linked = seen.agg(F.count("*"), F.count("found")).first()
     draw = F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
-    queries = reps.filter(draw < AUDIT / max(1, count)).select("rep", "label", "v").collect()
-    if not queries:
-        return 1.0
+    drawn = seen.filter((draw < AUDIT / max(1, count)) | F.col("found").isNotNull() & (draw < AUDIT / max(1, linked))).collect()
+    most = seen.filter("found IS NOT NULL").orderBy(F.desc("found"), "rep").limit(AUDIT // 4).collect()
+    queries = list({r.rep: r for r in drawn + most}.values())
     by: dict[tuple, tuple] = {}
-    for key in {(r.label, len(r.v)) for r in queries}:
-        own = [r for r in queries if (r.label, len(r.v)) == key]
+    for key in {(r.label, r.d) for r in queries}:
+        own = [r for r in queries if (r.label, r.d) == key]
         by[key] = np.array([r.rep for r in own]), unit([r.v for r in own])
 
     def brute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
-            for key, rows in frame.groupby(["label", frame["v"].map(len)], sort=False):
+            for key, rows in frame.groupby(["label", "d"], sort=False):
                 if key in by:
                     ids, q = by[key]
                     hit = q @ unit(rows["v"]).T >= threshold
                     hit &= ids[:, None] != rows["rep"].to_numpy()[None, :]
                     yield pd.DataFrame({"rep": ids, "n": hit @ rows["copies"].to_numpy()})
 
-    true = reps.select("rep", "label", "v", "copies").mapInPandas(brute, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).filter("n > 0")
-    found = links.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("found"))
-    total, got = true.join(found, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0))))).first()
-    return 1.0 if not total else got / total
+    true = reps.select("rep", "label", "d", "v", "copies").mapInPandas(brute, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).filter("n > 0")
+    truth = {r.rep: r.n for r in true.collect()} if queries else {}
+    out: dict[tuple, list[tuple[int, int]]] = {}
+    for r in queries:
+        if r.rep in truth:
+            out.setdefault((r.label, r.d), []).append((min(r.found or 0, truth[r.rep]), truth[r.rep]))
+    return {key: (sum(g for g, _ in v) / sum(n for _, n in v), sum(g / n for g, n in v) / len(v)) for key, v in out.items()}
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each vec_id: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels (and lengths) are equal and their cosine is threshold or more; every link is exact, and
-    at least TARGET_RECALL of them are found on the audited queries. Vectors without a label, null or zero ones, and such
+    in each label at least TARGET_RECALL of them are found on the audited queries: where the graph stays short of that, all
+    pairs are compared. Vectors without a label, null or zero ones, and such
     with null or non-finite components, link with nothing. Rows that share a vec_id are one vector; rows without one are
     left out.
     """
     ship(embeddings.sparkSession)
     good = stored(usable(embeddings), "vectors")
     same = good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(same, "vector-reps")
-    overlap = OVERLAP
-    while True:
-        links = _linked(reps, threshold, overlap)
-        if audit(reps, links, threshold) >= TARGET_RECALL or overlap >= MOST_OVERLAP:
+    reps = stored(same.withColumn("d", F.size("v")), "vector-reps")
+    rest, links = reps, None
+    for overlap in range(OVERLAP, MOST_OVERLAP + 1):
+        found, crowded = _linked(rest, threshold, overlap)
+        links = found if links is None else links.unionAll(found)
+        if crowded is not None:
+            links = links.unionAll(exact_links(rest.join(crowded, ["label", "d"], "left_semi"), threshold))
+            rest = rest.join(crowded, ["label", "d"], "left_anti")
+        short = [key for key, recall in audit(rest, found, threshold).items() if min(recall) < TARGET_RECALL]
+        if not short:
             break
-        overlap += 1
+        rest = stored(rest.join(F.broadcast(reps.sparkSession.createDataFrame(short, "label string, d int")), ["label", "d"], "left_semi"), "vector-rest")
+    else:
+        links = links.unionAll(exact_links(rest, threshold))
     counted = links.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("n"))
     joined_to = components(links.select("a", "b"), "vector-components").withColumnRenamed("node", "rep")
     per_rep = reps.join(counted, "rep", "left").join(joined_to, "rep", "left")
