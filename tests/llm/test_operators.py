@@ -323,6 +323,17 @@ def test_vectors_hot_group(spark, monkeypatch):
     assert set(_links_of(spark, centre * np.arange(1, 701)[:, None]).values()) == {(699, 0)}
 
 
+def test_vectors_tight_groups(spark):
+    """Two tight groups, each larger than the candidates of a vector, all of whose members link across."""
+    rng = np.random.default_rng(7)
+    other = np.eye(32)[0] * 0.95 + np.eye(32)[1] * (1 - 0.95**2) ** 0.5
+    x = np.concatenate([_near_copies(np.eye(32)[0], 100, 0.02, rng), _near_copies(other, 100, 0.02, rng)])
+    assert (x / np.linalg.norm(x, axis=1, keepdims=True) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T).min() >= 0.93
+    edges = vectors.prune(vectors.unit(list(x)))
+    assert (edges[:100] >= 100).any(1).all() and ((edges[100:] >= 0) & (edges[100:] < 100)).any(1).all()
+    assert set(_links_of(spark, x).values()) == {(199, 0)}
+
+
 def test_mixing(docs, empty, spark):
     counts = {r.k: r.n for r in docs.groupBy(mixing._key(F.col("source")).alias("k")).agg(F.sum(mixing.token_count()).alias("n")).collect()}
     light, ends, _, mix = mixing.plan(docs, max_repetition=2.0)

@@ -2,9 +2,11 @@
 
 Vectors of one label are split into overlapping shards: centroids are fitted on a bounded sample, every vector goes to its
 OVERLAP nearest ones, and shards that are still too large are split again. In each shard every vector gets edges to near
-vectors, robustly pruned: a candidate is dropped when a chosen neighbour is much nearer to it. The adjacency lists of all
+vectors, robustly pruned: a candidate is dropped when a chosen neighbour is much nearer to it. Where more vectors are in
+range than there are candidates, some edges lead to further ones, so that tight groups are left. The adjacency lists of all
 shards are united. Each shard then searches for its own vectors, over its members and the neighbours that the united lists
-add, by best-first search from its medoid, and expands from everything in range until nothing new is in range. What is found
+add: all members in range are found by comparing, others by best-first search from the medoid, and everything in range is
+expanded until nothing new is in range. What is found
 is verified in double precision. Recall is audited against brute force on a bounded set of queries, for each label; labels
 that are short of the target are done again with more overlap, and those that stay short, or that no fitting splits, go
 through all pairs of bounded blocks, which is exact.
@@ -34,6 +36,7 @@ MAX_WAYS = 64
 FIT_ROWS = 4096
 DEGREE = 20
 CANDIDATES = 64
+OUT = 4  # edges to vectors in range beyond the candidates
 BACK = 3  # nearest neighbours that get an edge back
 ALPHA = 1.2
 BEAM = 16
@@ -124,9 +127,10 @@ def shards(reps: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame | None]:
 
 
 def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """For each vector its neighbours after robust pruning, -1 where there are fewer."""
+    """For each vector its neighbours after robust pruning, then OUT spread over the ranks of what else is in range, the
+    farthest included; -1 where there are fewer."""
     n = len(x)
-    out = np.full((n, degree), -1, np.int64)
+    out = np.full((n, degree + OUT), -1, np.int64)
     width = min(CANDIDATES, n - 1)
     if width < 1:
         return out
@@ -135,6 +139,10 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
         sims = y[k : k + 256] @ y.T
         rows = np.arange(len(sims))
         sims[rows, rows + k] = -2
+        within = (sims >= THRESHOLD - SLACK).sum(1)
+        for i in np.flatnonzero(within > width):
+            order = np.argsort(-sims[i])
+            out[k + i, degree:] = order[width - 1 + (within[i] - width) * np.arange(1, OUT + 1) // OUT]
         near = np.argpartition(-sims, width - 1, 1)[:, :width]
         far = 1 - np.take_along_axis(sims, near, 1)  # half the squared distance
         apart = 1 - np.einsum("nid,njd->nij", y[near], y[near])
@@ -151,9 +159,9 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
     return out
 
 
-def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) pairs in range, in blocks of queries. What a step costs follows from the nodes it touches, not from the
-    size of the graph."""
+def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: float, members: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs in range, in blocks of queries. The first nodes are the members, and queries are compared with all
+    of them; what a further step costs follows from the nodes it touches, not from the size of the graph."""
     y = x.astype(np.float32)
     medoid = int((y @ y.mean(0)).argmax())
     n = len(x)
@@ -199,6 +207,11 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: flo
                 break
             beam[2][rows[go], best[go]] = False
             beam = merged(beam, *visit(np.repeat(rows[go], edges.shape[1]), edges[beam[0][rows[go], best[go]]].ravel()))
+        inside = y[q] @ y[:members].T
+        r, node = np.nonzero(inside >= threshold - SLACK)
+        new = ~visited[r * n + node]
+        visited[r[new] * n + node[new]] = True
+        near.append((r[new], node[new], inside[r[new], node[new]]))
         done = 0
         while done < len(near):  # everything in range, or nearly, is expanded
             todo, done = near[done:], len(near)
@@ -238,7 +251,7 @@ def _search(threshold: float):
         queries = np.flatnonzero(frame["own"].to_numpy(bool))
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         pairs = []
-        for a, b in search(x, edges, queries, threshold):
+        for a, b in search(x, edges, queries, threshold, int(frame["member"].sum())):
             links += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
             pairs.append((a, b))
         if pairs:
