@@ -84,6 +84,22 @@ def test_license_sections_of_long_templates(spark):
     assert got == {(1, "long")}
 
 
+def test_license_notice_beside_longer_ones(spark):
+    """Every template directly before and after every other one, in one window."""
+    texts = [f"{a} {b}" for x, a in licenses.TEMPLATES.items() for y, b in licenses.TEMPLATES.items() if x != y]
+    want = set()
+    for i, t in enumerate(texts):
+        ws = words(t)
+        shingles = {tuple(ws[j : j + 5]) for j in range(len(ws) - 4)}
+        for name, template in licenses.TEMPLATES.items():
+            tw = words(template)
+            own = {tuple(tw[j : j + 5]) for j in range(len(tw) - 4)}
+            if len(own & shingles) >= 0.8 * len(own):
+                want.add((i, name))
+    got = {(r.doc_id, r.template_id) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) >= 2 * len(texts) and len(want - got) == 0 and got == want
+
+
 def test_fingerprints(docs, empty, spark):
     def signatures(text):
         ws = words(text)

@@ -4,7 +4,9 @@ Templates are lists of five-word shingles, cut into sections no longer than the
 section of a text lies in one of two overlapping windows. Shingles that occur in no template cannot count towards the
 containment of any, so windows are signed over their template shingles alone: that keeps the likeness of a window and a
 section that it holds high, and the number of rows that leave the scan low. With one row a band and many bands, a window
-whose likeness to a section is s shares a band with it with probability 1 - (1 - s)^bands.
+whose likeness to a section is s shares a band with it with probability 1 - (1 - s)^bands. A short section beside a longer
+one has a low likeness to their window, so keys guarantee what bands may miss: a text that holds enough of a template holds
+enough of one of its sections, and with it at least one of any k - ceil(threshold * k) + 1 of that section's k shingles.
 
 Everything is DataFrame expressions; the text is scanned once and never shuffled. The template tables are constants of a
 proven size (MAX_TEMPLATE_SHINGLES), and only these are broadcast.
@@ -12,7 +14,9 @@ proven size (MAX_TEMPLATE_SHINGLES), and only these are broadcast.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +64,18 @@ def template_sections(templates: dict[str, str]) -> list[tuple[str, int, list[li
     return out
 
 
+def section_keys(sections: list[tuple[str, int, list[list[str]]]], threshold: float) -> list[tuple]:
+    """(template, *shingle): of each section so many shingles that a text with threshold of the section holds one of them;
+    those that fewest sections share."""
+    distinct = [(t, list({tuple(x): None for x in shingles})) for t, _, shingles in sections]
+    shared = Counter(x for _, shingles in distinct for x in shingles)
+    out = []
+    for t, shingles in distinct:
+        count = len(shingles) - math.ceil(threshold * len(shingles) - 1e-9) + 1
+        out += [(t, *x) for x in sorted(shingles, key=lambda x: (shared[x], x))[:count]]
+    return out
+
+
 def _signature(hashes: Column) -> Column:
     """(band, minimum) pairs of a set of shingle hashes."""
 
@@ -82,6 +98,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     flat = [(t, s, *sh) for t, s, shingles in sections for sh in {tuple(x): None for x in shingles}]
     parts = ", ".join(f"w{i} string" for i in range(SHINGLE))
     table = spark.createDataFrame(flat, f"template_id string, section int, {parts}").select("template_id", "section", F.xxhash64(*[f"w{i}" for i in range(SHINGLE)]).alias("shingle")).distinct()
+    keys = spark.createDataFrame(section_keys(sections, threshold), f"template_id string, {parts}").select("template_id", F.xxhash64(*[f"w{i}" for i in range(SHINGLE)]).alias("shingle")).distinct()
     known = [r[0] for r in table.select("shingle").distinct().collect()]
 
     words = F.filter(F.split(F.lower("text"), SPLIT), lambda w: w != "")
@@ -98,7 +115,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     bands = windows.select("doc_id", "window", F.explode(_signature(F.col("shingles"))).alias("b")).select("doc_id", "window", "b.*")
     of_templates = table.groupBy("template_id", "section").agg(F.collect_set("shingle").alias("shingles"))
     keyed = of_templates.select("template_id", "section", F.explode(_signature(F.col("shingles"))).alias("b")).select("template_id", "section", "b.*")
-    found = bands.join(F.broadcast(keyed), ["band", "low"]).select("doc_id", "template_id").distinct()
+    found = bands.join(F.broadcast(keyed), ["band", "low"]).select("doc_id", "template_id")
+    found = found.unionAll(hits.join(F.broadcast(keys), "shingle").select("doc_id", "template_id")).distinct()
 
     # the exact check: every window of a retrieved document against every section of the retrieved template
     by_template = of_templates.groupBy("template_id").agg(F.collect_list(F.struct("section", "shingles")).alias("sections"), F.sum(F.size("shingles")).alias("total"))
