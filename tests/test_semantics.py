@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import TINY
 from tidemill.functions import dates, jsons, nulls, numbers, strings
 from tidemill.operators import dml, grouping, hierarchy, joins, limits
+from tidemill.plans.registry import QUERIES
 from tidemill.sources import tables
 from tidemill.streaming import events
 
@@ -122,3 +124,8 @@ def test_stream(spark, tmp_path):
     batch = events.windowed_counts(spark.read.parquet(source).dropDuplicates(["event_id"]))
     assert sorted(r.n for r in batch.collect()) == [4, 4, 4]
     assert spark.table("windows").count() <= 3
+
+
+def test_unpivot_measures_of_all_orders(spark):
+    found = QUERIES["unpivot_measures_whole"](spark, TINY)
+    assert found.count() == 2 * spark.read.parquet(f"{TINY}/lineitem.parquet").count()

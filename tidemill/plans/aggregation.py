@@ -91,6 +91,13 @@ def unpivot_measures(t):
     return grouping.unpivot(rows, ["l_orderkey", "l_linenumber"], "kind", ["amount", "rate"], {"net": ("l_extendedprice", "l_discount"), "tax": ("l_quantity", "l_tax")})
 
 
+@query("""SELECT l_orderkey, l_linenumber, 'net' AS kind, l_extendedprice AS amount, l_discount AS rate FROM lineitem WHERE l_extendedprice IS NOT NULL OR l_discount IS NOT NULL
+UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_quantity, l_tax FROM lineitem WHERE l_quantity IS NOT NULL OR l_tax IS NOT NULL""")
+def unpivot_measures_whole(t):
+    """As unpivot_measures, over the whole table."""
+    return grouping.unpivot(t.lineitem, ["l_orderkey", "l_linenumber"], "kind", ["amount", "rate"], {"net": ("l_extendedprice", "l_discount"), "tax": ("l_quantity", "l_tax")})
+
+
 @query("""SELECT doc_id, 'quality' AS k, quality AS v FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'toxic', toxic FROM documents LEFT JOIN labels USING (doc_id)""")
 def unpivot_include_nulls(t):
     rows = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
