@@ -211,15 +211,42 @@ def removed(rows, length=50):
         yield i, len(raw), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("most", [8192, 1])
+@pytest.mark.parametrize("most", [8192, 4, 1])
 def test_passages(docs, empty, monkeypatch, most):
-    monkeypatch.setattr(passages, "MAX_GROUP", most)
+    monkeypatch.setattr(passages, "GROUP", most)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.remove_passages(docs).collect())
     assert got == Counter(removed(pairs()))
     assert sum(n > 0 for _, _, n, _, _ in got) >= 4
     assert passages.remove_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [20, 50, 60, 90])
+def test_passages_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abc ") for _ in range(100))
+    rows = [(i, "".join(rng.choice("defg ") for _ in range(rng.randint(0, 80))) + passage[rng.randint(0, 30) : 60 + rng.randint(0, 40)] + str(i)) for i in range(30)]
+    rows += [(40, "aé" * 70), (41, "éa" * 70)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string"), length).collect())
+    assert got == Counter(removed(rows, length))
+
+
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(2)
+    p, x, y = ("".join(rng.choice("abcdefgh ") for _ in range(140)) for _ in range(3))
+    rows = [(1, p), (2, p + x), (2, y), (2, y), (3, y + "!"), (None, p), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in passages.remove_passages(table).collect())
+    assert got == Counter([(1, 140, 0), (2, 280, 140), (2, 140, 0), (2, 140, 0), (3, 141, 140), (None, 140, 0), (5, 0, 0)])
+
+
+def test_passage_stage_on_odd_tables(spark, docs, empty):
+    assert passages.passage_stage(spark, empty, "").count() == 0
+    cut = passages.passage_stage(spark, docs, "")
+    assert cut.columns == docs.columns
+    want = Counter((i, sha) for i, n, gone, _, sha in removed(pairs()) if not n or gone < n)
+    assert Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut.collect()) == want
+
+
 def test_quality(spark, docs, empty):
     table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.train(*quality.labelled_sample(table, labels))
@@ -283,6 +310,62 @@ def test_ngram_join_on_documents(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(table).collect()} == want
 
 
+def test_ngram_join_shortens_prefixes(spark):
+    """Large groups of close copies are done at long prefixes; documents with few links, or with distant ones, go on."""
+    rng = random.Random(8)
+    rows = []
+
+    def near(base, changes):
+        t = list(base)
+        for k in rng.sample(range(len(t)), changes):
+            t[k] = f"x{rng.randint(0, 10**6)}"
+        return " ".join(t)
+
+    for _ in range(2):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        rows += [near(base, rng.randint(0, 2)) for _ in range(60)]
+    for changes in range(1, 40):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(100 + 10 * changes)]
+        rows += [" ".join(base), near(base, max(1, changes // 4)), near(base, changes)]
+    rows = list(enumerate(rows))
+    found = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = jaccard_classes(rows)
+    assert {i: (r.class_id, r.n_links) for i, r in found.items()} == want
+    assert len({r.depth for r in found.values() if r.depth}) > 1
+    assert all(found[i].depth == ngram_join.FULL_DEPTH for i in range(120))
+
+
+def test_ngram_join_repeated_ids(spark):
+    rng = random.Random(9)
+    long, other = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(100)) for _ in range(2))
+    rows = [(1, long, "a"), (2, long + " tail", "b"), (2, other, "c"), (2, other, "c"), (3, other + " end", "d"), (None, long, "e"), (4, None, "f"), (4, "", "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, rep string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(table).collect())
+    assert got == Counter({(1, 1, 1): 1, (2, 1, 1): 1, (2, 2, 1): 1, (3, 2, 1): 1, (4, 4, 0): 1})
+    kept = Counter((r.doc_id, r.rep) for r in ngram_join.near_duplicate_stage(spark, table, "").collect())
+    assert kept in (Counter({(1, "a"): 1, (2, "c"): 1, (None, "e"): 1, (4, x): 1}) for x in "fg")
+
+
+def test_ngram_join_recall(spark):
+    """Links near the threshold among 5,000 documents, against brute force over pairs that share a shingle."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(1250):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 120))]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            t = list(base)
+            for j in rng.sample(range(len(t)), rng.randint(0, max(1, len(t) // 50))):
+                t[j] = f"y{rng.randint(0, 10**6)}"
+            rows.append(" ".join(t))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in rows]
+    true = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 for k in range(0, len(rows), 4) for a in range(k, k + 4) for b in range(k, a))
+    found = ngram_join.join(spark.createDataFrame([(order[i], t) for i, t in enumerate(rows)], "doc_id long, text string")).agg(F.sum("n_links")).first()[0]
+    assert found % 2 == 0 and 0.999 * true <= found / 2 <= true and true > 2000
+
+
 def test_ngram_join_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
     rng = random.Random(3)

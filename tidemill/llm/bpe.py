@@ -217,7 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, *, keep_ids: bool = True) -
             names = ["doc_id"] + (["ids"] if keep_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=names)
 
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession)
     shape = f"doc_id {kind}, " + ("ids array<int>, " if keep_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 

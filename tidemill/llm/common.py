@@ -13,7 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Folders that have been written and not deleted yet, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+#: Spark deletes the shuffle files of a query as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,43 +33,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder, to be deleted with drop_stored()."""
+    """A new folder's path in the shared folder; it goes when the Python process ends."""
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back.
 
-    This cuts the lineage with files that every executor sees, so a lost executor costs no recomputation
-    of what went before. The files go when the Python process ends, or with drop_stored().
+    This cuts the lineage with files that every executor sees, so a lost executor costs no recomputation of what went
+    before, and the shuffle files of what went before are no longer needed: Spark deletes them when the write has ended. The
+    table goes when the Python process ends, or with drop().
     """
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def written() -> int:
-    """How many folders have been written so far: a mark for drop_stored()."""
-    return len(_WRITTEN)
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that stored() gave and that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            _delete(table._stored_at)
 
 
-def drop_stored(start: int = 0, stop: int | None = None) -> None:
-    """Delete what has been written from one mark to another."""
-    gone = _WRITTEN[start:stop]
-    del _WRITTEN[start:stop]
-    for spark, path in gone:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already: nothing is left to ask
-            return
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is None:
+        return
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended already: nothing is left to ask
+        return
 
 
-atexit.register(drop_stored)
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_WRITTEN):
+        _delete(path)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -136,6 +150,12 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, mix((total[end] - total[begin]) * down[begin])
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -152,7 +172,13 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(archive)
 
 
-def batches(spark: SparkSession, rows: int) -> None:
-    """Prepare for the Python stages that follow: rows in an Arrow batch (texts may be long, so few), and the package."""
+#: Bytes of an Arrow batch, about: texts may be long, so a number of rows is no bound.
+BATCH_BYTES = "16m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batches(spark: SparkSession) -> None:
+    """Prepare a session for Python stages: the package is sent, and Arrow batches are bounded by bytes. The bound is the
+    same for all operators, so it doesn't matter which of several lazy plans runs first."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set(_BATCH, BATCH_BYTES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import drop, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,16 +18,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     now = stored(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).distinct(), name)
     nodes = stored(now.select(F.explode(F.array("v", "w")).alias("node")).distinct(), f"{name}-nodes")
-    now = now.filter("v <> w")
+    loops = now
+    now = stored(loops.filter("v <> w"), name)
+    drop(loops)
     before = None
     while True:
         both = now.unionAll(now.select(F.col("w").alias("v"), F.col("v").alias("w")))
-        least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.filter("w > v").join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).filter("v <> w").distinct()
-        large = stored(large, name)
-        low = large.groupBy("v").agg(F.min("w").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("w").alias("v"), F.col("m").alias("w")), F.struct("v", F.col("m").alias("w")))).alias("e")).select("e.*").filter("v <> w").distinct()
-        now = stored(small, name)
+        # minima are written first: a join with a table can be split where a node is hot, one with an aggregate can't
+        least = stored(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m")), f"{name}-least")
+        large = stored(both.filter("w > v").join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).filter("v <> w").distinct(), name)
+        low = stored(large.groupBy("v").agg(F.min("w").alias("m")), f"{name}-least")
+        pairs = F.array(F.struct(F.col("w").alias("v"), F.col("m").alias("w")), F.struct("v", F.col("m").alias("w")))
+        small = stored(large.join(low, "v").select(F.explode(pairs).alias("e")).select("e.*").filter("v <> w").distinct(), name)
+        drop(now, least, large, low)
+        now = small
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -198,7 +198,7 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
                     sure.append(min(1.0, p) if good else 0.0)
             yield pa.RecordBatch.from_arrays([*[part.column(f"_k{i}") for i in range(len(keep))], part.column("_held"), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=[*[f"_k{i}" for i in range(len(keep))], "_held", "_lang", "_score"])
 
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession)
     shape = ", ".join([f"_k{i} {k}" for i, k in enumerate(kinds)] + ["_held boolean", "_lang string", "_score double"])
     return own.mapInArrow(run, shape).toDF(*keep, "held_out", "lang_pred", "score")
 

@@ -1,13 +1,20 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Each document is the set of its five-word shingles. TREES prefix tries hold labels made of MinHash values; two documents
-that share a prefix of length d in some trie are candidates. Prefixes start at full length and are shortened until links
-at the threshold are found with the target recall. Candidates are verified on the exact sets of hashed shingles.
+Each document is the set of its five-word shingles. TREES tries hold it, each under a label of FULL_DEPTH MinHash values;
+labels are byte strings, so a prefix of a label is a prefix of bytes. Documents whose labels match in a prefix in some trie are
+candidates, and candidates are verified on the exact sets of hashed shingles.
+
+Matching begins with the longest prefixes. What a document's verified links say about their own likeness tells how many more
+a prefix of that length has missed (a link of likeness s is found with probability 1 - (1 - s^depth)^TREES); a link at the
+threshold that isn't seen at all is reckoned with as well. Documents whose estimated recall falls short of the target are
+matched again by shorter prefixes, and so on down to the length under which even links at the threshold are found with the
+target recall. A pair is looked at where its match is met first, as long as either of the two is still being matched; nodes
+of a trie that have one child only, or whose documents are all done, are passed by.
 
 How the work is dealt out. Equal sets are one representative from the first step on. Documents that share prefixes are
 put into chunks of about CHUNK; the units of work are pairs of chunks that share a prefix, so no pair of documents is ever
 a row: a unit counts its links and hands on at most one edge a document, enough to connect what it has linked. A group of
-m different near copies is (m / CHUNK)^2 / 2 units over all executors.
+m different near copies is (m / CHUNK)^2 / 2 units over all executors, and a set is sent once for each unit of its chunk.
 """
 
 from __future__ import annotations
@@ -21,27 +28,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, joined, mix, read, shuffle_width, stored, word_hashes
+from tidemill.llm.common import batches, drop, joined, mix, read, shuffle_width, stored, word_hashes
 from tidemill.llm.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 32
-FULL_DEPTH = 10
+FULL_DEPTH = 8
 TARGET_RECALL = 0.9999
 CHUNK = 128
+WIDE = 2  # bytes of a MinHash value in a label
 
 
-def recall_at(likeness: float, depth: int, trees: int = TREES) -> float:
+def recall_at(likeness, depth: int, trees: int = TREES):
+    """The probability that two sets of this likeness match in a prefix of this length in some trie."""
     return 1 - (1 - likeness**depth) ** trees
 
 
-def depth_for(threshold: float, target: float = TARGET_RECALL, trees: int = TREES) -> int:
-    """The longest prefix under which a link at the threshold, the hardest to find, is found with the target recall."""
+def depths_for(threshold: float, target: float = TARGET_RECALL, trees: int = TREES) -> list[int]:
+    """Prefix lengths in the order in which they are tried, from the full one to the longest under which a link at the
+    threshold, the hardest to find, is found with the target recall."""
     depth = FULL_DEPTH
     while depth > 1 and recall_at(threshold, depth, trees) < target:
         depth -= 1
-    return depth
+    return list(range(FULL_DEPTH, depth - 1, -1))
 
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -78,7 +88,7 @@ _FACTORS = (_RNG.integers(0, 1 << 31, TREES * FULL_DEPTH, dtype=np.uint32) << np
 _SHIFTS = _RNG.integers(0, 1 << 32, TREES * FULL_DEPTH, dtype=np.uint32)
 
 
-def minhash(shingles: np.ndarray, count: int) -> np.ndarray:
+def minhash(shingles: np.ndarray, count: int = TREES * FULL_DEPTH) -> np.ndarray:
     low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     out = np.full(count, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(low), 2048):
@@ -86,17 +96,13 @@ def minhash(shingles: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def labels(shingles: np.ndarray, depth: int) -> np.ndarray:
-    """The hash of the prefix of length depth in each trie; no two tries share one."""
-    values = minhash(shingles, TREES * depth).reshape(TREES, depth).astype(np.uint64)
-    out = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for j in range(depth):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, j])
-    return out.view(np.int64)
+def labels(shingles: np.ndarray) -> bytes:
+    """The labels in all tries, one after another."""
+    return minhash(shingles).astype(">u2").tobytes()
 
 
-def sign(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, digest (of the shingle set; null without shingles), labels."""
+def sign(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -105,11 +111,38 @@ def sign(docs: DataFrame, depth: int) -> DataFrame:
             for own in groups(texts):
                 for s in shingle_sets([texts[i] for i in own]):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    found.append(labels(s, depth) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "labels"])
+                    found.append(labels(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "text_key", "digest", "labels"])
+
+    batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """rep (the digest of the shingle set) and the set itself, sorted, as bytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for own in groups(texts):
+                raw = [s.tobytes() for s in shingle_sets([texts[i] for i in own])]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["rep", "shingles"])
 
-    batches(docs.sparkSession, 1000)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, labels array<bigint>")
+    batches(texts.sparkSession)
+    return texts.select("text").mapInArrow(run, "rep binary, shingles binary")
+
+
+def _prefix(tree, depth: int):
+    """The first `depth` values of a document's label in a trie; no two tries share one."""
+    return F.xxhash64(tree, F.substring(F.col("labels"), tree * (WIDE * FULL_DEPTH) + 1, F.lit(WIDE * depth)))
+
+
+def _placed(reps: DataFrame, depth: int, before: int | None, *more: str) -> DataFrame:
+    """A row for each document and trie: the prefix of this length, and the longer one (`inner`) that was tried before."""
+    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    inner = (lambda t: _prefix(t, before)) if before else (lambda t: F.lit(0).cast("long"))
+    return reps.select("rep", *more, F.explode(F.transform(trees, lambda t: F.struct(_prefix(t, depth).alias("label"), inner(t).alias("inner")))).alias("at")).select("rep", *more, "at.*")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -137,24 +170,57 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def link_unit(ids: list[int], copies: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each representative (every copy of a linked one counts) and the edges of a forest over what is linked.
+def matched(values: list[np.ndarray], depth: int) -> np.ndarray:
+    """Whether the documents on the left (rows) and on the right match in a prefix of this length in some trie. values: the
+    labels of either side, documents x tries x values."""
+    hashed = []
+    for v in values:
+        h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), v.shape[:2])
+        for j in range(depth):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + v[:, :, j])
+        hashed.append(h)
+    out = np.zeros((len(values[0]), len(values[1])), bool)
+    for t in range(TREES):
+        out |= hashed[0][:, t][:, None] == hashed[1][:, t][None, :]
+    return out
+
 
-    sides: 0 and 1 for the two chunks of a unit, of which only pairs across count; all 0 for a chunk with itself."""
+def link_unit(rows: list[dict], threshold: float, depths: list[int], level: int) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
+    """Of one unit's representatives (`side`: 0 and 1 for its two chunks, of which only pairs across count; all 0 for a chunk
+    with itself): links of each (every copy of a linked one counts); how many more each prefix length is reckoned to have
+    missed; and the edges of a forest over what is linked. A pair counts if it matches at this level and at none before,
+    and if either of the two is open."""
+    sides = np.array([r["side"] for r in rows])
     a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     alone = not len(b)
     b = a if alone else b
+    links, missed, edges = np.zeros(len(rows), np.int64), np.zeros((len(rows), len(depths))), []
+    values = [np.stack([np.frombuffer(rows[i]["labels"], ">u2").reshape(TREES, FULL_DEPTH).astype(np.uint64) for i in side]) if len(side) else np.zeros((0, TREES, FULL_DEPTH), np.uint64) for side in (a, b)]
+    open_ = np.array([r["open"] for r in rows])
+    pairs = matched(values, depths[level]) & (open_[a][:, None] | open_[b][None, :])
+    if level:
+        pairs &= ~matched(values, depths[level - 1])
+    if alone:
+        np.fill_diagonal(pairs, False)
+    if not pairs.any():
+        return links, missed, edges
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    copies = np.array([r["copies"] for r in rows], np.int64)
+    x, y = pairs.any(1), pairs.any(0)  # what no pair asks for isn't compared
+    pairs, a, b, alone = pairs[x][:, y], a[x], b[y], alone and bool((x == y).all())
     both = overlaps([sets[i] for i in a], [sets[i] for i in b])
-    linked = both >= threshold * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-6
-    linked &= both > 0
-    if alone:
-        np.fill_diagonal(linked, False)
-    links = np.zeros(len(ids), np.int64)
-    links[a] += linked @ copies[b]
+    likeness = both / np.maximum(sizes[a][:, None] + sizes[b][None, :] - both, 1)
+    linked = pairs & (likeness >= threshold - 1e-6)
+    np.add.at(links, a, linked @ copies[b])
+    for j in range(level, len(depths)):
+        short = np.where(linked, 1 / recall_at(np.minimum(likeness, 1.0).astype(np.float64), depths[j]) - 1, 0)
+        np.add.at(missed[:, j], a, short @ copies[b])
+        if not alone:
+            np.add.at(missed[:, j], b, short.T @ copies[a])
     if not alone:
-        links[b] += linked.T @ copies[a]
-    parent = list(range(len(ids)))
+        np.add.at(links, b, linked.T @ copies[a])
+    parent = list(range(len(rows)))
 
     def root(i):
         while parent[i] != i:
@@ -162,13 +228,12 @@ def link_unit(ids: list[int], copies: np.ndarray, sides: np.ndarray, sets: list[
             i = parent[i]
         return i
 
-    edges = []
     for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-        x, y = root(int(a[i])), root(int(b[j]))
-        if x != y:
-            parent[x] = y
-            edges.append((ids[a[i]], ids[b[j]]))
-    return links, edges
+        u, v = root(int(a[i])), root(int(b[j]))
+        if u != v:
+            parent[u] = v
+            edges.append((rows[a[i]]["rep"], rows[b[j]]["rep"]))
+    return links, missed, edges
 
 
 def _by_unit(parts: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -185,56 +250,109 @@ def _by_unit(parts: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row for each doc_id: doc_id, class_id, n_links.
+def _verified(dealt: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
+    """rep, other (an edge; null in a row with counts), n (links found), missed (by prefix length)."""
 
-    n_links: other documents whose shingle sets have a Jaccard likeness of threshold or more with this one's, equal sets
-    included. class_id: the smallest doc_id that can be reached over links, its own included. Null and empty texts, and
-    texts without words, link with nothing. Rows that share a doc_id are one document, of which one text counts; rows
-    without a doc_id are left out.
-    """
-    spark = docs.sparkSession
-    depth = depth_for(threshold, target_recall)
-    signed = stored(sign(docs, depth).filter("doc_id IS NOT NULL"), "join-signed")
-    one = signed.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    same = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "labels")).alias("first"), F.countDistinct("doc_id").alias("copies"))
-    reps = stored(same.select("digest", F.col("first.doc_id").alias("rep"), "copies", F.col("first.labels").alias("labels")), "join-reps")
-
-    # prefixes that several representatives share
-    placed = reps.select("rep", F.explode("labels").alias("label"))
-    shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1").select("label", "leader")
-    members = stored(placed.join(shared, "label"), "join-members")
-    led = members.groupBy("rep").agg(F.min("leader").alias("leader"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_unit(parts):
+            links, missed, edges = link_unit(rows, threshold, depths, level)
+            some = np.flatnonzero(links).tolist()
+            rep = [rows[i]["rep"] for i in some] + [x for x, _ in edges]
+            other = [None] * len(some) + [y for _, y in edges]
+            n = links[some].tolist() + [0] * len(edges)
+            short = missed[some].tolist() + [[0.0] * len(depths)] * len(edges)
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.binary()), pa.array(other, pa.binary()), pa.array(n, pa.int64()), pa.array(short, pa.list_(pa.float64()))], names=["rep", "other", "n", "missed"])
+
+    batches(dealt.sparkSession)
+    return dealt.mapInArrow(run, "rep binary, other binary, n long, missed array<double>")
+
+
+def _candidates(reps: DataFrame, depths: list[int]) -> DataFrame:
+    """The representatives that share a prefix of the shortest length with another one: nothing else can have links."""
+    placed = _placed(reps, depths[-1], None)
+    shared = placed.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    near = placed.join(shared, "label", "left_semi").select("rep").distinct()
+    return stored(reps.join(near, "rep", "left_semi"), "join-candidates")
+
+
+def _level(near: DataFrame, held: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
+    """What the pairs hold that match at this level first. near: rep, labels, open."""
+    spark = near.sparkSession
+    depth, before = depths[level], depths[level - 1] if level else None
+    placed = _placed(near, depth, before, "open")
+    shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader"), F.max("open").alias("open"), (F.min("inner") < F.max("inner")).alias("branches"))
+    shared = shared.filter(F.col("n") > 1).filter("open").filter(F.col("branches") | F.lit(before is None)).select("label", "leader")
+    members = stored(placed.select("label", "rep").join(shared, "label"), "join-members")
+    led = stored(members.groupBy("rep").agg(F.min("leader").alias("leader")), "join-led")
     sizes = led.groupBy("leader").agg(F.count("*").alias("n"))
     chunk = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK)))
     chunked = stored(led.join(sizes, "leader").select("rep", chunk.alias("chunk")), "join-chunks")
     # pairs of chunks that share a prefix
-    touching = members.select("label", "rep").join(chunked, "rep").select("label", "chunk").distinct()
+    touching = stored(members.select("label", "rep").join(chunked, "rep").select("label", "chunk").distinct(), "join-touching")
     units = touching.select("label", F.col("chunk").alias("a")).join(touching.select("label", F.col("chunk").alias("b")), "label").filter("a <= b").select("a", "b").distinct()
+    one, two = F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))
+    sent = units.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, two))).alias("s")).select("a", "b", "s.*")
+    full = stored(held.join(near.select("rep", "labels", "copies", "open"), "rep").join(chunked, "rep"), "join-full")
+    dealt = sent.join(full, "chunk").select("a", "b", "side", "rep", "copies", "open", "labels", "shingles")
+    dealt = dealt.repartition(2 * shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b")
+    found = stored(_verified(dealt, threshold, depths, level), "join-found")
+    drop(members, led, chunked, touching, full)
+    return found
+
+
+def forest(near: DataFrame, held: DataFrame, threshold: float, depths: list[int], target_recall: float) -> tuple[DataFrame, DataFrame]:
+    """rep, n (links), depth (the prefix length at which its matching ended); and all edges (rep, other)."""
+    edges = None
+    state = near.select("rep", F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0.0)] * len(depths)).alias("missed"), F.lit(depths[0]).alias("depth"), F.lit(True).alias("open"))
+    for level, depth in enumerate(depths):
+        found = _level(near.join(state.select("rep", "open"), "rep"), held, threshold, depths, level)
+        more = found.filter("other IS NULL").groupBy("rep").agg(F.sum("n").alias("_n"), F.array(*[F.sum(F.col("missed")[j]) for j in range(len(depths))]).alias("_missed"))
+        n = F.col("n") + F.coalesce("_n", F.lit(0))
+        missed = F.when(F.col("_missed").isNull(), F.col("missed")).otherwise(F.zip_with("missed", "_missed", lambda x, y: x + y))
+        # a link at the threshold that hasn't been seen is reckoned with as well
+        recall = n / (n + missed[level] + F.lit(float(1 - recall_at(threshold, depth))))
+        go_on = F.col("open") & F.lit(level + 1 < len(depths)) & (recall < target_recall)
+        now = state.join(more, "rep", "left").select("rep", n.alias("n"), missed.alias("missed"), F.when(F.col("open"), F.lit(depth)).otherwise(F.col("depth")).alias("depth"), go_on.alias("open"))
+        state = stored(now, "join-state")
+        own = found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+        edges = own if edges is None else edges.unionAll(own)
+    return state.select("rep", "n", "depth"), edges
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """One row for each document: doc_id, class_id and n_links as join() has them; leads (whether it is the first of its
+    class); depth (the prefix length at which its matching ended; null if it shares no prefix with another document);
+    text_key and rows: the hash of its text (of the smallest hash, where one doc_id has several texts with one shingle set)
+    and how many rows have it."""
+    depths = depths_for(threshold, target_recall)
+    signed = stored(sign(docs.filter("doc_id IS NOT NULL")), "join-signed")
+    one = signed.groupBy("doc_id", "digest", "text_key").agg(F.count("*").alias("rows")).groupBy("doc_id", "digest").agg(F.min(F.struct("text_key", "rows")).alias("t")).select("doc_id", "digest", "t.*")
+    same = signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.countDistinct("doc_id").alias("copies"), F.min("labels").alias("labels"))
+    reps = stored(same, "join-reps")
+    near = _candidates(reps, depths)
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(near.select("first_id").distinct(), "first_id", "left_semi")
+    held = stored(_sets(texts).join(near.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "join-sets")
+    counts, edges = forest(near, held, threshold, depths, target_recall)
+    joined_to = components(edges, "join-classes").withColumnRenamed("node", "rep")
+    of = reps.select("rep", "first_id", "copies").join(counts, "rep", "left").join(joined_to, "rep", "left").select("rep", "first_id", "copies", "n", "depth", F.coalesce("component", "rep").alias("component"))
+    of = stored(of, "join-classes")
+    drop(near, held)
+    first = of.groupBy("component").agg(F.min(F.struct("first_id", "rep")).alias("first"))
+    per_rep = of.join(first, "component").select("rep", F.col("first.first_id").alias("class_id"), (F.col("first.rep") == F.col("rep")).alias("first"), "depth", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    out = one.join(per_rep, one.digest == per_rep.rep, "left")
+    leads = F.coalesce(F.col("first") & (F.col("class_id") == F.col("doc_id")), F.lit(True))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), leads.alias("leads"), "depth", "text_key", "rows")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    known = chunked.join(reps.select("rep", "copies", "digest"), "rep")
-    held = stored(texts.join(known, "rep").dropDuplicates(["rep"]), "join-texts")
-    sent = units.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))))).alias("s")).select("a", "b", "s.*")
-    dealt = sent.join(held, "chunk").select("a", "b", "side", "rep", "copies", "text").repartition(2 * shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_unit(parts):
-            ids = [r["rep"] for r in rows]
-            sets = shingle_sets([r["text"] or "" for r in rows])
-            links, edges = link_unit(ids, np.array([r["copies"] for r in rows], np.int64), np.array([r["side"] for r in rows]), sets, threshold)
-            a = [i for i, n in zip(ids, links.tolist(), strict=True) if n] + [x for x, _ in edges]
-            b = [None] * (len(a) - len(edges)) + [y for _, y in edges]
-            n = [n for n in links.tolist() if n] + [0] * len(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-    batches(spark, 256)
-    found = stored(dealt.mapInArrow(run, "a long, b long, n long"), "join-links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    classes = components(found.filter("b IS NOT NULL").select("a", "b"), "join-classes").withColumnRenamed("node", "rep")
-    per_rep = reps.select("digest", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    per_rep = per_rep.select("digest", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return one.join(per_rep, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+def join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """One row for each document: doc_id, class_id, n_links.
+
+    n_links: other documents whose shingle sets have a Jaccard likeness of threshold or more with this one's, equal sets
+    included. class_id: the smallest doc_id that can be reached over links, its own included. Null and empty texts, and
+    texts without words, link with nothing. Rows that share a doc_id and a shingle set are one document; rows of one doc_id
+    with different sets are documents of their own, and have a row each. Rows without a doc_id are left out.
+    """
+    return classes(docs, threshold, target_recall).select("doc_id", "class_id", "n_links")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,9 +360,19 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest id, with its own columns. Rows without a doc_id stay."""
-    kept = join(docs).filter("class_id = doc_id").select(F.col("doc_id").alias("_kept"))
+    """One document of each class, the one with the smallest id, with its own columns.
+
+    Rows without a doc_id stay. Rows that share a doc_id are judged by their texts: those with different texts that aren't
+    near copies all stay if they lead their classes. Of rows with one id and one text one stays, the first by its other
+    columns, so that a retry chooses the same.
+    """
     own = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    chosen = boxed.filter("_id IS NOT NULL").join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
-    return chosen.unionAll(boxed.filter("_id IS NULL")).select("_row.*")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"))
+    kept = stored(classes(docs).filter("leads").select("doc_id", "text_key", "rows"), "join-kept")
+
+    def rows(of: DataFrame) -> DataFrame:
+        return boxed.join(of, (F.col("_id") == F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi")
+
+    others = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in own if c != "text"]))
+    repeated = rows(kept.filter("rows > 1")).groupBy("_id", "_key").agg(F.min_by("_row", others).alias("_row"))
+    return rows(kept.filter("rows = 1")).select("_row").unionAll(repeated.select("_row")).unionAll(boxed.filter("_id IS NULL").select("_row")).select("_row.*")

@@ -4,20 +4,23 @@ A suffix array over all text at once is no work for a cluster, and most of its e
 stretch of LENGTH bytes is therefore given a key by its own content: the smallest hash among its GRAM-byte substrings.
 Equal stretches have equal keys, so
 
-1. keys that occur in one document only are dropped (a count that is combined before the shuffle);
-2. for the others, the bytes around each occurrence go to the task of their key. Equal bytes (by 128 bits: their key and a digest) are one row by then, with the
-   smallest document that has them;
-3. a task leaves out what can't match (both sides of the key's gram unlike all others') and builds suffix arrays of the rest, in blocks of whole keys and bounded size, by two-stage sorting, and compares
-   adjacent suffixes: runs with LENGTH common bytes are equal stretches, and the smallest document of a run is their source;
+1. keys that occur in one text only are dropped (a count that is combined before the shuffle);
+2. for the others, the bytes around each occurrence go to the task of their key. Equal bytes (by 128 bits: their key and a
+   digest) are one row by then, with the smallest document that has them;
+3. a task leaves out what can't match (both sides of the key's gram unlike all others') and builds suffix arrays of the
+   rest, in blocks of whole keys and bounded size, by two-stage sorting, and compares adjacent suffixes: runs with LENGTH
+   common bytes are equal stretches, and the smallest document of a run is their source;
 4. what is to be removed goes back to the documents.
 
-A key with more than MAX_GROUP different surroundings (the edge of a passage that a large part of all documents hold) is
-not one task's work: its stretches are dealt by their own digests and reduced to their smallest document before the shuffle.
+A key with more than GROUP different surroundings (the edge of a passage that a large part of all documents hold) gets
+longer first: its stretches are told apart by where the gram stands in them, in two halves, and those of one half have more
+than the gram in common, which is their new key. Halves of which the key is still too common are halved again, until a key is
+a whole stretch and has one surrounding. The surroundings get narrower with each step, so those inside the passage become
+equal, and those outside become unlike all others.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,26 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, drop_stored, joined, mix, powers, read, shuffle_width, stored, written
+from tidemill.llm.common import batches, drop, joined, mix, powers, read, shuffle_width, stored
 from tidemill.llm.suffixes import common_prefixes, suffix_array, words
 
 LENGTH = 50
 GRAM = 16
 #: Stretches in a row of one key that are sent together.
 MAX_RUN = 64
-#: Bytes of a block of keys, and surroundings of a key, that a task sorts at a time.
+#: Bytes of a block of keys that a task sorts at a time, and surroundings of a key that are not too many for one.
 BLOCK_BYTES = 1 << 20
-MAX_GROUP = 8192
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps.
-
-    It acts on what the driver's JVM has collected as garbage, and the listeners keep the last query until another one has
-    ended: so a query of one row, then a collection."""
-    gc.collect()
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
+GROUP = 8192
 
 
 def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -76,7 +69,7 @@ def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
 
 
 def _keys(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id and key of every run of stretches with one key, and a number for the row's whole text."""
+    """key, doc_id and whole (the number of the row's text) of every run of stretches with one key."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -89,19 +82,19 @@ def _keys(docs: DataFrame, length: int) -> DataFrame:
                     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
                     yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[np.array(own)][of[new]], pa.int64()), pa.array(whole[np.array(own)][of[new]], pa.int64())], names=["key", "doc_id", "whole"])
 
-    batches(docs.sparkSession, 1000)
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("whole")).mapInArrow(run, "key long, doc_id long, whole long")
+    batches(docs.sparkSession)
+    return docs.select("doc_id", "text", "whole").mapInArrow(run, "key long, doc_id long, whole long")
 
 
 def _surroundings(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, key, first (place of the first stretch), n (stretches), bytes (what they cover), for runs of stretches whose
+    """doc_id, whole, key, first (place of the first stretch), n (stretches), bytes (what they cover), for runs of stretches whose
     key is in the row's array `keys`; at: where in them the gram with the key stands (-1: at several places)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column("doc_id").to_numpy()
             texts = [t or "" for t in part.column("text").to_pylist()]
-            wanted = part.column("keys")
+            whole_of, wanted = part.column("whole").to_numpy(), part.column("keys")
             for own in groups(texts):
                 raw = [texts[i].encode() for i in own]
                 buf, place, key, of, starts, grams = stretch_keys(raw, length)
@@ -131,10 +124,10 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
                     here = np.minimum(from_ + o, len(grams) - 1)
                     hit = (o <= last) & (grams[here] == key[first])
                     at = np.where(hit, np.where(at == -1, o, -2), at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(np.maximum(at, -1), pa.int16())], names=["doc_id", "key", "first", "n", "bytes", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(whole_of[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(np.maximum(at, -1), pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at"])
 
-    batches(docs.sparkSession, 1000)
-    return docs.mapInArrow(run, "doc_id long, key long, first long, n int, bytes binary, at short")
+    batches(docs.sparkSession)
+    return docs.mapInArrow(run, "doc_id long, whole long, key long, first long, n int, bytes binary, at short")
 
 
 def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -148,14 +141,15 @@ def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = L
     text = np.zeros(int((sizes + 1).sum()), np.uint8)
     of_byte = np.repeat(np.arange(len(sizes)), sizes)
     text[np.arange(len(flat)) + of_byte] = flat + 1
-    eight = words(text)
-    order = suffix_array(text, eight)
+    depth = -(-length // 8) * 8
+    eight = words(text, depth)
+    order = suffix_array(text, eight, depth)
     of = np.repeat(np.arange(len(sizes)), sizes + 1)
     valid = np.arange(len(text)) + length <= (starts + sizes)[of]
     order = order[valid[order]]
     if not len(order):
         return [[] for _ in surroundings]
-    new = np.flatnonzero(common_prefixes(order, eight) < length)
+    new = np.flatnonzero(common_prefixes(order, eight, depth) < length)
     mine = sources[of[order]]
     least = np.repeat(np.minimum.reduceat(mine, new), np.diff(np.concatenate([new, [len(order)]])))
     flag = np.zeros(len(text) + 1, np.int8)
@@ -206,70 +200,98 @@ def _sorted_blocks(length: int):
     return run
 
 
-def _one_by_one(length: int):
+def halves(low: int, high: int) -> list[tuple[int, int]]:
+    middle = (low + high) // 2
+    return [(low, middle), (middle + 1, high)] if low < high else [(low, high)]
+
+
+def narrowed(text: bytes, n: int, at: int, low: int, high: int, length: int = LENGTH) -> Iterator[tuple[int, int, bytes, int, int, int, bytes]]:
+    """Of n stretches of a text, in which a gram stands at `at`, those that hold it at low ... high, in two halves: first
+    stretch, how many, what they cover, where the gram is in that, low, high, and what all stretches of the half share."""
+    for lo, hi in halves(low, high):
+        first, last = max(0, at - hi), min(n - 1, at - lo)
+        if first <= last:
+            yield first, last - first + 1, text[first : last + length], at - first, lo, hi, text[at - lo : at - hi + length]
+
+
+def _longer_keys(hot: DataFrame, length: int) -> DataFrame:
+    """Rows of surroundings under longer keys. hot: as _surroundings() gives them, with low and high."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows, places, stretches = [], [], []
-            for i, text in enumerate(part.column("bytes").to_pylist()):
-                n = len(text) - length + 1
-                rows += [i] * n
-                places += range(n)
-                stretches += [hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in range(n)]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("digest").take(at), pa.array(places, pa.int32()), pa.array(stretches, pa.binary()), part.column("source").take(at)], names=["key", "digest", "place", "stretch", "source"])
-
-    return run
+            of, rows = [], []
+            for i, (text, key, n, at, low, high) in enumerate(zip(*[part.column(c).to_pylist() for c in ("bytes", "key", "n", "at", "low", "high")], strict=True)):
+                places = [at] if at >= 0 else np.flatnonzero(stretch_keys([text], length)[5][: len(text) - GRAM + 1].view(np.int64) == key).tolist()
+                for place in places:
+                    for row in narrowed(text, n, place, low, high, length):
+                        of.append(i)
+                        rows.append(row)
+            first, n, covered, at, low, high, shared = zip(*rows, strict=True) if rows else ([],) * 7
+            key = [int.from_bytes(hashlib.blake2b(x + bytes([a, b]), digest_size=8).digest(), "little", signed=True) for x, a, b in zip(shared, low, high, strict=True)]
+            of = pa.array(of, pa.int64())
+            start = np.asarray(part.column("first").take(of)) + np.array(first, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("whole").take(of), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(at, pa.int16()), pa.array(low, pa.int16()), pa.array(high, pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at", "low", "high"])
+
+    batches(hot.sparkSession)
+    return hot.mapInArrow(run, "doc_id long, whole long, key long, first long, n int, bytes binary, at short, low short, high short")
+
+
+def _grouped(wide: DataFrame, length: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Tables (each occurrence, each distinct surrounding with its smallest document) in which no key has more than GROUP
+    surroundings."""
+    out = []
+    wide = wide.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - GRAM))
+    while True:
+        one = stored(wide.groupBy("key", "digest").agg(F.min("doc_id").alias("source"), F.min("bytes").alias("bytes"), F.min("at").alias("at")), "passages-one")
+        large = stored(one.groupBy("key").count().filter(F.col("count") > GROUP).select("key"), "passages-large")
+        if large.isEmpty():
+            return [*out, (wide, one)]
+        out.append((wide.join(large, "key", "left_anti"), one.join(large, "key", "left_anti")))
+        wide = stored(_longer_keys(wide.join(large, "key", "left_semi").drop("digest"), length).withColumn("digest", F.xxhash64("bytes")), "passages-wide")
 
 
 def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and runs [first, past): stretches of `length` bytes that also start in a document with a smaller id."""
+    """doc_id, whole (the hash of the text) and runs [first, past): stretches of `length` bytes that also start in a document
+    with a smaller id."""
+    if length < GRAM + 2:
+        raise ValueError(f"passages of fewer than {GRAM + 2} bytes aren't looked for")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("whole")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     # whole copies: the first of them takes part; the others lose everything
-    texts = docs.filter(F.octet_length("text") >= length).select("doc_id", F.unhex(F.md5("text")).alias("text"), F.octet_length("text").alias("size"))
+    texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "whole", F.unhex(F.md5("text")).alias("text"), F.octet_length("text").alias("size"))
     firsts = texts.groupBy("text").agg(F.min("doc_id").alias("first_id"))
-    ids = stored(texts.join(firsts, "text").select("doc_id", "size", (F.col("doc_id") > F.col("first_id")).alias("copy")), "passages-ids")
-    mark = written()
+    ids = stored(texts.join(firsts, "text").select("doc_id", "whole", "size", (F.col("doc_id") > F.col("first_id")).alias("copy")).distinct(), "passages-ids")
     keys = _keys(docs, length)
     shared = stored(keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key"), "passages-keys")
-    release(spark)
-    held = keys.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    held = stored(held.join(ids.filter("NOT copy").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "_id"), "passages-held")
-    release(spark)
-    wide = _surroundings(docs.join(held, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "keys"), length)
+    held = keys.join(shared, "key", "left_semi").groupBy("doc_id", "whole").agg(F.collect_set("key").alias("keys"))
+    held = stored(held.join(ids.filter("NOT copy").select("doc_id", "whole"), ["doc_id", "whole"], "left_semi"), "passages-held")
+    drop(shared)
+    wide = _surroundings(docs.dropDuplicates(["doc_id", "whole"]).join(held, ["doc_id", "whole"]).select("doc_id", "text", "whole", "keys"), length)
     wide = stored(wide.withColumn("digest", F.xxhash64("bytes")), "passages-wide")
-    drop_stored(mark, written() - 1)
-    release(spark)
-    one = stored(wide.groupBy("key", "digest").agg(F.min("doc_id").alias("source"), F.min("bytes").alias("bytes"), F.min("at").alias("at")), "passages-one")
-    release(spark)
-    large = stored(one.groupBy("key").count().filter(F.col("count") > MAX_GROUP).select("key"), "passages-large")
-    shape = "key long, digest long, runs array<struct<first int, past int>>"
-    batches(spark, 4096)
-    small = one.join(large, "key", "left_anti").select("key", "digest", "bytes", "at", "source")
-    dealt = small.repartition(2 * shuffle_width(spark), "key").sortWithinPartitions("key")
-    runs = dealt.mapInArrow(_sorted_blocks(length), shape)
-    if not large.isEmpty():
-        each = stored(one.join(large, "key", "left_semi").select("key", "digest", "bytes", "source").mapInArrow(_one_by_one(length), "key long, digest long, place int, stretch binary, source long"), "passages-each")
-        least = each.groupBy("stretch").agg(F.min("source").alias("least"))
-        found = each.join(least, "stretch").filter("least < source").groupBy("key", "digest").agg(F.collect_list(F.struct(F.col("place").alias("first"), (F.col("place") + 1).alias("past"))).alias("runs"))
-        runs = runs.unionAll(found.select("key", "digest", F.col("runs").cast("array<struct<first:int,past:int>>")))
-    runs = stored(runs, "passages-runs")
-    release(spark)
-    sources = one.select("key", "digest", "source").join(runs, ["key", "digest"], "left")
-    back = wide.select("doc_id", "first", "n", "key", "digest").join(sources, ["key", "digest"])
+    drop(held)
+    pieces = _grouped(wide, length)
+    every, one = pieces[0]
+    for more, distinct in pieces[1:]:
+        every, one = every.unionByName(more), one.unionByName(distinct)
+    batches(spark)
+    dealt = one.select("key", "digest", "bytes", "at", "source").repartition(2 * shuffle_width(spark), "key").sortWithinPartitions("key")
+    runs = stored(dealt.mapInArrow(_sorted_blocks(length), "key long, digest long, runs array<struct<first int, past int>>"), "passages-runs")
+    # written before it is joined again: a join with a table can be split where a passage is hot
+    sources = stored(one.select("key", "digest", "source").join(runs, ["key", "digest"], "left"), "passages-sources")
+    drop(runs)
+    back = every.select("doc_id", "whole", "first", "n", "key", "digest").join(sources, ["key", "digest"])
     # a later document with the same surroundings loses them all; the first one, what earlier ones hold of them
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("past")))
     part = F.when(F.col("doc_id") > F.col("source"), whole).otherwise(F.col("runs"))
-    gone = back.select("doc_id", "first", part.alias("part")).filter(F.size("part") > 0)
-    gone = gone.select("doc_id", F.transform("part", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["past"]).alias("past"))).alias("part"))
-    found = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("part")).alias("runs"))
-    copies = ids.filter("copy").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("past"))).alias("runs"))
-    return found.unionAll(copies).groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    gone = back.select("doc_id", "whole", "first", part.alias("part")).filter(F.size("part") > 0)
+    gone = gone.select("doc_id", "whole", F.transform("part", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["past"]).alias("past"))).alias("part"))
+    found = gone.groupBy("doc_id", "whole").agg(F.flatten(F.collect_list("part")).alias("runs"))
+    copies = ids.filter("copy").select("doc_id", "whole", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("past"))).alias("runs"))
+    return found.join(copies.select("doc_id", "whole"), ["doc_id", "whole"], "left_anti").unionAll(copies)
 
 
 def removal(size: int, runs: list | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the maximal runs of bytes that the stretches cover."""
-    runs = [r for r in runs or () if r["past"] + length - 1 <= size]
     if not runs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.zeros(size + 1, np.int32)
@@ -281,22 +303,19 @@ def removal(size: int, runs: list | None, length: int = LENGTH) -> tuple[np.ndar
 
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
-    spark = docs.sparkSession
-    mark = written()
     found = stored(covered_places(docs, length), "passages-runs-by-doc")
-    drop_stored(mark, written() - 1)
-    runs = found.withColumnRenamed("doc_id", "_run_id").withColumnRenamed("runs", "_runs")
-    release(spark)
+    runs = found.select(F.col("doc_id").alias("_run_id"), F.col("whole").alias("_run_whole"), F.col("runs").alias("_runs"))
     own = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    return boxed.join(runs, F.col("_id") == F.col("_run_id"), "left").drop("_run_id")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_whole"), F.coalesce("text", F.lit("")).alias("_text"))
+    return boxed.join(runs, (F.col("_id") == F.col("_run_id")) & (F.col("_whole") == F.col("_run_whole")), "left").drop("_run_id", "_run_whole", "_whole")
 
 
 def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Texts are UTF-8 bytes; null texts are empty ones. Matches never cross documents. Rows of one doc_id don't remove each
-    other's text, and are taken for one document: where their texts differ, what is found in one may be cut from another. Rows without a doc_id lose nothing and are nobody's source.
+    other's text; where their texts differ, each loses what documents with smaller ids hold of it. Rows without a doc_id lose
+    nothing and are nobody's source.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -312,7 +331,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_runs(docs.select("doc_id", "text"), length)
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession)
     return rows.select("_row.doc_id", "_text", "_runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -336,7 +355,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 changed.append(len(a) > 0)
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(changed)], names=["_row", "_new", "_changed"])
 
-    batches(spark, 1000)
+    batches(spark)
     cut = rows.select("_row", "_text", "_runs").mapInArrow(run, f"_row {shape}, _new string, _changed boolean")
     cut = cut.filter(~F.col("_changed") | (F.trim("_new") != ""))
     out = {c: F.col(f"_row.`{c}`") for c in own}

@@ -154,7 +154,7 @@ def score_documents(docs: DataFrame, table: np.ndarray, bias: float) -> DataFram
             found = [scores([texts[i] for i in own], table, bias) for own in groups(texts)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession)
     scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 

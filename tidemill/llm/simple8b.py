@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import ChunkStore, groups
-from tidemill.llm.common import batches, folder, read, shuffle_width, stored
+from tidemill.llm.common import batches, folder, ranges, read, shuffle_width, stored
 
 #: Bits a value for selectors 1 to 14; selector 0 is the escape.
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -46,19 +46,13 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
     return out + (rest > 0)
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one range after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks one after another, and how many words each block has. sizes: values of each block."""
     if not len(values):
         return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
     starts = np.cumsum(sizes + _GAP) - sizes - _GAP
     wide = np.zeros(int((sizes + _GAP).sum()) + _GAP, np.uint64)
-    wide[_ranges(starts, sizes)] = values
+    wide[ranges(starts, sizes)] = values
     bits = bit_lengths(wide)
     # for each place the narrowest selector whose next values all fit
     selector = np.where(bits > 60, np.uint8(0), np.uint8(14))
@@ -118,7 +112,7 @@ def unpack(words: np.ndarray, word_counts: np.ndarray, sizes: np.ndarray) -> np.
     first_word = np.cumsum(word_counts) - word_counts
     starts = np.zeros(len(sizes), np.int64)
     starts[word_counts > 0] = begin[first_word[word_counts > 0]]
-    return wide[_ranges(starts, sizes)]
+    return wide[ranges(starts, sizes)]
 
 
 def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +193,7 @@ class PieceEncoder:
         pool = np.concatenate([pool, mark_ids])
         both = np.stack([first, len(pool) - len(mark_ids) + (np.cumsum(mark_sizes) - mark_sizes)[mark]], 1).ravel()
         both_sizes = np.stack([size, mark_sizes[mark]], 1).ravel()
-        whole = pool[_ranges(both, both_sizes)]
+        whole = pool[ranges(both, both_sizes)]
         return plain + others + [p for p, _ in tailed], np.concatenate([new.astype(np.uint32), whole]), np.concatenate([new_sizes, size + mark_sizes[mark]])
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +256,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
                 ], names=["doc_id", "n_ids", "offsets", "words"])
                 at += len(sizes)
 
-    batches(docs.sparkSession, 1000)
+    batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids long, offsets array<int>, words binary")
 
 
@@ -305,7 +299,7 @@ def read_files(spark: SparkSession, where: str, *, with_ids: bool = True) -> Dat
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    batches(spark, 1000)
+    batches(spark)
     shape = f"doc_id {kind}, part int, place long, n_tokens long, ids_crc32 long" + (", ids array<bigint>" if with_ids else "")
     return files.mapInArrow(run, shape)
 

@@ -1,6 +1,6 @@
 """Suffix arrays by two-stage sorting, on arrays.
 
-Only suffixes smaller than their successors are sorted directly, by their first DEPTH bytes. The rest are induced: a scan of
+Only suffixes smaller than their successors are sorted directly, by their first `depth` bytes. The rest are induced: a scan of
 the buckets (suffixes by first byte) in ascending order puts the predecessor of each suffix that it meets next in its own
 bucket. The scan takes a bucket at a time: everything that one bucket induces is dealt out in one stable sort by byte.
 """
@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 56  # bytes of the direct sort; a multiple of 8
+DEPTH = 56  # bytes of the direct sort, unless more are asked for; a multiple of 8
 
 
-def words(text: np.ndarray) -> np.ndarray:
+def words(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """The eight bytes from each place on as a number that sorts as they do; zeros follow the text."""
-    wide = np.zeros(len(text) + DEPTH + 8, np.uint8)
+    wide = np.zeros(len(text) + depth + 8, np.uint8)
     wide[: len(text)] = text
     out = wide.astype(np.uint64)
     for width in (1, 2, 4):
@@ -22,9 +22,9 @@ def words(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, eight: np.ndarray) -> np.ndarray:
-    """All suffixes of a text of bytes that ends with its smallest byte, in the order of their first DEPTH bytes at least
-    (ties in any order). eight: words(text)."""
+def suffix_array(text: np.ndarray, eight: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """All suffixes of a text of bytes that ends with its smallest byte, in the order of their first `depth` bytes at least
+    (ties in any order). eight: words(text, depth)."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -34,7 +34,7 @@ def suffix_array(text: np.ndarray, eight: np.ndarray) -> np.ndarray:
     rises = np.concatenate([text[edge + 1] > text[edge], [True]])
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], run_end])))
     direct = np.flatnonzero(smaller)
-    keys = [eight[direct + 8 * j] for j in range(DEPTH // 8 - 1, -1, -1)]
+    keys = [eight[direct + 8 * j] for j in range(depth // 8 - 1, -1, -1)]
     direct = direct[np.lexsort(keys)]
     first = text[direct]
     bounds = np.searchsorted(first, np.arange(257))
@@ -67,11 +67,11 @@ def suffix_array(text: np.ndarray, eight: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefixes(order: np.ndarray, eight: np.ndarray) -> np.ndarray:
-    """Bytes that each suffix in the order has in common with the one before it, at most DEPTH; 0 for the first."""
+def common_prefixes(order: np.ndarray, eight: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Bytes that each suffix in the order has in common with the one before it, at most `depth`; 0 for the first."""
     out = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
-    for j in range(DEPTH // 8):
+    for j in range(depth // 8):
         differ = eight[order[live] + 8 * j] ^ eight[order[live - 1] + 8 * j]
         same = differ == 0
         d = differ[~same]
@@ -80,5 +80,5 @@ def common_prefixes(order: np.ndarray, eight: np.ndarray) -> np.ndarray:
             lead += d < np.uint64(1) << np.uint64(64 - 8 * b)
         out[live[~same]] = 8 * j + lead
         live = live[same]
-    out[live] = DEPTH
+    out[live] = depth
     return out

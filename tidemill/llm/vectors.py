@@ -120,7 +120,7 @@ def shards(reps: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame | None]:
                 if out:
                     yield pd.concat(out)
 
-        batches(spark, 2000)
+        batches(spark)
         split = rest.drop("was").join(large.withColumnRenamed("_n", "was"), "shard").select(*rest.columns).join(fitted, "shard").mapInPandas(assign, kinds + ", way long")
         rest = stored(split.withColumn("shard", F.xxhash64("shard", "way", F.lit(level))).drop("way").select(*rest.columns), "shard-level")
     return stored(done, "shards"), crowded
