@@ -433,6 +433,32 @@ def test_vectors_tight_groups(spark):
     assert set(_links_of(spark, x).values()) == {(199, 0)}
 
 
+@pytest.mark.parametrize(("n", "d", "groups"), [(3000, 3, 0), (3000, 24, 60)])
+def test_vectors_count_links_at_both_ends(spark, monkeypatch, n, d, groups):
+    monkeypatch.setattr(vectors, "SHARD", 400)
+    rng = np.random.default_rng(n + d)
+    x = rng.standard_normal((n, d)) if not groups else rng.standard_normal((groups, d))[np.arange(n) % groups] + 0.2 * rng.standard_normal((n, d))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = y @ y.T >= 0.93
+    np.fill_diagonal(hit, False)
+    got = _links_of(spark, x)
+    found = np.array([got[i][0] for i in range(n)])
+    assert found.sum() % 2 == 0
+    assert (found <= hit.sum(1)).all() and found.sum() >= 0.995 * hit.sum()
+
+
+def test_vectors_about_one_hub():
+    """All vectors lead back to one: its edges stay bounded."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    around = rng.standard_normal((3000, 64))
+    around = around / np.linalg.norm(around, axis=1, keepdims=True) + 2 * np.eye(64)[0]
+    x = np.concatenate([np.eye(64)[:1], around])
+    built = vectors._build(pd.DataFrame({"rep": np.arange(len(x)), "v": list(x)}))
+    assert built["near"].map(len).max() <= 2 * (vectors.DEGREE + vectors.OUT)
+
+
 def test_mixing(docs, empty, spark):
     counts = {r.k: r.n for r in docs.groupBy(mixing._key(F.col("source")).alias("k")).agg(F.sum(mixing.token_count()).alias("n")).collect()}
     light, ends, _, mix = mixing.plan(docs, max_repetition=2.0)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import batches, read, ship, stored
+from tidemill.llm.common import batches, ranges, read, ship, stored
 from tidemill.llm.graph import components
 
 THRESHOLD = 0.93
@@ -159,12 +159,33 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
     return out
 
 
-def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: float, members: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) pairs in range, in blocks of queries. The first nodes are the members, and queries are compared with all
-    of them; what a further step costs follows from the nodes it touches, not from the size of the graph."""
+def fewer(x: np.ndarray, i: int, near: list[int]) -> np.ndarray:
+    """The edges of vector i, robustly pruned where they are more than twice those that pruning gives."""
+    near = np.unique(np.array(near, np.int64))
+    if len(near) <= 2 * (DEGREE + OUT):
+        return near
+    far = 1 - x[near] @ x[i]
+    near = near[np.argsort(far, kind="stable")]
+    far.sort()
+    alive, out = np.ones(len(near), bool), []
+    while alive.any() and len(out) < 2 * DEGREE:
+        k = int(alive.argmax())
+        out.append(near[k])
+        alive &= ALPHA * ALPHA * (1 - x[near] @ x[near[k]]) > far
+        alive[k] = False
+    # some of the others too, over all ranks, as prune() has them
+    rest = np.setdiff1d(near, out)
+    return np.concatenate([out, rest[len(rest) * np.arange(OUT) // OUT]]) if len(rest) else np.array(out)
+
+
+def search(x: np.ndarray, starts: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: float, members: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs in range, in blocks of queries. Node i has the edges from starts[i] to starts[i + 1]. The first nodes
+    are the members, and queries are compared with all of them; what a further step costs follows from the nodes it touches,
+    not from the size of the graph."""
     y = x.astype(np.float32)
     medoid = int((y @ y.mean(0)).argmax())
     n = len(x)
+    size = np.diff(starts)
     for k in range(0, len(queries), 64):
         q = queries[k : k + 64]
         rows = np.arange(len(q))
@@ -172,8 +193,7 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: flo
         near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def visit(r, node, q=q, visited=visited, near=near):
-            ok = node >= 0
-            code = np.unique(r[ok] * n + node[ok])
+            code = np.unique(r * n + node)
             code = code[~visited[code]]
             visited[code] = True
             r, node = np.divmod(code, n)
@@ -185,6 +205,9 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: flo
             near.append((r[close], node[close], sims[close]))
             return r, node, sims
 
+        def follow(r, node):
+            return visit(np.repeat(r, size[node]), edges[ranges(starts[node], size[node])])
+
         beam = np.full((len(q), BEAM), -1), np.full((len(q), BEAM), -2, np.float32), np.zeros((len(q), BEAM), bool)
 
         def merged(beam, r, node, sims, q=q, rows=rows):
@@ -206,7 +229,7 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: flo
             if not go.any():
                 break
             beam[2][rows[go], best[go]] = False
-            beam = merged(beam, *visit(np.repeat(rows[go], edges.shape[1]), edges[beam[0][rows[go], best[go]]].ravel()))
+            beam = merged(beam, *follow(rows[go], beam[0][rows[go], best[go]]))
         inside = y[q] @ y[:members].T
         r, node = np.nonzero(inside >= threshold - SLACK)
         new = ~visited[r * n + node]
@@ -217,7 +240,7 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: flo
             todo, done = near[done:], len(near)
             r, node = (np.concatenate([t[i] for t in todo]) for i in (0, 1))
             for a in range(0, len(r), 32768):
-                visit(np.repeat(r[a : a + 32768], edges.shape[1]), edges[node[a : a + 32768]].ravel())
+                follow(r[a : a + 32768], node[a : a + 32768])
         r, node, sims = (np.concatenate([t[i] for t in near]) for i in range(3))
         sure = (sims >= threshold - 1e-3) & (q[r] != node)
         r, node = r[sure], node[sure]
@@ -226,33 +249,64 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, threshold: flo
 
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    """Edges to pruned neighbours, and back from the nearest ones, so that no vector is without an edge that leads to it."""
-    ids = frame["rep"].to_numpy()
-    edges = prune(unit(frame["v"]))
-    near = [ids[e[e >= 0]].tolist() for e in edges]
+    """Edges to pruned neighbours, and back from the nearest ones, so that no vector is without an edge that leads to it. A
+    vector that many others lead back to is pruned once more, over all of its edges."""
+    ids, x = frame["rep"].to_numpy(), unit(frame["v"])
+    edges = prune(x)
+    near = [e[e >= 0].tolist() for e in edges]
     for i, e in enumerate(edges[:, :BACK].tolist()):
         for j in e:
             if j >= 0:
-                near[j].append(ids[i])
-    return pd.DataFrame({"rep": ids, "near": near})
+                near[j].append(i)
+    return pd.DataFrame({"rep": ids, "near": [ids[fewer(x, i, e)].tolist() for i, e in enumerate(near)]})
+
+
+def _places(ids: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of each list stand among all ids, one list after another, and where each begins; others are left out."""
+    order = np.argsort(ids)
+    by = ids[order]
+    sizes = np.fromiter((0 if x is None else len(x) for x in lists), np.int64, len(lists))
+    flat = np.concatenate([np.asarray(x, ids.dtype) for x in lists if x is not None and len(x)] or [np.zeros(0, ids.dtype)])
+    at = np.minimum(np.searchsorted(by, flat), len(by) - 1)
+    known = by[at] == flat
+    count = np.concatenate([[0], np.cumsum(known)])
+    return np.concatenate([[0], count[np.cumsum(sizes)]]), order[at[known]]
+
+
+def _holds(lists: list[frozenset], rows: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """Whether the list of each row holds the shard beside it."""
+    names, number = np.unique(shards, return_inverse=True)
+    code, back = np.unique(rows * max(1, len(names)) + number, return_inverse=True)
+    return np.fromiter((int(names[c % len(names)]) in lists[c // len(names)] for c in code.tolist()), bool, len(code))[back]
 
 
 def _search(threshold: float):
+    """Links of a shard's own vectors. Every pair counts once, for both of its ends, in one of the two shards that search for
+    these: in one that has the other vector as a member, else in one that sees it at all; of two such in the smaller."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         # a neighbour from elsewhere may also be a member: members come first
-        frame = frame.sort_values("member", ascending=False, kind="stable").drop_duplicates("rep")
-        ids, copies = frame["rep"].to_numpy(), frame["copies"].to_numpy()
+        frame = frame.sort_values(["member", "rep"], ascending=[False, True], kind="stable").drop_duplicates("rep")
+        ids, copies, home = (frame[c].to_numpy() for c in ("rep", "copies", "home"))
+        member_of, seen_in = ([frozenset(() if s is None else np.asarray(s).tolist()) for s in frame[c]] for c in ("member_of", "seen_in"))
+        is_member, here = frame["member"].to_numpy(bool), int(frame["shard"].iloc[0])
         x = unit(frame["v"])
-        at = {r: i for i, r in enumerate(ids.tolist())}
-        lists = [[at[b] for b in near if b in at] if near is not None else [] for near in frame["near"]]
-        edges = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
-        for i, near in enumerate(lists):
-            edges[i, : len(near)] = near
-        queries = np.flatnonzero(frame["own"].to_numpy(bool))
+        starts, edges = _places(ids, frame["near"].tolist())
+        queries = np.flatnonzero(is_member & (home == here))
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         pairs = []
-        for a, b in search(x, edges, queries, threshold, int(frame["member"].sum())):
-            links += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
+        for a, b in search(x, starts, edges, queries, threshold, int(is_member.sum())):
+            there = home[b]
+            ours = there == here
+            far = np.flatnonzero(~ours)  # found by comparing from here; the other shard may do so as well
+            inside, theirs = is_member[b[far]], _holds(member_of, a[far], there[far])
+            sees = theirs | _holds(seen_in, a[far], there[far])
+            first = here < there[far]
+            mine = np.where(inside & theirs, first, np.where(inside | theirs, inside, np.where(sees, first, True)))
+            counted = np.concatenate([np.flatnonzero(ours), far[mine]])
+            a, b, ours = a[counted], b[counted], ours[counted]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b[~ours], copies[a[~ours]])  # own vectors are queries too
             pairs.append((a, b))
         if pairs:
             a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
@@ -271,13 +325,21 @@ def _search(threshold: float):
 
 
 def _linked(reps: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame | None]:
-    """a, b (an edge towards what a is linked with), n (links of a); and what shards() says of crowded labels."""
+    """a, b (an edge towards what a is linked with), n (links of a that one shard counts, to be summed); and what shards()
+    says of crowded labels."""
     held, crowded = shards(reps, overlap)
+    if crowded is not None:  # these labels go through all pairs of blocks as a whole
+        held = held.join(crowded, ["label", "d"], "left_anti")
     near = held.groupBy("shard").applyInPandas(_build, "rep long, near array<bigint>")
     near = stored(near.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-edges")
-    members = held.join(near, "rep").select("shard", "rep", "v", "copies", "own", F.lit(True).alias("member"), "near")
-    beyond = members.select("shard", F.explode("near").alias("rep")).distinct().join(held.select("shard", "rep"), ["shard", "rep"], "left_anti")
-    halo = beyond.join(reps.select("rep", "v", "copies"), "rep").join(near, "rep").select("shard", "rep", "v", "copies", F.lit(False).alias("own"), F.lit(False).alias("member"), "near")
+    homes = held.groupBy("rep").agg(F.max(F.when(F.col("own"), F.col("shard"))).alias("home"), F.collect_set("shard").alias("member_of"))
+    beyond = held.select("shard", "rep").join(near, "rep").select("shard", F.explode("near").alias("rep")).distinct().join(held.select("shard", "rep"), ["shard", "rep"], "left_anti")
+    beyond = stored(beyond, "vector-beyond")
+    seen = beyond.groupBy("rep").agg(F.collect_set("shard").alias("seen_in"))
+    of = stored(near.join(homes, "rep").join(seen, "rep", "left"), "vector-homes")
+    columns = ["shard", "rep", "v", "copies", "home", "member_of", "seen_in", "near"]
+    members = held.join(of, "rep").select(*columns, F.lit(True).alias("member"))
+    halo = beyond.join(reps.select("rep", "v", "copies"), "rep").join(of, "rep").select(*columns, F.lit(False).alias("member"))
     return stored(members.unionAll(halo).groupBy("shard").applyInPandas(_search(threshold), "a long, b long, n long"), "vector-links"), crowded
 
 
@@ -315,7 +377,7 @@ def exact_links(reps: DataFrame, threshold: float) -> DataFrame:
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     paired = paired.select("label", "d", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "v", "copies")
     found = stored(paired.groupBy("label", "d", "lo", "hi").applyInPandas(_compare(threshold), "a long, b long, n long"), "vector-pairs")
-    return found.select("a", "b", F.lit(0).cast("long").alias("n")).unionAll(found.groupBy("a").agg(F.sum("n").alias("n")).select("a", F.col("a").alias("b"), "n"))
+    return found
 
 
 def audit(reps: DataFrame, links: DataFrame, threshold: float) -> dict[tuple[str, int], tuple[float, float]]:
@@ -323,7 +385,7 @@ def audit(reps: DataFrame, links: DataFrame, threshold: float) -> dict[tuple[str
 
     Queries are about AUDIT of all vectors, as many of those with links, and AUDIT // 4 with the most links; brute force
     compares them with all vectors in blocks. They are of a bounded number, so they are broadcast to the scan."""
-    found = links.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("found"))
+    found = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
     seen = stored(reps.select("rep", "label", "d", "v").join(found, "rep", "left"), "vector-found")
     count, linked = seen.agg(F.count("*"), F.count("found")).first()
     draw = F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
@@ -376,10 +438,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
         short = [key for key, recall in audit(rest, found, threshold).items() if min(recall) < TARGET_RECALL]
         if not short:
             break
+        # these labels are done again as a whole
         rest = stored(rest.join(F.broadcast(reps.sparkSession.createDataFrame(short, "label string, d int")), ["label", "d"], "left_semi"), "vector-rest")
+        links = stored(links.join(rest.select(F.col("rep").alias("a")), "a", "left_anti"), "vector-links-kept")
     else:
         links = links.unionAll(exact_links(rest, threshold))
-    counted = links.groupBy(F.col("a").alias("rep")).agg(F.max("n").alias("n"))
+    counted = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined_to = components(links.select("a", "b"), "vector-components").withColumnRenamed("node", "rep")
     per_rep = reps.join(counted, "rep", "left").join(joined_to, "rep", "left")
     per_rep = per_rep.select("label", "v", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
