@@ -2,11 +2,12 @@
 
 Templates are lists of five-word shingles, cut into sections no longer than the step between windows, so each whole
 section of a text lies in one of two overlapping windows. Shingles that occur in no template cannot count towards the
-containment of any, so windows are signed over their template shingles alone: that keeps the likeness of a window and a
-section that it holds high, and the number of rows that leave the scan low. With one row a band and many bands, a window
-whose likeness to a section is s shares a band with it with probability 1 - (1 - s)^bands. A short section beside a longer
-one has a low likeness to their window, so keys guarantee what bands may miss: a text that holds enough of a template holds
-enough of one of its sections, and with it at least one of any k - ceil(threshold * k) + 1 of that section's k shingles.
+containment of any, so windows are signed over their template shingles alone: that keeps the number of rows that leave the
+scan low. Signatures are one-permutation MinHash: each of PERMUTATIONS hash functions deals shingles into BINS, and the
+smallest hash of a bin is a band of one row. A shingle that window and section share makes them meet unless another one of
+the two is smaller in its bin, under every permutation: they are retrieved with probability 1 - (m / (2 * BINS))^PERMUTATIONS
+at least, with m other shingles in both. A window has at most WINDOW shingles and a section at most STEP, so that is
+1 - 5e-6 for the shortest notice in the fullest window, and no template depends on what stands beside it.
 
 Everything is DataFrame expressions; the text is scanned once and never shuffled. The template tables are constants of a
 proven size (MAX_TEMPLATE_SHINGLES), and only these are broadcast.
@@ -14,9 +15,7 @@ proven size (MAX_TEMPLATE_SHINGLES), and only these are broadcast.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 STEP = 32
 WINDOW = 2 * STEP
-BANDS = 24
+PERMUTATIONS = 4
+BINS = 1024
 MAX_TEMPLATE_SHINGLES = 50_000
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -48,8 +48,10 @@ TEMPLATES = {
 }
 
 
-def collision_probability(likeness: float, bands: int = BANDS, rows: int = 1) -> float:
-    return 1 - (1 - likeness**rows) ** bands
+def collision_probability(others: int, bins: int = BINS, permutations: int = PERMUTATIONS) -> float:
+    """The least probability with which a window and a section that share a shingle share a band; others: how many other
+    shingles the two have."""
+    return 1 - min(1.0, others / (2 * bins)) ** permutations
 
 
 def template_sections(templates: dict[str, str]) -> list[tuple[str, int, list[list[str]]]]:
@@ -64,25 +66,11 @@ def template_sections(templates: dict[str, str]) -> list[tuple[str, int, list[li
     return out
 
 
-def section_keys(sections: list[tuple[str, int, list[list[str]]]], threshold: float) -> list[tuple]:
-    """(template, *shingle): of each section so many shingles that a text with threshold of the section holds one of them;
-    those that fewest sections share."""
-    distinct = [(t, list({tuple(x): None for x in shingles})) for t, _, shingles in sections]
-    shared = Counter(x for _, shingles in distinct for x in shingles)
-    out = []
-    for t, shingles in distinct:
-        count = len(shingles) - math.ceil(threshold * len(shingles) - 1e-9) + 1
-        out += [(t, *x) for x in sorted(shingles, key=lambda x: (shared[x], x))[:count]]
-    return out
-
-
-def _signature(hashes: Column) -> Column:
-    """(band, minimum) pairs of a set of shingle hashes."""
-
-    def low(band: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
-
-    return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(BANDS)])
+def _bands(shingles: DataFrame, *of: str) -> DataFrame:
+    """The bands (permutation, bin, low) of each set of shingles; `of` names the columns that tell the sets apart."""
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1)), lambda p: F.struct(p.alias("permutation"), F.xxhash64("shingle", p).alias("low")))
+    each = shingles.select(*of, F.explode(hashed).alias("h")).select(*of, "h.permutation", F.pmod("h.low", F.lit(BINS)).alias("bin"), "h.low")
+    return each.groupBy(*of, "permutation", "bin").agg(F.min("low").alias("low"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -98,7 +86,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     flat = [(t, s, *sh) for t, s, shingles in sections for sh in {tuple(x): None for x in shingles}]
     parts = ", ".join(f"w{i} string" for i in range(SHINGLE))
     table = spark.createDataFrame(flat, f"template_id string, section int, {parts}").select("template_id", "section", F.xxhash64(*[f"w{i}" for i in range(SHINGLE)]).alias("shingle")).distinct()
-    keys = spark.createDataFrame(section_keys(sections, threshold), f"template_id string, {parts}").select("template_id", F.xxhash64(*[f"w{i}" for i in range(SHINGLE)]).alias("shingle")).distinct()
     known = [r[0] for r in table.select("shingle").distinct().collect()]
 
     words = F.filter(F.split(F.lower("text"), SPLIT), lambda w: w != "")
@@ -111,12 +98,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     hits = at.filter(F.size("words") >= SHINGLE).select("doc_id", F.explode(F.transform(places, lambda i: F.struct(i.alias("word"), hashed(i).alias("shingle")))).alias("hit")).select("doc_id", "hit.*")
     hits = stored(hits, "license-hits")
     step = F.floor(F.col("word") / STEP)
-    windows = hits.withColumn("window", F.explode(F.when(step > 0, F.array(step, step - 1)).otherwise(F.array(step)))).groupBy("doc_id", "window").agg(F.collect_set("shingle").alias("shingles"))
-    bands = windows.select("doc_id", "window", F.explode(_signature(F.col("shingles"))).alias("b")).select("doc_id", "window", "b.*")
+    windows = hits.withColumn("window", F.explode(F.when(step > 0, F.array(step, step - 1)).otherwise(F.array(step)))).select("doc_id", "window", "shingle").distinct()
+    keyed = _bands(table, "template_id", "section")
+    found = _bands(windows, "doc_id", "window").join(F.broadcast(keyed), ["permutation", "bin", "low"]).select("doc_id", "template_id").distinct()
+    windows = windows.groupBy("doc_id", "window").agg(F.collect_set("shingle").alias("shingles"))
     of_templates = table.groupBy("template_id", "section").agg(F.collect_set("shingle").alias("shingles"))
-    keyed = of_templates.select("template_id", "section", F.explode(_signature(F.col("shingles"))).alias("b")).select("template_id", "section", "b.*")
-    found = bands.join(F.broadcast(keyed), ["band", "low"]).select("doc_id", "template_id")
-    found = found.unionAll(hits.join(F.broadcast(keys), "shingle").select("doc_id", "template_id")).distinct()
 
     # the exact check: every window of a retrieved document against every section of the retrieved template
     by_template = of_templates.groupBy("template_id").agg(F.collect_list(F.struct("section", "shingles")).alias("sections"), F.sum(F.size("shingles")).alias("total"))
