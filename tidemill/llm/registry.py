@@ -16,4 +16,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_license_scan": licenses.ORACLE,
+    "op2_fingerprints": spotsigs.ORACLE,
 }

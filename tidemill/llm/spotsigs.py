@@ -7,7 +7,7 @@ that only sets of the same or of neighbouring partitions can reach the threshold
 signatures of a set are looked up.
 
 Everything is DataFrame expressions. A document's neighbour comes from a window over buckets of ids, cut at quantiles, so
-no task holds more than its bucket.
+no task holds more than its bucket; an id (or no id) that very many rows have is cut by the hashes of their texts.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ ANCHORS = (
     "el los las de y del se por con una al lo"
 ).split()
 CHAIN = 2
+#: Hex digits of a signature.
+DIGITS = 12
+#: Bytes of text in a bucket of ids, about.
+BUCKET_BYTES = 8 << 20
 THRESHOLD = 0.8
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -40,6 +44,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def spot(*parts: Column) -> Column:
+    """The signature of an anchor and its chain: hex digits of the MD5 of the words. Null words are none."""
+    return F.left(F.md5(F.concat_ws(" ", *parts)), F.lit(DIGITS))
+
+
 def signatures(words: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct signatures of an array of words.
 
@@ -47,24 +56,24 @@ def signatures(words: Column, chain: int = CHAIN) -> Column:
     Chains at the end of a text may be shorter, down to one content word.
     """
     def chained(w, places, content):
-        def spot(p, j):
+        def of_place(p, j):
             k = p - j  # content words before an anchor = its place - anchors before it
-            return F.when(k < F.size(content), F.xxhash64(F.get(w, p), *[F.coalesce(F.get(content, k + c), F.lit("")) for c in range(chain)]))
+            return F.when(k < F.size(content), spot(F.get(w, p), *[F.get(content, k + c) for c in range(chain)]))
 
-        spots = F.array_compact(F.transform(places, spot))
-        return F.when(F.size(spots) == 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array_sort(F.array_distinct(spots)))
+        spots = F.array_compact(F.transform(places, of_place))
+        return F.when(F.size(spots) == 0, F.array(spot(w))).otherwise(F.array_sort(F.array_distinct(spots)))
 
     def of(w):
         places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(ANCHORS))
         content = F.filter(w, lambda x: ~x.isin(ANCHORS))
         return let(places, lambda p: let(content, lambda c: chained(w, p, c)))
 
-    return let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(of(w)))
+    return let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(of(w)))
 
 
 def fingerprint(sigs: Column) -> Column:
-    """Eight hex digits for each signature, in order."""
-    return F.array_join(F.transform(sigs, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h, 32))), 8, "0")), "")
+    """The signatures one after another."""
+    return F.array_join(sigs, "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,28 +83,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).otherwise(common / (n + m - common))
 
 
+def _count_under(cuts: list[int], x: Column, *, equal: bool) -> Column:
+    """How many of the sorted cuts are less than x (or equal to it). Cuts are looked up in two steps, each over about the root
+    of their number."""
+    width = max(1, math.isqrt(len(cuts)))
+    parts = [cuts[i : i + width] for i in range(0, len(cuts), width)] or [[]]
+
+    def under(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: (c <= x) if equal else (c < x)))
+
+    def long_array(values: list[int]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<bigint>")
+
+    return let(under(long_array([part[0] for part in parts[1:]])), lambda g: g * width + under(F.get(F.array(*map(long_array, parts)), g)))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Window]:
     """Rows (doc_id, text, at, ghost) dealt into buckets, and the window in which lead() is the next document by ascending
     doc_id (after the last: the first). Rows with ghost = 1 are there to be seen by lead() and are to be dropped then.
 
-    Rows without a doc_id come before all others. Documents of equal ids follow each other in the order of their texts. Ids
-    are dealt into buckets at approximate quantiles; the driver gets one id a bucket. The first id of each bucket is also
-    sent to the bucket before.
+    Rows without a doc_id come before all others. Documents of equal ids follow each other in the order of the hashes of their
+    texts. Ids are dealt into buckets at approximate quantiles; an id with more rows than a bucket is split by those
+    hashes, and so are the rows without an id. The driver gets one id and one hash a bucket. The first row of each bucket is
+    also sent to the bucket before.
     """
-    buckets = buckets or max(64, shuffle_width(docs.sparkSession))
-    docs = docs.select("doc_id", "text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("q")).first().q or []
-    edges = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
-    # a bucket is the number of cuts at or under the id, plus one; 0 where there is no id
-    of = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(1) + F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
-    firsts = sorted((r[0], r[1]) for r in docs.select(of.alias("bucket"), "doc_id").groupBy("bucket").agg(F.min("doc_id")).collect())
-    before = [x for i, (b, _) in enumerate(firsts) for x in (F.lit(b), F.lit(firsts[i - 1][0]))] or [F.lit(0), F.lit(0)]
-    is_first = F.col("doc_id").isin([d for _, d in firsts if d is not None]) | F.col("doc_id").isNull()
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    total, size, nulls = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.count_if(F.col("doc_id").isNull())).first()
+    buckets = buckets or max(64, shuffle_width(docs.sparkSession), -(-(size or 0) // BUCKET_BYTES))
+    cuts = sorted(map(int, docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []))
+    none = -(-nulls * buckets // max(1, total))  # buckets of the rows without an id
+    share = (F.shiftrightunsigned("hash", 34) / float(1 << 30))  # the hash's place among all hashes, 0 to 1
+    order = F.col("hash") >= 0  # unsigned hashes in the order of signed ones: the upper half comes first
+    share = F.when(order, share + 0.5).otherwise(share - 0.5)
+    low, high = _count_under(cuts, F.col("doc_id"), equal=False), _count_under(cuts, F.col("doc_id"), equal=True)
+    of = F.when(F.col("doc_id").isNull(), F.floor(share * none)).otherwise(F.lit(none) + low + F.floor(share * (high - low + 1))).cast("int")
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in docs.select(of.alias("bucket"), F.struct("doc_id", "hash").alias("row")).groupBy("bucket").agg(F.min("row")).collect())
+
+    def by_bucket(values: list, kind: str) -> Column:
+        pairs = [F.lit(x).cast(t) for (b, _, _), v in zip(firsts, values, strict=True) for x, t in ((b, "int"), (v, kind))]
+        return F.get(F.array(*pairs[1::2]), F.array_position(F.array(*pairs[::2]), F.col("bucket")).cast("int") - 1) if pairs else F.lit(None).cast(kind)
+
+    is_first = by_bucket([d for _, d, _ in firsts], "bigint").eqNullSafe(F.col("doc_id")) & (by_bucket([h for _, _, h in firsts], "bigint") == F.col("hash"))
     here = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("ghost"))
-    there = F.struct(F.create_map(*before)[F.col("bucket")].alias("at"), F.lit(1).alias("ghost"))
-    sent = docs.withColumn("bucket", of).select("doc_id", "text", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("to"))
-    rows = sent.select("doc_id", "text", "to.at", "to.ghost").repartition("at")
-    return rows, Window.partitionBy("at").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
+    there = F.struct(by_bucket([firsts[i - 1][0] for i in range(len(firsts))], "int").alias("at"), F.lit(1).alias("ghost"))
+    sent = docs.withColumn("bucket", of).select("doc_id", "text", "hash", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("to"))
+    rows = sent.select("doc_id", "text", "hash", "to.at", "to.ghost").repartition("at")
+    return rows, Window.partitionBy("at").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "hash")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -108,10 +141,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty texts. A text without words has an empty fingerprint; two of these are alike (1), one and any
-    other text are not (0). One document alone is its own next. Repeated rows give a row each.
+    other text are not (0). One document alone is its own next. Repeated rows give a row each. Rows without a doc_id come
+    before all others, and rows of one doc_id in the order of the hashes of their texts.
     """
     rows, order = with_next(docs)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "at", "ghost")
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("sigs", signatures(F.col("words"))).drop("words")
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sigs", F.lead("sigs").over(order)).filter("ghost = 0")
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
@@ -154,3 +188,39 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    anchors = ", ".join(f"'{a}'" for a in dict.fromkeys(ANCHORS))
+
+    def sigs(text: str) -> str:
+        ws = f"list_filter(string_split_regex(lower({text}), '{SPLIT}'), lambda x: x <> '')"
+        return ws
+
+    def spots(ws: str, places: str, content: str) -> str:
+        chain = ", ".join(f"{content}[{places}[j] - j + {c + 1}]" for c in range(CHAIN))
+        found = f"list_filter(list_transform(range(1, len({places}) + 1), lambda j: CASE WHEN {places}[j] - j < len({content}) THEN left(md5(concat_ws(' ', {ws}[{places}[j]], {chain})), {DIGITS}) END), lambda x: x IS NOT NULL)"
+        return f"CASE WHEN len({ws}) = 0 THEN []::VARCHAR[] WHEN len({found}) = 0 THEN [left(md5(array_to_string({ws}, ' ')), {DIGITS})] ELSE list_sort(list_distinct({found})) END"
+
+    def likeness(a: str, b: str) -> str:
+        common = f"len(list_intersect({a}, {b}))"
+        return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE CAST({common} AS DOUBLE) / (len({a}) + len({b}) - {common}) END"
+
+    def step(name: str, before: str, w: str) -> str:
+        """Words w and their signatures, as <w>_sigs."""
+        return f"""{name}_p AS (SELECT *, list_filter(range(1, len({w}) + 1), lambda i: list_contains([{anchors}], {w}[i])) AS pl, list_filter({w}, lambda x: NOT list_contains([{anchors}], x)) AS ct FROM {before}),
+{name} AS (SELECT * EXCLUDE (pl, ct), {spots(w, 'pl', 'ct')} AS {w}_sigs FROM {name}_p)"""
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
+e AS (SELECT doc_id, t, nt, left(t, length(t) - length(t) // 4) || left(nt, length(t) // 4) AS ed FROM n),
+w AS (SELECT *, {sigs('t')} AS a, {sigs('nt')} AS b, {sigs('ed')} AS c FROM e),
+{step('sa', 'w', 'a')},
+{step('sb', 'sa', 'b')},
+{step('sc', 'sb', 'c')}
+SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a_sigs, '') AS fingerprint, array_to_string(c_sigs, '') AS edited_fingerprint,
+{likeness('a_sigs', 'c_sigs')} AS near_edited, {likeness('a_sigs', 'b_sigs')} AS near_next FROM sc"""
+
+
+ORACLE = _oracle()
