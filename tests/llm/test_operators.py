@@ -2,8 +2,10 @@
 extra columns with clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -518,11 +520,37 @@ def test_mixing(docs, empty, spark):
     for r in ends.collect():
         assert r.weight * mix.budget_tokens - 1e-6 <= spent[r.source_key] <= r.weight * mix.budget_tokens + longest
     assert {r.doc_id for r in schedule} == {i for i, _ in pairs()}  # every source is seen whole
+    # the schedule again, by hand: blocks in the order of their keys, documents in that of theirs, until the budget is spent
+    keys = docs.select("doc_id", mixing._own_key(), mixing._key(F.col("source")).alias("source_key"), mixing.token_count().alias("n")).join(ends, "source_key")
+    keys = mixing._blocked(keys, 17).withColumn("bk", mixing._block_key(17, F.col("whole"))).withColumn("dk", mixing._doc_key(17, F.col("whole"))).collect()
+    want = Counter()
+    for source in {r.source_key for r in keys}:
+        own, spent_now, stop = [r for r in keys if r.source_key == source], 0, False
+        for r in own:
+            want[r.doc_id] += r.whole
+        for (_, _, dk), rows_ in itertools.groupby(sorted(own, key=lambda r: (r.bk, r.block, r.dk)), key=lambda r: (r.bk, r.block, r.dk)):
+            rows_ = list(rows_)
+            if own[0].part_tokens <= spent_now:
+                break
+            for r in rows_:
+                want[r.doc_id] += 1
+                spent_now += r.n
+    assert Counter(r.doc_id for r in schedule) == Counter({k: v for k, v in want.items() if v})
     rows = mixing.mix_documents(docs, max_repetition=2.0)
     assert rows.columns == docs.columns and rows.count() == len(schedule)
     assert mixing.mix_schedule(empty, max_repetition=2.0).count() == 0
 
 
+def test_mixing_without_ids(spark, docs):
+    """Rows without an id are dealt by their texts; columns with the names of the plan's own do no harm."""
+    rows = [(None, f"some text number {i}", "s") for i in range(3000)] + [(i, "more text", None) for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("block", F.lit(1)).withColumn("own_key", F.lit("x"))
+    _, _, per_block, _ = mixing.plan(table, block_docs=100, max_repetition=2.0)
+    assert per_block.filter("source_key = 's:s'").agg(F.max("block_tokens")).first()[0] < 3000 * 4 / 10
+    mixed = mixing.mix_documents(table, max_repetition=2.0)
+    assert mixed.columns == table.columns and mixed.filter("doc_id is null").count() >= 3000 and mixed.filter("own_key <> 'x'").count() == 0
+
+
 def test_mixing_targets(spark):
     sources = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source_key string, source_tokens long")
     entropy = 1.0
@@ -552,6 +580,58 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_of_a_very_long_word(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    word = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(1_000_000))
+    table = spark.createDataFrame([(1, word), (2, "a b")], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in bpe.encode(table, keep_text=True).collect()}
+    assert time.time() - began < 60
+    ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(word, add_special_tokens=False).ids
+    assert list(found[1].ids) == ids and hashlib.sha256(found[1].decoded.encode()).hexdigest() == found[1].decoded_sha256
+    began = time.time()
+    net = language.train(*language.labelled_sample(spark.read.parquet(f"{TINY}/documents.parquet")))
+    assert language.identify(table, net).count() == 2
+    assert quality.score_documents(table, np.zeros(quality.BUCKETS + 1, np.float32), 0.0).count() == 2
+    assert time.time() - began < 60
+
+
+def test_bpe_keeps_clashing_columns(spark, docs):
+    kept = bpe.bpe_stage(spark, docs.withColumn("ids", F.lit("own")).withColumn("n_tokens", F.lit(-1)), "")
+    assert kept.columns == [*docs.columns, "ids", "n_tokens", "bpe_ids", "bpe_n_tokens", "ids_sha256", "decoded_sha256"]
+    assert kept.filter("ids <> 'own' or n_tokens <> -1 or size(bpe_ids) <> bpe_n_tokens").count() == 0 and kept.count() == docs.count()
+
+
+def test_scan_tables_are_the_network():
+    """The look-up tables of the scan against a direct evaluation of the network and of the classifier."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 256, n, dtype=np.uint8).tobytes() for n in (1, 2, 3, 255, 256, 257, 700)] + [b""]
+    langs = ["aa", "bb", "cc"]
+    net = language.train([language._windows(t, rng) for t in texts[:6]], langs * 2)
+    got = net.predict(texts, net.tables())
+    for text, found in zip(texts, got, strict=True):
+        logs = np.zeros(len(langs))
+        for k in range(0, len(text), language.WINDOW):
+            m = min(language.WINDOW, len(text) - k)
+            wide = np.frombuffer(text[k : k + m + 3].ljust(m + 3, b"\0"), np.uint8)
+            pooled = [max(sum(net.vectors[wide[p + j]] @ kernel[j][:, f] for j in range(w)) for p in range(m)) for w, kernel in net.filters.items() for f in range(language.FILTERS)]
+            logits = np.maximum(np.array(pooled) + net.offsets, 0) @ net.layer + net.bias
+            logs += m * (logits - np.log(np.exp(logits).sum()))
+        logs = logs / max(1, len(text))
+        assert np.allclose(found, logs - np.log(np.exp(logs).sum()), atol=1e-4)
+    table = rng.standard_normal(quality.BUCKETS + 1).astype(np.float32)
+    words_ = [b"one two two three", b"", b"a", b"same same same", "é ü  x".encode()]
+    for text, score in zip(words_, quality.scores([w.decode() for w in words_], table, 0.25), strict=True):
+        kinds, total = quality.features([text])
+        buckets = np.concatenate([k[a[0] : b[0]] for k, a, b in kinds])
+        assert len(buckets) == total[0]
+        mean = table[buckets].astype(float).mean() if len(buckets) else 0.0
+        assert abs(score - 1 / (1 + np.exp(-(mean + 0.25)))) < 1e-6
+
+
 def test_bpe_pairs_are_what_merging_gives():
     from hypothesis import given, settings
     from hypothesis import strategies as st

@@ -12,12 +12,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import ChunkStore, groups
 from tidemill.llm.common import batches, read
@@ -115,19 +117,28 @@ class WordBpe:
         return good[back]
 
     def merge(self, word: str) -> list[int]:
-        """The merges, one by one: the lowest rank first, from the left."""
+        """The merges, one by one: the lowest rank first, from the left. Open pairs wait in a heap, so a word of n letters takes
+        about n log n steps."""
         symbols = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
-        rank, never = self.rank.get, len(self.rank)
-        ranks = [rank(p, never) for p in zip(symbols, symbols[1:])]
-        while ranks and (low := min(ranks)) < never:
-            i = ranks.index(low)
-            symbols[i : i + 2] = [self.made[low]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((symbols[i], symbols[i + 1]), never)
-            if i:
-                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), never)
-        return symbols
+        rank, n = self.rank.get, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := rank(p)) is not None]
+        heapify(waiting)
+        while waiting:
+            low, i = heappop(waiting)
+            j = after[i]
+            # a pair that has been merged or changed since is passed by
+            if symbols[i] is None or j >= n or rank((symbols[i], symbols[j])) != low:
+                continue
+            symbols[i], symbols[j] = self.made[low], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank((symbols[i], symbols[after[i]]))) is not None:
+                    heappush(waiting, (r, i))
+            if before[i] >= 0 and (r := rank((symbols[before[i]], symbols[i]))) is not None:
+                heappush(waiting, (r, before[i]))
+        return [x for x in symbols if x is not None]
 
     def words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word (byte letters)."""
@@ -192,34 +203,52 @@ def encode_batch(texts: list[str], path: str) -> Iterator[np.ndarray]:
         yield from np.split(ids, np.cumsum(sizes)[:-1])
 
 
-def encode(docs: DataFrame, path: str | None = None, *, keep_ids: bool = True) -> DataFrame:
-    """Per row: doc_id, ids (array<int>, with keep_ids), n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit
-    integers) and decoded_sha256 (of the UTF-8 text that decoding the ids gives).
+def encode(docs: DataFrame, path: str | None = None, *, keep: list[str] | None = None, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
+    """Per row: the columns in `keep` (doc_id unless said otherwise), ids (array<int>, with keep_ids), decoded (the text that
+    decoding the ids gives, with keep_text), n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
+    decoded_sha256 (of the decoded text in UTF-8).
 
-    Null texts are empty texts: no ids, an empty decoded text. Rows are independent of each other; ids and other columns
-    aren't looked at.
+    Null texts are empty texts: no ids, an empty decoded text. Rows are independent of each other; other columns aren't
+    looked at. Kept columns come first; a name of the result that one of them has already gets a "bpe_" before it.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keep = ["doc_id"] if keep is None else keep
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = loaded(path)
         for part in parts:
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            ids, counts, id_hashes, text_hashes = [], [], [], []
+            texts = [t or "" for t in part.column("_text").to_pylist()]
+            ids, decoded, counts, id_hashes, text_hashes = [], [], [], [], []
             for x in encode_batch(texts, path):
                 counts.append(len(x))
                 id_hashes.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-                text_hashes.append(hashlib.sha256(own.decode(x).encode()).hexdigest())
+                text = own.decode(x)
+                text_hashes.append(hashlib.sha256(text.encode()).hexdigest())
                 if keep_ids:
                     ids.append(x.astype(np.int32))
-            columns = [part.column("doc_id")] + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])
-            names = ["doc_id"] + (["ids"] if keep_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=names)
+                if keep_text:
+                    decoded.append(text)
+            names = [f"_k{i}" for i in range(len(keep))]
+            columns = [part.column(n) for n in names]
+            if keep_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("_ids")
+            if keep_text:
+                columns.append(pa.array(decoded, pa.string()))
+                names.append("_decoded")
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=[*names, "_n", "_ids_sha", "_text_sha"])
 
     batches(docs.sparkSession)
-    shape = f"doc_id {kind}, " + ("ids array<int>, " if keep_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
+    shape = [f"_k{i} {k}" for i, k in enumerate(kinds)] + ["_ids array<int>"] * keep_ids + ["_decoded string"] * keep_text + ["_n long", "_ids_sha string", "_text_sha string"]
+    names = ["ids"] * keep_ids + ["decoded"] * keep_text + ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return rows.mapInArrow(run, ", ".join(shape)).toDF(*keep, *[f"bpe_{n}" if n in keep else n for n in names])
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their own columns (the text too), and their ids, how many they are, and both hashes."""
+    return encode(docs, keep=docs.columns)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

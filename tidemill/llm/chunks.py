@@ -23,7 +23,7 @@ class _Index(dict):
 
 
 class ChunkStore:
-    """Ids of chunks, by chunk. Holds at most about `limit` chunks and the largest batch's; then it starts anew."""
+    """Ids of chunks, by chunk. Holds at most about `limit` chunks, or 5 * limit ids, and the largest batch's; then it starts anew."""
 
     def __init__(self, encode: Callable[[list], tuple[list, np.ndarray, np.ndarray]], limit: int = 800_000):
         """encode: the given chunks in some order (and others, if it has them), the ids of all of them in that order, and how
@@ -53,7 +53,7 @@ class ChunkStore:
 
     def ids(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each a list of chunks, one after another; how many each text has."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.used > 5 * self.limit:
             self._reset()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))

@@ -25,10 +25,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
 DIM = 8
 PAD = 3  # zero bytes between texts: no filter sees two
-#: The most documents of each language, and windows of each document, that are learnt from; the most languages told apart.
+#: The most documents of each language, and windows of each document, that are learnt from.
 MAX_DOCS = 500
 MAX_WINDOWS = 4
-MAX_LANGUAGES = 200
 EPOCHS = 12
 RATE = 0.05
 BATCH = 64
@@ -98,8 +97,8 @@ def _windows(text: bytes, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], langs: list[str], seed: int = 11) -> Network:
-    """Without any labelled text, the network knows no language."""
+def train(parts: list[np.ndarray], langs: list[str], seed: int = 11) -> Network:
+    """parts: the windows of each document. Without any labelled document, the network knows no language."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(langs))
     net = Network(
@@ -110,7 +109,6 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Network:
     if not languages:
         return net
     code = {lang: i for i, lang in enumerate(languages)}
-    parts = [_windows(t.encode(), rng) for t in texts]
     x = np.concatenate(parts)
     y = np.repeat([code[lang] for lang in langs], [len(p) for p in parts])
     params = [net.vectors, *net.filters.values(), net.offsets, net.layer, net.bias]
@@ -157,17 +155,27 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> Network:
     return net
 
 
-def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], list[str]]:
-    """At most about max_docs texts of each of the MAX_LANGUAGES commonest languages; rows without text or language, and
-    held-out rows, are not learnt from."""
+def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[np.ndarray], list[str]]:
+    """Windows of at most about max_docs texts of each language, and the languages. Rows without text or language, and
+    held-out rows, are not learnt from. Windows are drawn in the tasks, so no text reaches the driver; a network of k
+    languages has k rows of its layer anyway, and their counts are as many."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return [], []
     part = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, max_docs / r[1])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.filter(draw < F.coalesce(part[F.col("lang")], F.lit(0.0))).orderBy("doc_id", "text").collect()
-    return [r.text for r in rows], [r.lang for r in rows]
+    taken = known.filter(draw < F.coalesce(part[F.col("lang")], F.lit(0.0))).select(F.xxhash64("doc_id", "text").alias("place"), "text", "lang")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            place = part.column("place")
+            found = [_windows(t.encode(), np.random.default_rng(p & (2**63 - 1))).tobytes() for t, p in zip(part.column("text").to_pylist(), place.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([place, pa.array(found, pa.binary()), part.column("lang")], names=["place", "windows", "lang"])
+
+    batches(docs.sparkSession)
+    rows = taken.mapInArrow(run, "place long, windows binary, lang string").orderBy("place", "lang").collect()
+    return [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW + PAD) for r in rows], [r.lang for r in rows]
 
 
 def _has_letter(text: str) -> bool:
@@ -213,7 +221,9 @@ LEAST_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which a language was found, with their own columns."""
+    """The documents in which a language was found, with their own columns.
+
+    Rejected are null texts, texts without a letter, and those whose language is told with a score under LEAST_SCORE."""
     found = identify(docs, train(*labelled_sample(docs)), keep=docs.columns)
     # columns of the input may bear the names of the result: they come first, so they are told apart by place
     n = len(docs.columns)

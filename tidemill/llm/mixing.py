@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import read, stored
 
-#: Sources whose sums the driver may hold (a few MB); beyond, the sums stay a table and Spark sums the powers.
-MAX_LOCAL_SOURCES = 50_000
-BISECTIONS = 60
+#: Exponents that are tried in one pass over the sources' sums, and how often the interval is cut.
+WAYS = 32
+ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -48,22 +48,19 @@ def _key(source: Column) -> Column:
 
 
 def _sums(per_source: DataFrame):
-    """A function from an exponent a to (log sum n^a, entropy of n^a / sum), and the smallest and largest n."""
+    """A function from exponents a to their (log sum n^a, entropy of n^a / sum), and the smallest and largest n. The sums stay
+    a table, however many sources there are: each call is one pass over it."""
     n = F.col("source_tokens").cast("double")
-    count, low, high = per_source.filter(n > 0).agg(F.count("*"), F.min(n), F.max(n)).first()
+    some = per_source.filter(n > 0)
+    count, low, high = some.agg(F.count("*"), F.min(n), F.max(n)).first()
     if not count:
         return None, 0.0, 0.0
-    local = [float(r[0]) for r in per_source.filter(n > 0).select(n).collect()] if count <= MAX_LOCAL_SOURCES else None
-
-    def at(a: float) -> tuple[float, float]:
-        top = max(a * math.log(low), a * math.log(high))  # keeps the powers finite
-        if local is not None:
-            powers = [math.exp(a * math.log(x) - top) for x in local]
-            z, zl = math.fsum(powers), math.fsum(p * a * math.log(x) for p, x in zip(powers, local, strict=True))
-        else:
-            p = F.exp(F.lit(a) * F.log(n) - F.lit(top))
-            z, zl = per_source.filter(n > 0).agg(F.sum(p), F.sum(p * F.lit(a) * F.log(n))).first()
-        return top + math.log(z), top + math.log(z) - zl / z
+
+    def at(exponents: list[float]) -> list[tuple[float, float]]:
+        tops = [max(a * math.log(low), a * math.log(high)) for a in exponents]  # keeps the powers finite
+        powers = [F.exp(F.lit(a) * F.log(n) - F.lit(top)) for a, top in zip(exponents, tops, strict=True)]
+        sums = some.agg(*[x for p in powers for x in (F.sum(p), F.sum(p * F.log(n)))]).first()
+        return [(top + math.log(z), top + math.log(z) - a * zl / z) for a, top, z, zl in zip(exponents, tops, sums[::2], sums[1::2], strict=True)]
 
     return at, low, high
 
@@ -81,24 +78,23 @@ def solve(per_source: DataFrame, *, target_entropy: float | None = None, max_rep
     def budget(a: float, log_z: float) -> float:
         return budget_tokens if budget_tokens is not None else math.exp(log_z + (1 - a) * math.log(high))
 
-    def too_flat(a: float) -> bool:
-        log_z, entropy = at(a)
+    def too_flat(a: float, log_z: float, entropy: float) -> bool:
         if target_entropy is not None and entropy > target_entropy + 1e-12:
             return True
         return max_repetition is not None and budget(a, log_z) * math.exp((a - 1) * math.log(low) - log_z) > max_repetition * (1 + 1e-12)
 
-    lo, hi = 0.0, 1.0
     if target_entropy is None and max_repetition is None:
-        lo = 1.0
-    elif not too_flat(0.0):
-        hi = 0.0
+        a = 1.0
+    elif not too_flat(0.0, *at([0.0])[0]):
+        a = 0.0
     else:
-        for _ in range(BISECTIONS):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if too_flat(mid) else (lo, mid)
-        lo = hi
-    a = hi if lo != 1.0 else 1.0
-    log_z, _ = at(a)
+        lo, a = 0.0, 1.0  # too flat below, not above: the interval is cut at WAYS - 1 places at a time
+        for _ in range(ROUNDS):
+            tried = [lo + (a - lo) * i / WAYS for i in range(1, WAYS)]
+            flat = [too_flat(x, *found) for x, found in zip(tried, at(tried), strict=True)]
+            k = flat.index(False) if False in flat else len(tried)
+            lo, a = ([lo, *tried][k], [*tried, a][k])
+    log_z, _ = at([a])[0]
     return Mix(a, log_z, budget(a, log_z), low, high)
 
 
@@ -106,17 +102,22 @@ def _block_key(seed: int, epoch: Column) -> Column:
     return F.xxhash64(F.col("source_key"), F.col("block"), epoch, F.lit(seed))
 
 
+def _own_key() -> Column:
+    """What a document is dealt by: its id, or its text where it has none."""
+    return F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))).alias("own_key")
+
+
 def _doc_key(seed: int, epoch: Column) -> Column:
-    return F.xxhash64(F.col("doc_id"), epoch, F.lit(seed), F.lit("doc"))
+    return F.xxhash64(F.col("own_key"), epoch, F.lit(seed), F.lit("doc"))
 
 
 def _blocked(df: DataFrame, seed: int) -> DataFrame:
-    return df.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("blocks")))
+    return df.withColumn("block", F.pmod(F.xxhash64(F.col("own_key"), F.lit(seed)), F.col("blocks")))
 
 
 def plan(docs: DataFrame, *, seed: int = 17, block_docs: int = 1024, **targets) -> tuple[DataFrame, DataFrame, DataFrame, Mix]:
     """Per document its tokens; per source its weight, epochs and where its partial epoch ends; per block its tokens."""
-    light = stored(docs.select("doc_id", _key(F.col("source")).alias("source_key"), token_count().alias("n_tokens")), "mix-tokens")
+    light = stored(docs.select("doc_id", _own_key(), _key(F.col("source")).alias("source_key"), token_count().alias("n_tokens")), "mix-tokens")
     per_source = light.groupBy("source_key").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
     per_source = stored(per_source, "mix-sources")
     mix = solve(per_source, **targets)
@@ -165,7 +166,7 @@ def mix_documents(docs: DataFrame, *, seed: int = 17, **targets) -> DataFrame:
     """
     _, ends, _, _ = plan(docs, seed=seed, **targets)
     own = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "doc_id", _key(F.col("source")).alias("source_key"))
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), _own_key(), _key(F.col("source")).alias("source_key"))
     return _epochs(boxed.join(ends, "source_key"), seed).select("row.*")
 
 

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words, byte n-grams and word repetitions; a softmax layer over that average gives
-the label. Vectors and layer are fitted together by stochastic gradient descent in numpy, on a sample of labelled rows of
+A document is the average of learned vectors of its hashed words, n-grams of its UTF-8 bytes (so of its characters, where
+they are ASCII) and word repetitions; a softmax layer over that average gives the label. Vectors and layer are fitted together by stochastic gradient descent in numpy, on a sample of labelled rows of
 documented size (MAX_ROWS a class). Since the layer is linear, each hashed feature then has one number, its vector's share
 of the logit, and a document's logit is the average of the numbers of its features: scoring whole texts is a few passes
 over their bytes.
@@ -21,6 +21,9 @@ from tidemill.llm.common import batches, held_out, joined, mix, powers, read
 
 #: The most labelled rows of each class that are learnt from.
 MAX_ROWS = 2500
+#: Of a text that is longer than both together, so many pieces of so many characters, evenly spread, are learnt from.
+PIECES = 16
+PIECE = 1000
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
 DIM = 8
@@ -131,7 +134,8 @@ def scores(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
     """At most about max_rows texts of each label, of documents that aren't held out: the same ones in every run.
 
-    The sampled labels are of a bounded number and are broadcast; the documents are scanned once. Documents without a
+    Of long texts PIECES pieces are learnt from, so the sample has a bounded size. The sampled labels are of a bounded number
+    and are broadcast; the documents are scanned once. Documents without a
     label, with a null one, or with one other than 0 and 1, are not learnt from; of several labels for a document, the
     lowest counts.
     """
@@ -140,7 +144,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     part = F.create_map(*[x for q in (0, 1) for x in (F.lit(q), F.lit(min(1.0, max_rows / max(1, counts.get(q, 0)))))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     taken = known.filter(draw < part[F.col("quality").cast("int")])
-    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "quality", "doc_id").orderBy("doc_id").collect()
+    text = F.coalesce("text", F.lit(""))
+    step = (F.length(text) - PIECE) / F.lit(PIECES - 1)
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(PIECE))), " ")
+    learnt = F.when(F.length(text) > PIECES * PIECE, pieces).otherwise(text)
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select(learnt.alias("text"), "quality", "doc_id").orderBy("doc_id", "text").collect()
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
 
 

@@ -261,12 +261,12 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
 
 
 def write_files(docs: DataFrame, where: str, path: str, end_id: int | None = 0) -> None:
-    """Write the ids of all documents to the folder `where` in ascending doc_id order (rows without an id first, equal ids in any
-    order). Part numbers and places within a part give the order of the whole."""
+    """Write the ids of all documents to the folder `where` in ascending doc_id order (rows without an id first, equal ids in the
+    order of the hashes of their texts). Part numbers and places within a part give the order of the whole."""
     # texts are dealt by id before they are encoded: dealing by range looks at its input twice
     parts = max(1, shuffle_width(docs.sparkSession))
-    order = F.col("doc_id").asc_nulls_first()
-    ordered = encode(docs.select("doc_id", "text").repartitionByRange(parts, order).sortWithinPartitions(order), path, end_id)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = encode(docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order), path, end_id)
     placed = ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
     placed.write.option("compression", "none").parquet(where)
 
