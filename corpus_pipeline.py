@@ -3,8 +3,10 @@
 Each stage works on everything that the stage before it kept: documents without a language go; of each class of near
 duplicates the document with the smallest id stays; passages that an earlier document holds are cut out of the texts, and
 documents of which nothing is left go; documents of lighter sources are repeated until the weights of the sources meet the
-repetition limit, and none is lost; and what is left is encoded. Stages keep all columns of their input, null sources and
-rows without a doc_id included.
+repetition limit, and none is lost; and what is left is encoded: the last stage adds the ids, how many they are, and the
+hashes of the ids and of the text that they decode to. Stages keep all columns of their input, null sources and rows without
+a doc_id included. The first stage rejects texts without a letter, and those whose language is told with a score under
+language.LEAST_SCORE.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, keep_ids=False)
+    return bpe.bpe_stage(spark, docs, sf_dir)
 
 
 STAGES = [
