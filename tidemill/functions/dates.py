@@ -136,13 +136,73 @@ def num_to_ym(n: Column, unit: str) -> Column:
     return F.make_ym_interval(F.lit(0), months)
 
 
-def ds_seconds(s: Column) -> Column:
-    """Seconds of 'D HH:MI:SS[.F]' or of an ISO-8601 duration 'P1DT2H3M4S'."""
-    iso = s.rlike("^-?P")
+def _part(s: Column, pattern: str, kind: str = "bigint") -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")).try_cast(kind), F.lit(0).cast(kind))
 
-    def part(pattern):
-        return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")), F.lit("999999999")).cast("double"), F.lit(0.0))
 
-    from_iso = part(r"(\d+)D") * 86400 + part(r"(\d+)H") * 3600 + part(r"T(?:\d+H)?(\d+)M") * 60 + part(r"(\d+)S")
-    from_sql = part(r"^-?(\d+) ") * 86400 + part(r" (\d+):") * 3600 + part(r":(\d+):") * 60 + part(r":(\d+)(?:\.\d+)?$")
-    return F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1)) * F.when(iso, from_iso).otherwise(from_sql)
+def to_ds_interval(s: Column) -> Column:
+    """An interval from 'D HH:MI:SS[.F]' or an ISO-8601 duration 'P1DT2H3M4.5S'; null for other text."""
+    iso = s.rlike(r"^-?P(\d+D)?(T(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$")
+    plain = s.rlike(r"^[+-]?\d+ \d{1,2}:\d{2}:\d{2}(\.\d+)?$")
+    whole = F.when(iso, _part(s, r"(\d+)D") * 86400 + _part(s, r"(\d+)H") * 3600 + _part(s, r"T(?:\d+H)?(\d+)M") * 60)
+    whole = whole.when(plain, _part(s, r"^[+-]?(\d+) ") * 86400 + _part(s, r" (\d+):") * 3600 + _part(s, r":(\d+):") * 60)
+    rest = F.when(iso, _part(s, r"(\d+(?:\.\d+)?)S", "decimal(18,6)")).otherwise(_part(s, r":(\d+(?:\.\d+)?)$", "decimal(18,6)"))
+    sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (sign * (whole + rest)).cast("decimal(18,6)"))
+
+
+def to_ym_interval(s: Column) -> Column:
+    """An interval from 'Y-M' or an ISO-8601 duration 'P1Y2M'; null for other text."""
+    iso, plain = s.rlike(r"^-?P(\d+Y)?(\d+M)?$"), s.rlike(r"^[+-]?\d+-\d+$")
+    months = F.when(iso, _part(s, r"(\d+)Y") * 12 + _part(s, r"(\d+)M")).when(plain, _part(s, r"(\d+)-") * 12 + _part(s, r"-(\d+)$"))
+    return F.make_ym_interval(F.lit(0), (F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1)) * months).cast("int"))
+
+
+def seconds(interval: Column) -> Column:
+    """Seconds of a day-time interval, with their fraction."""
+    return (F.timestamp_micros(F.lit(0)) + interval).cast("decimal(18,6)")
+
+
+def timestampadd(unit: str, n: Column, ts: Column) -> Column:
+    """Whole units added; months keep the day, or take the month's last one."""
+    unit = unit.upper()
+    if unit in ("MONTH", "QUARTER", "YEAR"):
+        return ts.cast("timestamp_ntz") + F.make_ym_interval(F.lit(0), n.cast("int") * {"MONTH": 1, "QUARTER": 3, "YEAR": 12}[unit])
+    return _at(micros(ts) + n.cast("bigint") * {"MICROSECOND": 1, "SECOND": 10**6, "MINUTE": 6 * 10**7, "HOUR": 36 * 10**8, "DAY": DAY, "WEEK": 7 * DAY}[unit])
+
+
+def to_timestamp(s: Column, model: str = "YYYY-MM-DD HH24:MI:SS") -> Column:
+    return to_date(s, model)
+
+
+def from_unixtime(n: Column, model: str | None = None) -> Column:
+    """Seconds since 1970 as a timestamp, or as text by a model."""
+    at = _at(n.cast("decimal(20,6)") * 10**6)
+    return to_char(at, model) if model else at
+
+
+def from_tz(ts: Column, zone: Column) -> Column:
+    """A wall-clock time with its zone: (utc, zone); Spark has no type for it."""
+    return F.struct(F.to_utc_timestamp(ts.cast("timestamp"), zone).cast("timestamp_ntz").alias("utc"), zone.alias("zone"))
+
+
+def sys_extract_utc(zoned: Column) -> Column:
+    return zoned["utc"]
+
+
+def local_of(zoned: Column) -> Column:
+    """The wall-clock time of a time with its zone."""
+    return F.from_utc_timestamp(zoned["utc"].cast("timestamp"), zoned["zone"]).cast("timestamp_ntz")
+
+
+def now() -> Column:
+    return F.localtimestamp()
+
+
+def systimestamp() -> Column:
+    return F.current_timestamp()
+
+
+def utc_timestamp() -> Column:
+    """Now, as a wall-clock time in UTC; also getutcdate and utc_date, which carry a time of day too."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")

@@ -51,4 +51,4 @@ def concat(*columns: Column) -> Column:
 
 def is_numeric(c: Column) -> Column:
     """1 for text that is a number, 0 for other text."""
-    return F.when(c.isNotNull(), c.try_cast("decimal(38,10)").isNotNull().cast("int"))
+    return c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$").cast("int")

@@ -32,6 +32,40 @@ def instr(s: Column, sub: Column, start: int = 1, nth: int = 1) -> Column:
     return F.when(s.isNotNull() & sub.isNotNull(), F.coalesce(picked, F.lit(0)))
 
 
+def instrb(s: Column, sub: Column, start: int = 1, nth: int = 1) -> Column:
+    """instr() by bytes of UTF-8: the bytes as characters of their own."""
+    as_letters = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return instr(as_letters(s), as_letters(sub), start, nth)
+
+
+def locate(sub: Column, s: Column, start: int = 1) -> Column:
+    return instr(s, sub, start)
+
+
+def find_in_set(s: Column, names: Column) -> Column:
+    """The place of s in a list with commas; 0 where it isn't there or holds a comma."""
+    return F.find_in_set(s, names)
+
+
+def char(n: Column) -> Column:
+    """The character of a code point; null for null and for what is none."""
+    return F.when(n.between(0, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32"))
+
+
+def space(n: Column) -> Column:
+    return F.when(n.isNotNull(), F.lpad(F.lit(""), F.greatest(n.cast("int"), F.lit(0)), F.lit(" ")))
+
+
+def like(s: Column, pattern: str, escape: str | None = None) -> Column:
+    """LIKE ... ESCAPE: the sign behind the escape sign is itself. Without one, a backslash is an ordinary sign."""
+    return F.like(s, F.lit(pattern if escape else pattern.replace("\\", "\\\\")), F.lit(escape or "\\"))
+
+
+def vsize(c: Column) -> Column:
+    """Bytes of the value as text."""
+    return F.octet_length(c.cast("string"))
+
+
 def insert(s: Column, pos: Column, length: Column, new: Column) -> Column:
     return F.overlay(s, new, pos, length)
 
@@ -80,12 +114,12 @@ def regexp_substr(s: Column, pattern: str, pos: int = 1, occurrence: int = 1, fl
     return F.get(F.regexp_extract_all(F.substr(s, F.lit(pos)), F.lit(_flagged(pattern, flags)), F.lit(sub)), F.lit(occurrence - 1))
 
 
-def regexp_instr(s: Column, pattern: str, pos: int = 1, occurrence: int = 1) -> Column:
-    """Where the nth match starts; 0 where there is none."""
-    rest = F.substr(s, F.lit(pos))
-    found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-    parts = F.split(rest, pattern)
-    before = F.aggregate(F.slice(parts, 1, occurrence), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, occurrence - 1), F.lit(0), lambda a, x: a + F.length(x))
+def regexp_instr(s: Column, pattern: str, pos: int = 1, occurrence: int = 1, after: bool = False, flags: str = "") -> Column:
+    """Where the nth match starts (or, with after, the place behind it); 0 where there is none."""
+    rest, found_by = F.substr(s, F.lit(pos)), _flagged(pattern, flags)
+    found = F.regexp_extract_all(rest, F.lit(found_by), F.lit(0))
+    parts = F.split(rest, found_by)
+    before = F.aggregate(F.slice(parts, 1, occurrence), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, occurrence if after else occurrence - 1), F.lit(0), lambda a, x: a + F.length(x))
     return F.when(F.size(found) >= occurrence, before + pos).when(s.isNotNull(), F.lit(0))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.sources.scratch import materialised
+
 
 def ordered(df: DataFrame, *keys: str) -> DataFrame:
     """'name' or 'name DESC': nulls come last ascending and first descending."""
@@ -19,13 +21,13 @@ def limit(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
     return (df.offset(offset) if offset else df).limit(n)
 
 
-def rownum(df: DataFrame, *order: str) -> DataFrame:
-    """df with rownum, the place in a total order. Places are given within ranges of the order, and the ranges are counted:
-    no single task sorts or numbers all rows."""
+def rownum(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with rownum, the place in a total order. Rows are dealt into ranges of the order and sorted there, and written once;
+    the places follow from one count for each range: no single task sorts or numbers all rows."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in order])
-    placed = ranged.withColumn("_part", F.spark_partition_id())
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    inside = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_last() for c in order])))
-    return inside.join(F.broadcast(before), "_part").withColumn("rownum", F.col("_base") + F.col("_place")).drop("_part", "_base", "_place")
+    keys = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = materialised(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "rownum")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_first") + 1).alias("_base"))
+    return placed.join(F.broadcast(before), "_part").withColumn("rownum", F.col("_base") + F.col("_place")).drop("_part", "_base", "_place")

@@ -18,9 +18,14 @@ def with_distinct(df: DataFrame, keys: list[str], aggregates: dict[str, tuple[st
     return df.join(found, on, "left").select(*df.columns, *aggregates)
 
 
-def frame(kind: str, keys: list[str], order: Column, low, high):
-    """ROWS or RANGE BETWEEN low AND high; None is unbounded."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def frame(kind: str, keys: list[str], order: list[str], low, high):
+    """ROWS or RANGE BETWEEN low AND high over ascending columns; None is unbounded.
+
+    A frame from some place to the end is, the order turned round, one from the beginning: Spark carries that on from row to
+    row, while it would compute a frame to UNBOUNDED FOLLOWING anew for each row."""
+    if high is None and low is not None:
+        order, low, high = [F.col(c).desc() for c in order], None, -low
+    w = Window.partitionBy(*keys).orderBy(*order)
     a = Window.unboundedPreceding if low is None else low
     b = Window.unboundedFollowing if high is None else high
     return w.rowsBetween(a, b) if kind == "rows" else w.rangeBetween(a, b)
@@ -28,3 +33,40 @@ def frame(kind: str, keys: list[str], order: Column, low, high):
 
 def listagg_over(value: Column, separator: str, window) -> Column:
     return F.array_join(F.collect_list(value.cast("string")).over(window), separator)
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: str, rows: int = 1_000_000) -> DataFrame:
+    """df with _cell: each key's rows cut into ranges of the order (numbers) at approximate quantiles, of about `rows` each. What
+    spans ranges is carried over by the caller, so that a key with a large part of all rows is no single task's work."""
+    parts = F.ceil(F.count("*") / rows).cast("int")
+    cuts = df.groupBy(*[F.col(k).alias(f"_cut_{k}") for k in keys]).agg(parts.alias("_parts"), F.percentile_approx(order, [i / 64 for i in range(1, 64)]).alias("_cuts"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in keys])
+    cell = F.when(F.col("_parts") > 1, F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).otherwise(F.lit(0))
+    return df.join(cuts, on, "left").withColumn("_cell", cell).drop("_parts", "_cuts", *[f"_cut_{k}" for k in keys])
+
+
+def last_known(df: DataFrame, keys: list[str], order: str, value: str, out: str, rows: int = 1_000_000) -> DataFrame:
+    """LAST_VALUE(value IGNORE NULLS) up to each row. Within ranges of the order by a window, and from range to range by each
+    range's last known value."""
+    placed = in_ranges(df, keys, order, rows)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    known = placed.filter(F.col(value).isNotNull()).groupBy(*keys, "_cell").agg(F.max_by(value, order).alias("_last"))
+    cells = placed.select(*keys, "_cell").distinct().join(known.withColumnsRenamed({k: f"_c_{k}" for k in [*keys, "_cell"]}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_cell"]]), "left")
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(*[F.col(k).alias(f"_b_{k}") for k in [*keys, "_cell"]], F.last_value("_last", ignoreNulls=True).over(before).alias("_carried"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in [*keys, "_cell"]])
+    joined = placed.withColumn("_own", F.last_value(value, ignoreNulls=True).over(inside)).join(carried, on, "left")
+    return joined.withColumn(out, F.coalesce("_own", "_carried")).select(*df.columns, out)
+
+
+def count_within(df: DataFrame, keys: list[str], order: str, width: int, out: str) -> DataFrame:
+    """COUNT(*) OVER (PARTITION BY keys ORDER BY order RANGE BETWEEN width PRECEDING AND CURRENT ROW), for whole numbers. The
+    order is cut into cells of `width`, so a frame touches its own cell and the one before; each cell is counted with those
+    rows, and no task holds more than two cells of a key. Rows of the cell before come as one count for each place."""
+    placed = df.withColumn("_cell", F.floor(F.col(order) / width))
+    steps = placed.filter(F.col(order).isNotNull()).groupBy(*keys, "_cell", order).agg(F.count("*").alias("_n"))
+    here = steps.withColumn("_to", F.explode(F.array("_cell", F.col("_cell") + 1)))
+    w = Window.partitionBy(*keys, "_to").orderBy(order).rangeBetween(-width, 0)
+    found = here.withColumn(out, F.sum("_n").over(w)).filter(F.col("_cell") == F.col("_to")).select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col(order).alias("_f_order"), out)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys] + [F.col(order) == F.col("_f_order")])
+    return df.join(found, on, "left").select(*df.columns, out)

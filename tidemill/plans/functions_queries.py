@@ -12,7 +12,7 @@ def fn_math(t):
     s, p = F.col("p_size"), F.col("p_retailprice")
     r = F.round
     return t.part.select("p_partkey", F.abs(s - 25).alias("a"), F.ceil(p).cast("double").alias("c"), F.floor(p).cast("double").alias("f"), r(F.exp(s / 10.0), 4).alias("e"), r(F.log(p), 6).alias("l"), r(F.log(2.0, p), 6).alias("l2"),
-                         r(F.pow(s, F.lit(1.5)), 4).alias("p"), F.signum(s - 25).cast("tinyint").alias("s"), r(F.sqrt(p), 6).alias("q"), numbers.trunc(p, 1).alias("t"), r(p, 1).alias("r"))
+                         r(F.pow(s, F.lit(1.5)), 4).alias("p"), F.signum(s - 25).cast("tinyint").alias("s"), r(F.sqrt(p), 6).alias("q"), numbers.trunc(p, 1).cast("double").alias("t"), r(p, 1).alias("r"))
 
 
 @query("SELECT p_partkey, round(sin(p_size), 8) AS a, round(cos(p_size), 8) AS b, round(tan(p_size / 100.0), 8) AS c, round(asin(p_size / 100.0), 8) AS d, round(acos(p_size / 100.0), 8) AS e, round(atan(p_size), 8) AS f, round(atan2(p_size, 3), 8) AS g, round(tanh(p_size / 100.0), 8) AS h, round(radians(p_size), 8) AS i, round(pi(), 8) AS j FROM part")
@@ -91,16 +91,17 @@ def fn_json(t):
     return t.events.select("event_id", jsons.json_value(p, "$.k").alias("v"), jsons.json_value(p, "$.k", "bigint").alias("n"), jsons.json_exists(p, "$.k").alias("ex"), jsons.is_json(p).alias("ok"), jsons.json_query(p, "$.k", wrapper=True).alias("w"))
 
 
-@query("SELECT event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS o, '[\"' || event_type || '\",\"' || user_id || '\"]' AS a, 2 AS n FROM events")
+@query("SELECT event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS o, '[\"' || event_type || '\",' || user_id || ']' AS a, 2 AS n FROM events")
 def fn_json_build(t):
     a = jsons.json_array(F.col("event_type"), F.col("user_id"), F.lit(None))
     return t.events.select("event_id", jsons.json_object(id=F.col("event_id"), type=F.col("event_type")).alias("o"), a.alias("a"), F.json_array_length(a).alias("n"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '1' AS one FROM events""")
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '1' AS one, json_merge_patch(props::JSON, '{"gone":null,"b":2}'::JSON)::VARCHAR AS merged FROM events""")
 def fn_json_merge_set(t):
-    merged = jsons.json_set(jsons.json_mergepatch(F.col("props"), F.lit('{"gone":null,"b":2}')), F.lit("$.c.d"), F.lit("1"))
-    return t.events.select("event_id", jsons.json_value(merged, "$.k", "bigint").alias("k"), jsons.json_value(merged, "$.c.d").alias("one"))
+    patched = jsons.json_mergepatch(F.col("props"), F.lit('{"gone":null,"b":2}'))
+    merged = jsons.json_set(patched, F.lit("$.c.d"), F.lit("1"))
+    return t.events.select("event_id", jsons.json_value(merged, "$.k", "bigint").alias("k"), jsons.json_value(merged, "$.c.d").alias("one"), patched.alias("merged"))
 
 
 @query("""SELECT conv_id, i AS ord, json_extract_string(j, '$[' || (i - 1) || '].r') AS r, CAST(json_extract_string(j, '$[' || (i - 1) || '].t') AS BIGINT) AS t FROM

@@ -164,7 +164,7 @@ def values_list(t):
 
 @query("SELECT 1 + 1 AS two, 'x' || 'y' AS xy")
 def dual(t):
-    return t.spark.range(1).select(F.lit(2).alias("two"), F.concat(F.lit("x"), F.lit("y")).alias("xy"))
+    return t.spark.range(1).select((F.lit(1) + F.lit(1)).alias("two"), F.concat(F.lit("x"), F.lit("y")).alias("xy"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")

@@ -43,6 +43,8 @@ from tidemill.plans import (  # noqa: E402, F401  these fill the registry
     functions_queries,
     hierarchy_queries,
     joins_queries,
+    statements_queries,
+    values_queries,
     windows_queries,
     write_queries,
 )

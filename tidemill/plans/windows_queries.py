@@ -26,8 +26,8 @@ def window_offsets(t):
 
 @query("SELECT doc_id, last_value(quality IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM documents LEFT JOIN labels USING (doc_id)")
 def window_ignore_nulls(t):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left").select("doc_id", F.last_value("quality", ignoreNulls=True).over(w).alias("seen"))
+    rows = t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left")
+    return windows.last_known(rows, ["source"], "doc_id", "quality", "seen").select("doc_id", "seen")
 
 
 @query("SELECT o_orderkey, round(avg(o_totalprice) OVER w, 4) AS a, round(stddev_pop(o_totalprice) OVER w, 2) AS s, count(*) OVER w AS n, round(covar_pop(o_totalprice, o_orderkey) OVER w, 0) AS c FROM orders WINDOW w AS (PARTITION BY o_orderpriority, o_orderstatus)")
@@ -49,8 +49,8 @@ def window_listagg(t):
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM events""")
 def window_range_interval(t):
-    w = Window.partitionBy("event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-6 * 3600 * 10**6, 0)
-    return t.events.select("event_id", F.count("*").over(w).alias("n"))
+    rows = t.events.select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return windows.count_within(rows, ["event_type"], "at", 6 * 3600 * 10**6, "n").select("event_id", "n")
 
 
 #: Borders of frames: (name, SQL, offset), None for unbounded.
@@ -65,17 +65,13 @@ def _frames(kind: str, order: str):
     keys = "l_orderkey, l_linenumber"
 
     def run(t):
-        key = F.expr(order) if kind == "range" else None
-        rows = t.lineitem
-        out = []
-        for name, _, low, high in _FRAMES:
-            w = windows.frame(kind, ["l_suppkey"], key, low, high) if kind == "range" else Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
-            out.append(F.sum("l_linenumber").over(w).alias(name))
-        return rows.select("l_orderkey", "l_linenumber", *out)
+        columns = order.split(", ")
+        return t.lineitem.select("l_orderkey", "l_linenumber", *[F.sum("l_linenumber").over(windows.frame(kind, ["l_suppkey"], columns, low, high)).alias(name) for name, _, low, high in _FRAMES])
 
     run.__name__ = f"window_frames_{kind}"
     return query(f"SELECT {keys}, {sql} FROM lineitem")(run)
 
 
-_frames("rows", "l_orderkey, l_linenumber")
+# (l_orderkey, l_linenumber) isn't unique in lineitem: frames of rows need a total order
+_frames("rows", "l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice, l_quantity")
 _frames("range", "l_orderkey")

@@ -1,13 +1,10 @@
 """DML as tables after the statement, constraints, text files, and the streaming extension."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemill.operators import dml
 from tidemill.plans.registry import query
-from tidemill.sources import tables
+from tidemill.sources import scratch, tables
 from tidemill.streaming import events
 
 
@@ -68,8 +65,7 @@ def constraints(t):
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def text_dump_and_load(t):
     """DUMP and an external table over it. The files go to the cluster's shared folder where one is named."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    where = f"{base.rstrip('/')}/dump-{uuid.uuid4().hex}"
+    where = scratch.path(t.spark, "dump")
     tables.dump(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), where)
     return tables.external(t.spark, where, "s_suppkey bigint, s_name string, s_acctbal double", enclosed='"')
 
@@ -85,6 +81,7 @@ def events_tumbling(t):
     return events.windowed_counts(t.events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+@query("SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def events_sessions(t):
+    """Sessions end after 30 minutes without an event; against gaps and islands."""
     return events.sessions(t.events).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators import limits
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -34,10 +36,30 @@ def dump(df: DataFrame, location: str, *, terminated: str = ",", enclosed: str =
 
 
 def with_sequence(df: DataFrame, name: str, start: int = 1, step: int = 1) -> DataFrame:
-    """NEXTVAL for every row: unique and ascending by partition; gaps between partitions, as sequences with a cache have."""
+    """NEXTVAL for every row, of a sequence with a cache: unique and ascending by partition, start plus a multiple of step, with
+    gaps between partitions."""
     return df.withColumn(name, F.lit(start) + F.monotonically_increasing_id() * step)
 
 
+def numbered(df: DataFrame, name: str, order: list[str], start: int = 1, step: int = 1) -> DataFrame:
+    """NEXTVAL in an order and without gaps; CURRVAL afterwards is its largest value (for a positive step)."""
+    return limits.rownum(df, *order).withColumn(name, F.lit(start) + (F.col("rownum") - 1) * step).drop("rownum")
+
+
+def parallel_ranges(df: DataFrame, key: str, parts: int) -> list[tuple[int | None, int | None]]:
+    """Ranges [low, high) of a whole-number key that hold about as many rows each; the outer borders are open (None)."""
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0] or []
+    borders = [None, *sorted(set(cuts)), None]
+    return list(zip(borders, borders[1:]))
+
+
+def range_rows(df: DataFrame, key: str, low: int | None, high: int | None) -> DataFrame:
+    """The rows of a range; rows without a key belong to the first one."""
+    c = F.col(key)
+    rows = df if high is None else df.filter((c < high) | c.isNull() if low is None else c < high)
+    return rows if low is None else rows.filter(c >= low)
+
+
 def violations(df: DataFrame, *, unique: list[str] | None = None, not_null: list[str] | None = None, check=None, foreign: tuple[str, DataFrame, str] | None = None) -> DataFrame:
     """Rows (or keys) that break a constraint, in one column `violation` with the number of cases."""
     parts = []
