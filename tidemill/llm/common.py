@@ -173,7 +173,7 @@ def ship(spark: SparkSession) -> None:
 
 
 #: Bytes of an Arrow batch, about: texts may be long, so a number of rows is no bound.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -11,10 +11,11 @@ matched again by shorter prefixes, and so on down to the length under which even
 target recall. A pair is looked at where its match is met first, as long as either of the two is still being matched; nodes
 of a trie that have one child only, or whose documents are all done, are passed by.
 
-How the work is dealt out. Equal sets are one representative from the first step on. Documents that share prefixes are
-put into chunks of about CHUNK; the units of work are pairs of chunks that share a prefix, so no pair of documents is ever
-a row: a unit counts its links and hands on at most one edge a document, enough to connect what it has linked. A group of
-m different near copies is (m / CHUNK)^2 / 2 units over all executors, and a set is sent once for each unit of its chunk.
+How the work is dealt out. Equal sets are one representative from the first step on. Documents that share a shortest prefix
+are put into chunks, once for all lengths, of about CHUNK documents and CHUNK_BYTES; the units of work are pairs of chunks
+that share a prefix, so no pair of documents is ever a row: a unit counts its links and hands on at most one edge a document,
+enough to connect what it has linked. A group of m different near copies is (m / CHUNK)^2 / 2 units over all executors, and a
+set is sent once for each unit of its chunk.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
@@ -36,7 +37,8 @@ THRESHOLD = 0.8
 TREES = 32
 FULL_DEPTH = 8
 TARGET_RECALL = 0.9999
-CHUNK = 128
+CHUNK = 512
+CHUNK_BYTES = 32 << 20
 WIDE = 2  # bytes of a MinHash value in a label
 
 
@@ -102,21 +104,22 @@ def labels(shingles: np.ndarray) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels."""
+    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels, size (of the set)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = [t or "" for t in part.column("text").to_pylist()]
-            digests, found = [], []
+            digests, found, sizes = [], [], []
             for own in groups(texts):
                 for s in shingle_sets([texts[i] for i in own]):
+                    sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     found.append(labels(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "text_key", "digest", "labels"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "digest", "labels", "size"])
 
     batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary")
+    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary, size long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -138,11 +141,11 @@ def _prefix(tree, depth: int):
     return F.xxhash64(tree, F.substring(F.col("labels"), tree * (WIDE * FULL_DEPTH) + 1, F.lit(WIDE * depth)))
 
 
-def _placed(reps: DataFrame, depth: int, before: int | None, *more: str) -> DataFrame:
+def _placed(reps: DataFrame, depth: int, before: int | None, *columns: str) -> DataFrame:
     """A row for each document and trie: the prefix of this length, and the longer one (`inner`) that was tried before."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     inner = (lambda t: _prefix(t, before)) if before else (lambda t: F.lit(0).cast("long"))
-    return reps.select("rep", *more, F.explode(F.transform(trees, lambda t: F.struct(_prefix(t, depth).alias("label"), inner(t).alias("inner")))).alias("at")).select("rep", *more, "at.*")
+    return reps.select(*columns, F.explode(F.transform(trees, lambda t: F.struct(_prefix(t, depth).alias("label"), inner(t).alias("inner")))).alias("at")).select(*columns, "at.*")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -196,7 +199,7 @@ def link_unit(rows: list[dict], threshold: float, depths: list[int], level: int)
     b = a if alone else b
     links, missed, edges = np.zeros(len(rows), np.int64), np.zeros((len(rows), len(depths))), []
     values = [np.stack([np.frombuffer(rows[i]["labels"], ">u2").reshape(TREES, FULL_DEPTH).astype(np.uint64) for i in side]) if len(side) else np.zeros((0, TREES, FULL_DEPTH), np.uint64) for side in (a, b)]
-    open_ = np.array([r["open"] for r in rows])
+    open_ = np.array([r["slot"] not in r["closed"] for r in rows])
     pairs = matched(values, depths[level]) & (open_[a][:, None] | open_[b][None, :])
     if level:
         pairs &= ~matched(values, depths[level - 1])
@@ -267,36 +270,43 @@ def _verified(dealt: DataFrame, threshold: float, depths: list[int], level: int)
     return dealt.mapInArrow(run, "rep binary, other binary, n long, missed array<double>")
 
 
-def _candidates(reps: DataFrame, depths: list[int]) -> DataFrame:
-    """The representatives that share a prefix of the shortest length with another one: nothing else can have links."""
-    placed = _placed(reps, depths[-1], None)
-    shared = placed.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
-    near = placed.join(shared, "label", "left_semi").select("rep").distinct()
-    return stored(reps.join(near, "rep", "left_semi"), "join-candidates")
+def _candidates(reps: DataFrame, depth: int) -> DataFrame:
+    """The representatives that share a prefix of the shortest length with another one (nothing else can have links), with
+    their chunks and places in them."""
+    placed = _placed(reps, depth, None, "rep").drop("inner")
+    shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1").select("label", "leader")
+    led = stored(placed.join(shared, "label").groupBy("rep").agg(F.min("leader").alias("leader")), "join-led")
+    sized = led.join(reps, "rep")
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.col("size") * 8) / CHUNK_BYTES))
+    chunks = sized.groupBy("leader").agg(parts.alias("parts"))
+    chunk = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    near = sized.join(chunks, "leader").select("rep", "first_id", "copies", "labels", chunk.alias("chunk"))
+    slot = F.row_number().over(Window.partitionBy("chunk").orderBy("rep")).alias("slot")
+    near = stored(near.select("*", slot), "join-candidates")
+    drop(led)
+    return near
 
 
 def _level(near: DataFrame, held: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
-    """What the pairs hold that match at this level first. near: rep, labels, open."""
-    spark = near.sparkSession
+    """What the pairs hold that match at this level first. near: rep, chunk, slot, labels, open; held: what a unit needs of a
+    representative."""
     depth, before = depths[level], depths[level - 1] if level else None
-    placed = _placed(near, depth, before, "open")
-    shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader"), F.max("open").alias("open"), (F.min("inner") < F.max("inner")).alias("branches"))
-    shared = shared.filter(F.col("n") > 1).filter("open").filter(F.col("branches") | F.lit(before is None)).select("label", "leader")
-    members = stored(placed.select("label", "rep").join(shared, "label"), "join-members")
-    led = stored(members.groupBy("rep").agg(F.min("leader").alias("leader")), "join-led")
-    sizes = led.groupBy("leader").agg(F.count("*").alias("n"))
-    chunk = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CHUNK)))
-    chunked = stored(led.join(sizes, "leader").select("rep", chunk.alias("chunk")), "join-chunks")
-    # pairs of chunks that share a prefix
-    touching = stored(members.select("label", "rep").join(chunked, "rep").select("label", "chunk").distinct(), "join-touching")
-    units = touching.select("label", F.col("chunk").alias("a")).join(touching.select("label", F.col("chunk").alias("b")), "label").filter("a <= b").select("a", "b").distinct()
-    one, two = F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))
-    sent = units.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, two))).alias("s")).select("a", "b", "s.*")
-    full = stored(held.join(near.select("rep", "labels", "copies", "open"), "rep").join(chunked, "rep"), "join-full")
-    dealt = sent.join(full, "chunk").select("a", "b", "side", "rep", "copies", "open", "labels", "shingles")
-    dealt = dealt.repartition(2 * shuffle_width(spark), "a", "b").sortWithinPartitions("a", "b")
+    placed = _placed(near, depth, before, "chunk", "open")
+    of_chunks = placed.groupBy("label", "chunk").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min("inner").alias("low"), F.max("inner").alias("high"))
+    shared = of_chunks.groupBy("label").agg(F.sum("n").alias("members"), F.max("open").alias("any_open"), (F.min("low") < F.max("high")).alias("branches"))
+    shared = shared.filter(F.col("any_open") & (F.col("members") > 1) & (F.col("branches") | F.lit(before is None))).select("label")
+    touching = stored(of_chunks.join(shared, "label").select("label", "chunk", "n", "open", (F.lit(before is None) | (F.col("low") < F.col("high"))).alias("branches")), "join-touching")
+    # pairs of chunks that share a prefix, and chunks of which two members do
+    alone = touching.filter("n > 1 AND open AND branches").select(F.col("chunk").alias("a"), F.col("chunk").alias("b"))
+    one, two = (touching.select("label", F.col("chunk").alias(x), F.col("open").alias(f"open_{x}")) for x in "ab")
+    units = one.join(two, "label").filter("a < b AND (open_a OR open_b)").select("a", "b").unionAll(alone).distinct()
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))))
+    sent = units.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.*")
+    closed = near.groupBy("chunk").agg(F.collect_list(F.when(~F.col("open"), F.col("slot"))).alias("closed"))
+    dealt = sent.join(closed, "chunk").join(held, "chunk").select("a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles")
+    dealt = dealt.repartition(2 * shuffle_width(near.sparkSession), "a", "b").sortWithinPartitions("a", "b")
     found = stored(_verified(dealt, threshold, depths, level), "join-found")
-    drop(members, led, chunked, touching, full)
+    drop(touching)
     return found
 
 
@@ -305,7 +315,10 @@ def forest(near: DataFrame, held: DataFrame, threshold: float, depths: list[int]
     edges = None
     state = near.select("rep", F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0.0)] * len(depths)).alias("missed"), F.lit(depths[0]).alias("depth"), F.lit(True).alias("open"))
     for level, depth in enumerate(depths):
-        found = _level(near.join(state.select("rep", "open"), "rep"), held, threshold, depths, level)
+        # few representatives are done by then; the others are told by not being among them
+        done = state.filter("NOT open").select("rep", F.lit(True).alias("done"))
+        now_near = near.join(done, "rep", "left").select("rep", "chunk", "slot", "labels", F.col("done").isNull().alias("open"))
+        found = _level(now_near, held, threshold, depths, level)
         more = found.filter("other IS NULL").groupBy("rep").agg(F.sum("n").alias("_n"), F.array(*[F.sum(F.col("missed")[j]) for j in range(len(depths))]).alias("_missed"))
         n = F.col("n") + F.coalesce("_n", F.lit(0))
         missed = F.when(F.col("_missed").isNull(), F.col("missed")).otherwise(F.zip_with("missed", "_missed", lambda x, y: x + y))
@@ -327,11 +340,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float
     depths = depths_for(threshold, target_recall)
     signed = stored(sign(docs.filter("doc_id IS NOT NULL")), "join-signed")
     one = signed.groupBy("doc_id", "digest", "text_key").agg(F.count("*").alias("rows")).groupBy("doc_id", "digest").agg(F.min(F.struct("text_key", "rows")).alias("t")).select("doc_id", "digest", "t.*")
-    same = signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.countDistinct("doc_id").alias("copies"), F.min("labels").alias("labels"))
+    same = signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.countDistinct("doc_id").alias("copies"), F.min("labels").alias("labels"), F.min("size").alias("size"))
     reps = stored(same, "join-reps")
-    near = _candidates(reps, depths)
+    near = _candidates(reps, depths[-1])
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(near.select("first_id").distinct(), "first_id", "left_semi")
-    held = stored(_sets(texts).join(near.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "join-sets")
+    # texts of one id may be several, and of one set too: each representative keeps one
+    held = _sets(texts).join(near.select("rep", "chunk", "slot", "copies", "labels"), "rep").dropDuplicates(["rep"])
+    held = stored(held, "join-held")
     counts, edges = forest(near, held, threshold, depths, target_recall)
     joined_to = components(edges, "join-classes").withColumnRenamed("node", "rep")
     of = reps.select("rep", "first_id", "copies").join(counts, "rep", "left").join(joined_to, "rep", "left").select("rep", "first_id", "copies", "n", "depth", F.coalesce("component", "rep").alias("component"))

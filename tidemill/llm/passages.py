@@ -290,18 +290,32 @@ def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.join(copies.select("doc_id", "whole"), ["doc_id", "whole"], "left_anti").unionAll(copies)
 
 
-def removal(size: int, runs: list | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the maximal runs of bytes that the stretches cover."""
-    if not runs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    change = np.zeros(size + 1, np.int32)
-    np.add.at(change, [r["first"] for r in runs], 1)
-    np.add.at(change, [r["past"] + length - 1 for r in runs], -1)
+def removal(size: int, first: np.ndarray, past: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs of bytes that the runs of stretches (first, past the last) cover."""
+    if not len(first):
+        return first, past
+    change = np.bincount(first, minlength=size + 1) - np.bincount(past + length - 1, minlength=size + 1)
     gone = (np.cumsum(change) > 0).view(np.int8)
     edge = np.diff(gone, prepend=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _removals(part: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """The bytes of each row's text, and start and end of what is to be removed."""
+    runs = part.column("_runs")
+    sizes = runs.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    flat = runs.flatten()
+    first, past = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(part.column("_text"), (ends - sizes).tolist(), ends.tolist(), strict=True):
+        raw = text.as_py().encode()
+        yield raw, *removal(len(raw), first[a:b], past[a:b], length)
+
+
+def _kept(raw: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
+    return b"".join(raw[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(raw)], strict=True))
+
+
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
     found = stored(covered_places(docs, length), "passages-runs-by-doc")
     runs = found.select(F.col("doc_id").alias("_run_id"), F.col("whole").alias("_run_whole"), F.col("runs").alias("_runs"))
@@ -322,10 +336,8 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for text, runs in zip(part.column("_text").to_pylist(), part.column("_runs").to_pylist(), strict=True):
-                raw = text.encode()
-                a, b = removal(len(raw), runs, length)
-                kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
+            for raw, a, b in _removals(part, length):
+                kept = _kept(raw, a, b)
                 out.append((len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest()))
             n, gone, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -348,10 +360,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, changed = [], []
-            for text, runs in zip(part.column("_text").to_pylist(), part.column("_runs").to_pylist(), strict=True):
-                raw = text.encode()
-                a, b = removal(len(raw), runs, LENGTH)
-                texts.append(b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)).decode("utf-8", "ignore"))
+            for raw, a, b in _removals(part, LENGTH):
+                texts.append(_kept(raw, a, b).decode("utf-8", "ignore"))
                 changed.append(len(a) > 0)
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(changed)], names=["_row", "_new", "_changed"])
 
