@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, and the queries' registration."""
 
 import hashlib
+import random
 
 import numpy as np
 
@@ -41,6 +42,30 @@ def test_stages(spark):
     assert encoded.count() == mixed.count()
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns with the names that the stages use inside."""
+    rng = random.Random(3)
+    prose = [" ".join(rng.choice(["der", "the", "cat", "dog", "house", "haus", "und", "and", "of", "river"]) + str(rng.randint(0, 50)) for _ in range(rng.randint(5, 120))) for _ in range(60)]
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t), i, "x", "y") for i, t in enumerate(prose)]
+    rows += [rows[0], rows[1], (2, prose[5] + " more", None, None, None, None, None, None), (None, prose[7], "en", "s0", 1, 1, "x", "y"), (100, None, "en", "s0", None, 1, "x", "y"), (101, "", None, None, 0, 1, "x", "y"), (102, "123 ...", "en", None, 0, 1, "x", "y"), (103, "w " * 30000, "en", "s1", 60000, 1, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rep int, ids string, _row string").repartition(3)
+    found = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, found = found, stored(stage(spark, found, ""), name)
+        if name != "bpe_encode":
+            assert found.columns == docs.columns and found.schema == docs.schema
+            assert found.count() > 50
+        if name == "language_id":
+            # rejected: no text, no letter
+            assert before.count() - found.count() == 3
+    assert found.columns == [*docs.columns, "bpe_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert found.filter("size(bpe_ids) <> n_tokens").count() == 0
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stored(stage(spark, nothing, ""), name)
+        assert nothing.count() == 0
+
+
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
