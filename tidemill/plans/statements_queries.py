@@ -82,7 +82,7 @@ def table_statements(t):
     name = statements.create_table_as(t.region.select("r_regionkey", "r_name"), "regions")
     statements.truncate_table(t.spark, name)
     empty = t.spark.table(name).count()
-    t.region.limit(3).select("r_regionkey", "r_name").write.insertInto(name)
+    t.region.filter("r_regionkey >= 2").select("r_regionkey", "r_name").write.insertInto(name)
     filled = t.spark.table(name).count()
     statements.drop_table(t.spark, name)
     return t.spark.range(1).select(F.lit(empty).alias("after_truncate"), F.lit(filled).alias("after_insert"), F.lit(t.spark.catalog.tableExists(name)).alias("after_drop"))

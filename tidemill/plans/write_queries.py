@@ -44,9 +44,9 @@ def dml_delete_using(t):
 
 
 @query("""SELECT COALESCE(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NOT NULL AND s_suppkey IS NOT NULL THEN s_acctbal + b WHEN s_suppkey IS NULL THEN b ELSE s_acctbal END AS s_acctbal
-FROM supplier FULL JOIN (SELECT c_custkey AS k, c_acctbal AS b FROM customer WHERE c_custkey % 2 = 0) c ON s_suppkey = k WHERE NOT (k IS NOT NULL AND s_suppkey IS NOT NULL AND b < -500)""")
+FROM supplier FULL JOIN (SELECT c_custkey AS k, c_acctbal AS b FROM customer WHERE c_mktsegment <> 'BUILDING') c ON s_suppkey = k WHERE NOT (k IS NOT NULL AND s_suppkey IS NOT NULL AND b < -500)""")
 def dml_merge(t):
-    source = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("b"))
+    source = t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("b"))
     return dml.merge(t.supplier.select("s_suppkey", "s_acctbal"), source, ["s_suppkey"], matched={"s_acctbal": F.col("s_acctbal") + F.col("s_b")}, delete_when=F.col("s_b") < -500, not_matched={"s_suppkey": F.col("s_s_suppkey"), "s_acctbal": F.col("s_b")})
 
 
