@@ -121,6 +121,14 @@ def test_windows_in_cells(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_scalar_subqueries(spark):
+    t = spark.createDataFrame([(1,), (2,)], "x int")
+    assert [r.v for r in joins.scalar(t.filter("x = 1"), "v").collect()] == [1]
+    assert [r.v for r in joins.scalar(t.filter("x = 9"), "v").collect()] == [None]
+    with pytest.raises(Exception, match="more than one row"):
+        joins.scalar(t, "v").collect()
+
+
 def test_set_types():
     from pyspark.sql import types as T
 

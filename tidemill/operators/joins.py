@@ -75,3 +75,10 @@ def in_order(*tables: DataFrame, on: list[Column], how: str = "inner") -> DataFr
         if k + 2 < len(tables):
             out = materialised(out, "leading")
     return out
+
+
+def scalar(df: DataFrame, name: str) -> DataFrame:
+    """A scalar subquery: one row with one column `name`, null for an empty subquery; an error if it has several rows."""
+    several = F.raise_error(F.lit("a scalar subquery gives more than one row"))
+    value = F.col(df.columns[0])
+    return df.agg(F.when(F.count("*") > 1, several.cast(df.schema[0].dataType)).otherwise(F.max(value)).alias(name))

@@ -126,6 +126,15 @@ def agg_hypothetical(t):
     return t.orders.groupBy("o_orderstatus").agg(aggregates.rank_within(k, c).alias("r"), aggregates.dense_rank_within(k, c).alias("dr"), F.round(aggregates.cume_dist_within(k, c), 6).alias("cd"))
 
 
+@query("""WITH q AS (SELECT source, quality, doc_id FROM documents LEFT JOIN labels USING (doc_id)), r AS (SELECT *, CASE WHEN quality IS NULL THEN 2 ELSE 1 - quality END AS down FROM q)
+SELECT source, 1 + count(*) FILTER (down < 0 OR (quality IS NULL) OR (quality = 1 AND doc_id < 50)) AS r, 1 + count(DISTINCT (quality, doc_id)) FILTER (quality IS NULL OR (quality = 1 AND doc_id < 50)) AS dr FROM r GROUP BY 1""")
+def agg_hypothetical_keys(t):
+    """Two keys, the first descending with nulls: RANK(1, 50) WITHIN GROUP (ORDER BY quality DESC, doc_id)."""
+    rows = t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left")
+    keys, constants, up = [F.col("quality"), F.col("doc_id")], [F.lit(1), F.lit(50)], [False, True]
+    return rows.groupBy("source").agg(aggregates.rank_within(keys, constants, up).alias("r"), aggregates.dense_rank_within(keys, constants, up).alias("dr"))
+
+
 @query("SELECT c_mktsegment, round(sum(s), 2) AS total FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY 1")
 def agg_pushed_below_join(t):
     """Orders are summed by customer before the join: the join then sees one row a customer."""

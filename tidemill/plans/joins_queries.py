@@ -147,7 +147,7 @@ def subquery_correlated(t):
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT max(r_name) FROM region) AS top FROM customer")
 def subquery_scalar(t):
     n = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    return t.customer.join(n, F.col("c_custkey") == F.col("k"), "left").crossJoin(F.broadcast(t.region.agg(F.max("r_name").alias("top")))).select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "top")
+    return t.customer.join(n, F.col("c_custkey") == F.col("k"), "left").crossJoin(F.broadcast(joins.scalar(t.region.agg(F.max("r_name")), "top"))).select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), "top")
 
 
 @query("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT a.o_custkey, round(a.total, 2) AS total FROM big a WHERE a.total > (SELECT avg(total) FROM big)")
