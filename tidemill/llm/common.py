@@ -59,10 +59,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stored(), in one file for each bucket of the key: later joins on the key shuffle the other side only."""
+    spark = df.sparkSession
+    path, table = folder(spark, name), f"tidemill_{uuid.uuid4().hex}"
+    n = shuffle_width(spark)
+    was = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
+    finally:
+        spark.conf.set(_CLEAN, was)
+    out = spark.table(table)
+    out._stored_at, out._table = path, table
+    return out
+
+
 def drop(*tables: DataFrame | None) -> None:
-    """Delete tables that stored() gave and that nothing reads any more."""
+    """Delete tables that stored() or bucketed() gave and that nothing reads any more."""
     for table in tables:
         if table is not None:
+            if hasattr(table, "_table"):
+                table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
             _delete(table._stored_at)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, drop, joined, mix, read, shuffle_width, stored, word_hashes
+from tidemill.llm.common import batches, bucketed, drop, joined, mix, read, shuffle_width, stored, word_hashes
 from tidemill.llm.graph import components
 
 SHINGLE = 5
@@ -39,7 +39,7 @@ FULL_DEPTH = 8
 TARGET_RECALL = 0.9999
 CHUNK = 512
 CHUNK_BYTES = 32 << 20
-WIDE = 2  # bytes of a MinHash value in a label
+WIDE = 1  # bytes of a MinHash value in a label: unequal values pass for equal ones now and then, which costs a comparison
 
 
 def recall_at(likeness, depth: int, trees: int = TREES):
@@ -100,40 +100,27 @@ def minhash(shingles: np.ndarray, count: int = TREES * FULL_DEPTH) -> np.ndarray
 
 def labels(shingles: np.ndarray) -> bytes:
     """The labels in all tries, one after another."""
-    return minhash(shingles).astype(">u2").tobytes()
+    return (minhash(shingles) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels, size (of the set)."""
+    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels, and the set itself,
+    sorted, as bytes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = [t or "" for t in part.column("text").to_pylist()]
-            digests, found, sizes = [], [], []
+            digests, found, sets = [], [], []
             for own in groups(texts):
                 for s in shingle_sets([texts[i] for i in own]):
-                    sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sets.append(s.tobytes())
+                    digests.append(hashlib.blake2b(sets[-1], digest_size=16).digest() if len(s) else None)
                     found.append(labels(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "digest", "labels", "size"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "digest", "labels", "shingles"])
 
     batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary, size long")
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """rep (the digest of the shingle set) and the set itself, sorted, as bytes."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for own in groups(texts):
-                raw = [s.tobytes() for s in shingle_sets([texts[i] for i in own])]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["rep", "shingles"])
-
-    batches(texts.sparkSession)
-    return texts.select("text").mapInArrow(run, "rep binary, shingles binary")
+    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary, shingles binary")
 
 
 def _prefix(tree, depth: int):
@@ -198,7 +185,7 @@ def link_unit(rows: list[dict], threshold: float, depths: list[int], level: int)
     alone = not len(b)
     b = a if alone else b
     links, missed, edges = np.zeros(len(rows), np.int64), np.zeros((len(rows), len(depths))), []
-    values = [np.stack([np.frombuffer(rows[i]["labels"], ">u2").reshape(TREES, FULL_DEPTH).astype(np.uint64) for i in side]) if len(side) else np.zeros((0, TREES, FULL_DEPTH), np.uint64) for side in (a, b)]
+    values = [np.stack([np.frombuffer(rows[i]["labels"], np.uint8).reshape(TREES, FULL_DEPTH).astype(np.uint64) for i in side]) if len(side) else np.zeros((0, TREES, FULL_DEPTH), np.uint64) for side in (a, b)]
     open_ = np.array([r["slot"] not in r["closed"] for r in rows])
     pairs = matched(values, depths[level]) & (open_[a][:, None] | open_[b][None, :])
     if level:
@@ -272,26 +259,27 @@ def _verified(dealt: DataFrame, threshold: float, depths: list[int], level: int)
 
 def _candidates(reps: DataFrame, depth: int) -> DataFrame:
     """The representatives that share a prefix of the shortest length with another one (nothing else can have links), with
-    their chunks and places in them."""
+    their chunks and places in them. A document goes where most others share a prefix with it, so that few chunks hold a
+    large group."""
     placed = _placed(reps, depth, None, "rep").drop("inner")
-    shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1").select("label", "leader")
-    led = stored(placed.join(shared, "label").groupBy("rep").agg(F.min("leader").alias("leader")), "join-led")
-    sized = led.join(reps, "rep")
-    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.col("size") * 8) / CHUNK_BYTES))
-    chunks = sized.groupBy("leader").agg(parts.alias("parts"))
+    shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
+    led = placed.join(shared, "label").groupBy("rep").agg(F.max(F.struct("n", "leader")).alias("at")).select("rep", "at.leader")
+    led = stored(led.join(reps.select("rep", F.octet_length("shingles").alias("size")), "rep"), "join-led")
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_BYTES))
+    chunks = led.groupBy("leader").agg(parts.alias("parts"))
     chunk = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    near = sized.join(chunks, "leader").select("rep", "first_id", "copies", "labels", chunk.alias("chunk"))
+    dealt = stored(led.join(chunks, "leader").select("rep", chunk.alias("chunk")), "join-dealt")
     slot = F.row_number().over(Window.partitionBy("chunk").orderBy("rep")).alias("slot")
-    near = stored(near.select("*", slot), "join-candidates")
-    drop(led)
+    near = bucketed(reps.select("rep", "copies", "labels", "shingles").join(dealt, "rep").select("*", slot), "join-candidates", "chunk")
+    drop(led, dealt)
     return near
 
 
-def _level(near: DataFrame, held: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
-    """What the pairs hold that match at this level first. near: rep, chunk, slot, labels, open; held: what a unit needs of a
-    representative."""
+def _level(near: DataFrame, done: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
+    """What the pairs hold that match at this level first. done: rep, chunk and slot of those whose matching has ended."""
     depth, before = depths[level], depths[level - 1] if level else None
-    placed = _placed(near, depth, before, "chunk", "open")
+    still = near.select("rep", "chunk", "slot", "labels").join(done.select("rep", F.lit(True).alias("done")), "rep", "left").withColumn("open", F.col("done").isNull())
+    placed = _placed(still, depth, before, "chunk", "open")
     of_chunks = placed.groupBy("label", "chunk").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min("inner").alias("low"), F.max("inner").alias("high"))
     shared = of_chunks.groupBy("label").agg(F.sum("n").alias("members"), F.max("open").alias("any_open"), (F.min("low") < F.max("high")).alias("branches"))
     shared = shared.filter(F.col("any_open") & (F.col("members") > 1) & (F.col("branches") | F.lit(before is None))).select("label")
@@ -302,30 +290,28 @@ def _level(near: DataFrame, held: DataFrame, threshold: float, depths: list[int]
     units = one.join(two, "label").filter("a < b AND (open_a OR open_b)").select("a", "b").unionAll(alone).distinct()
     sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))))
     sent = units.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.*")
-    closed = near.groupBy("chunk").agg(F.collect_list(F.when(~F.col("open"), F.col("slot"))).alias("closed"))
-    dealt = sent.join(closed, "chunk").join(held, "chunk").select("a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles")
+    closed = done.groupBy("chunk").agg(F.collect_list("slot").alias("closed"))
+    dealt = sent.join(closed, "chunk", "left").withColumn("closed", F.coalesce("closed", F.array().cast("array<int>"))).join(near, "chunk").select("a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles")
     dealt = dealt.repartition(2 * shuffle_width(near.sparkSession), "a", "b").sortWithinPartitions("a", "b")
     found = stored(_verified(dealt, threshold, depths, level), "join-found")
     drop(touching)
     return found
 
 
-def forest(near: DataFrame, held: DataFrame, threshold: float, depths: list[int], target_recall: float) -> tuple[DataFrame, DataFrame]:
+def forest(near: DataFrame, threshold: float, depths: list[int], target_recall: float) -> tuple[DataFrame, DataFrame]:
     """rep, n (links), depth (the prefix length at which its matching ended); and all edges (rep, other)."""
     edges = None
-    state = near.select("rep", F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0.0)] * len(depths)).alias("missed"), F.lit(depths[0]).alias("depth"), F.lit(True).alias("open"))
+    state = near.select("rep", "chunk", "slot", F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0.0)] * len(depths)).alias("missed"), F.lit(depths[0]).alias("depth"), F.lit(True).alias("open"))
     for level, depth in enumerate(depths):
-        # few representatives are done by then; the others are told by not being among them
-        done = state.filter("NOT open").select("rep", F.lit(True).alias("done"))
-        now_near = near.join(done, "rep", "left").select("rep", "chunk", "slot", "labels", F.col("done").isNull().alias("open"))
-        found = _level(now_near, held, threshold, depths, level)
+        done = state.filter("NOT open").select("rep", "chunk", "slot")
+        found = _level(near, done, threshold, depths, level)
         more = found.filter("other IS NULL").groupBy("rep").agg(F.sum("n").alias("_n"), F.array(*[F.sum(F.col("missed")[j]) for j in range(len(depths))]).alias("_missed"))
         n = F.col("n") + F.coalesce("_n", F.lit(0))
         missed = F.when(F.col("_missed").isNull(), F.col("missed")).otherwise(F.zip_with("missed", "_missed", lambda x, y: x + y))
         # a link at the threshold that hasn't been seen is reckoned with as well
         recall = n / (n + missed[level] + F.lit(float(1 - recall_at(threshold, depth))))
         go_on = F.col("open") & F.lit(level + 1 < len(depths)) & (recall < target_recall)
-        now = state.join(more, "rep", "left").select("rep", n.alias("n"), missed.alias("missed"), F.when(F.col("open"), F.lit(depth)).otherwise(F.col("depth")).alias("depth"), go_on.alias("open"))
+        now = state.join(more, "rep", "left").select("rep", "chunk", "slot", n.alias("n"), missed.alias("missed"), F.when(F.col("open"), F.lit(depth)).otherwise(F.col("depth")).alias("depth"), go_on.alias("open"))
         state = stored(now, "join-state")
         own = found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))
         edges = own if edges is None else edges.unionAll(own)
@@ -340,18 +326,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float
     depths = depths_for(threshold, target_recall)
     signed = stored(sign(docs.filter("doc_id IS NOT NULL")), "join-signed")
     one = signed.groupBy("doc_id", "digest", "text_key").agg(F.count("*").alias("rows")).groupBy("doc_id", "digest").agg(F.min(F.struct("text_key", "rows")).alias("t")).select("doc_id", "digest", "t.*")
-    same = signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.countDistinct("doc_id").alias("copies"), F.min("labels").alias("labels"), F.min("size").alias("size"))
-    reps = stored(same, "join-reps")
+    one = stored(one, "join-documents")
+    copies = one.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    # the first document of each set brings the set
+    firsts = signed.select(F.col("digest").alias("rep"), F.col("doc_id").alias("first_id"), "labels", "shingles")
+    reps = bucketed(firsts.join(copies, ["rep", "first_id"]).dropDuplicates(["rep"]), "join-reps", "rep")
+    drop(signed)
     near = _candidates(reps, depths[-1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(near.select("first_id").distinct(), "first_id", "left_semi")
-    # texts of one id may be several, and of one set too: each representative keeps one
-    held = _sets(texts).join(near.select("rep", "chunk", "slot", "copies", "labels"), "rep").dropDuplicates(["rep"])
-    held = stored(held, "join-held")
-    counts, edges = forest(near, held, threshold, depths, target_recall)
+    counts, edges = forest(near, threshold, depths, target_recall)
     joined_to = components(edges, "join-classes").withColumnRenamed("node", "rep")
     of = reps.select("rep", "first_id", "copies").join(counts, "rep", "left").join(joined_to, "rep", "left").select("rep", "first_id", "copies", "n", "depth", F.coalesce("component", "rep").alias("component"))
     of = stored(of, "join-classes")
-    drop(near, held)
+    drop(near, reps)
     first = of.groupBy("component").agg(F.min(F.struct("first_id", "rep")).alias("first"))
     per_rep = of.join(first, "component").select("rep", F.col("first.first_id").alias("class_id"), (F.col("first.rep") == F.col("rep")).alias("first"), "depth", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     out = one.join(per_rep, one.digest == per_rep.rep, "left")
