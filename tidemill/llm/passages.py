@@ -40,7 +40,7 @@ GRAM = 16
 MAX_RUN = 64
 #: Bytes of a block of keys that a task sorts at a time, and surroundings of a key that are not too many for one.
 BLOCK_BYTES = 1 << 20
-GROUP = 8192
+GROUP = 2048
 
 
 def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -261,12 +261,13 @@ def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "whole", F.unhex(F.md5("text")).alias("text"), F.octet_length("text").alias("size"))
     firsts = texts.groupBy("text").agg(F.min("doc_id").alias("first_id"))
     ids = stored(texts.join(firsts, "text").select("doc_id", "whole", "size", (F.col("doc_id") > F.col("first_id")).alias("copy")).distinct(), "passages-ids")
-    keys = _keys(docs, length)
+    # what is looked up has distinct keys, so it is hashed by partition: the long sides of the joins aren't sorted
+    keys = stored(_keys(docs, length), "passages-all-keys")
     shared = stored(keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key"), "passages-keys")
-    held = keys.join(shared, "key", "left_semi").groupBy("doc_id", "whole").agg(F.collect_set("key").alias("keys"))
+    held = keys.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("doc_id", "whole").agg(F.collect_set("key").alias("keys"))
     held = stored(held.join(ids.filter("NOT copy").select("doc_id", "whole"), ["doc_id", "whole"], "left_semi"), "passages-held")
-    drop(shared)
-    wide = _surroundings(docs.dropDuplicates(["doc_id", "whole"]).join(held, ["doc_id", "whole"]).select("doc_id", "text", "whole", "keys"), length)
+    drop(keys, shared)
+    wide = _surroundings(docs.join(held, ["doc_id", "whole"]).select("doc_id", "text", "whole", "keys"), length)
     wide = stored(wide.withColumn("digest", F.xxhash64("bytes")), "passages-wide")
     drop(held)
     pieces = _grouped(wide, length)
@@ -277,9 +278,9 @@ def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = one.select("key", "digest", "bytes", "at", "source").repartition(2 * shuffle_width(spark), "key").sortWithinPartitions("key")
     runs = stored(dealt.mapInArrow(_sorted_blocks(length), "key long, digest long, runs array<struct<first int, past int>>"), "passages-runs")
     # written before it is joined again: a join with a table can be split where a passage is hot
-    sources = stored(one.select("key", "digest", "source").join(runs, ["key", "digest"], "left"), "passages-sources")
+    sources = stored(one.select("key", "digest", "source").join(runs.hint("shuffle_hash"), ["key", "digest"], "left"), "passages-sources")
     drop(runs)
-    back = every.select("doc_id", "whole", "first", "n", "key", "digest").join(sources, ["key", "digest"])
+    back = every.select("doc_id", "whole", "first", "n", "key", "digest").join(sources.hint("shuffle_hash"), ["key", "digest"])
     # a later document with the same surroundings loses them all; the first one, what earlier ones hold of them
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("past")))
     part = F.when(F.col("doc_id") > F.col("source"), whole).otherwise(F.col("runs"))
