@@ -12,6 +12,7 @@ no task holds more than its bucket; an id (or no id) that very many rows have is
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,8 +30,8 @@ ANCHORS = (
 CHAIN = 2
 #: Hex digits of a signature.
 DIGITS = 12
-#: Bytes of text in a bucket of ids, about.
-BUCKET_BYTES = 8 << 20
+#: Buckets of ids for each shuffle partition: several in a partition even out their sizes.
+BUCKETS = 4
 THRESHOLD = 0.8
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -83,6 +84,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).otherwise(common / (n + m - common))
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A list of numbers (or of lists) as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _count_under(cuts: list[int], x: Column, *, equal: bool) -> Column:
     """How many of the sorted cuts are less than x (or equal to it). Cuts are looked up in two steps, each over about the root
     of their number."""
@@ -92,10 +98,8 @@ def _count_under(cuts: list[int], x: Column, *, equal: bool) -> Column:
     def under(values: Column) -> Column:
         return F.size(F.filter(values, lambda c: (c <= x) if equal else (c < x)))
 
-    def long_array(values: list[int]) -> Column:
-        return F.array(*map(F.lit, values)).cast("array<bigint>")
-
-    return let(under(long_array([part[0] for part in parts[1:]])), lambda g: g * width + under(F.get(F.array(*map(long_array, parts)), g)))
+    coarse = _constant([part[0] for part in parts[1:]], "array<bigint>")
+    return let(under(coarse), lambda g: g * width + under(F.get(_constant(parts, "array<array<bigint>>"), g)))
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Window]:
@@ -108,8 +112,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, W
     also sent to the bucket before.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    total, size, nulls = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.count_if(F.col("doc_id").isNull())).first()
-    buckets = buckets or max(64, shuffle_width(docs.sparkSession), -(-(size or 0) // BUCKET_BYTES))
+    total, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    buckets = buckets or max(64, BUCKETS * shuffle_width(docs.sparkSession))
     cuts = sorted(map(int, docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []))
     none = -(-nulls * buckets // max(1, total))  # buckets of the rows without an id
     share = (F.shiftrightunsigned("hash", 34) / float(1 << 30))  # the hash's place among all hashes, 0 to 1
@@ -119,13 +123,15 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, W
     of = F.when(F.col("doc_id").isNull(), F.floor(share * none)).otherwise(F.lit(none) + low + F.floor(share * (high - low + 1))).cast("int")
     firsts = sorted((r[0], r[1][0], r[1][1]) for r in docs.select(of.alias("bucket"), F.struct("doc_id", "hash").alias("row")).groupBy("bucket").agg(F.min("row")).collect())
 
-    def by_bucket(values: list, kind: str) -> Column:
-        pairs = [F.lit(x).cast(t) for (b, _, _), v in zip(firsts, values, strict=True) for x, t in ((b, "int"), (v, kind))]
-        return F.get(F.array(*pairs[1::2]), F.array_position(F.array(*pairs[::2]), F.col("bucket")).cast("int") - 1) if pairs else F.lit(None).cast(kind)
+    place = {b: i for i, (b, _, _) in enumerate(firsts)}
+
+    def by_bucket(value) -> Column:
+        """value of each bucket's place among the buckets that have rows."""
+        return F.get(_constant([value(place[b]) if b in place else None for b in range(none + len(cuts) + 1)], "array<bigint>"), F.col("bucket"))
 
-    is_first = by_bucket([d for _, d, _ in firsts], "bigint").eqNullSafe(F.col("doc_id")) & (by_bucket([h for _, _, h in firsts], "bigint") == F.col("hash"))
+    is_first = by_bucket(lambda i: firsts[i][1]).eqNullSafe(F.col("doc_id")) & (by_bucket(lambda i: firsts[i][2]) == F.col("hash"))
     here = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("ghost"))
-    there = F.struct(by_bucket([firsts[i - 1][0] for i in range(len(firsts))], "int").alias("at"), F.lit(1).alias("ghost"))
+    there = F.struct(by_bucket(lambda i: firsts[i - 1][0]).cast("int").alias("at"), F.lit(1).alias("ghost"))
     sent = docs.withColumn("bucket", of).select("doc_id", "text", "hash", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("to"))
     rows = sent.select("doc_id", "text", "hash", "to.at", "to.ghost").repartition("at")
     return rows, Window.partitionBy("at").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "hash")
