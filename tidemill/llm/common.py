@@ -60,14 +60,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As stored(), in one file for each bucket of the key: later joins on the key shuffle the other side only."""
+    """As stored(), in buckets of the key, by which df is dealt already into shuffle_width() partitions: later joins on the key
+    shuffle the other side only."""
     spark = df.sparkSession
     path, table = folder(spark, name), f"tidemill_{uuid.uuid4().hex}"
     n = shuffle_width(spark)
     was = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
     finally:
         spark.conf.set(_CLEAN, was)
     out = spark.table(table)

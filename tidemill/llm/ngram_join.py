@@ -103,24 +103,27 @@ def labels(shingles: np.ndarray) -> bytes:
     return (minhash(shingles) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels, and the set itself,
-    sorted, as bytes."""
+    """doc_id, text_key (a hash of the text), digest (of the shingle set; null without shingles), labels, size (of the set)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = [t or "" for t in part.column("text").to_pylist()]
-            digests, found, sets = [], [], []
+            digests, found, sizes = [], [], []
             for own in groups(texts):
                 for s in shingle_sets([texts[i] for i in own]):
-                    sets.append(s.tobytes())
-                    digests.append(hashlib.blake2b(sets[-1], digest_size=16).digest() if len(s) else None)
+                    sizes.append(len(s))
+                    digests.append(_digest(s) if len(s) else None)
                     found.append(labels(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "digest", "labels", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "digest", "labels", "size"])
 
     batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary, shingles binary")
+    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary, size long")
 
 
 def _prefix(tree, depth: int):
@@ -264,18 +267,41 @@ def _candidates(reps: DataFrame, depth: int) -> DataFrame:
     placed = _placed(reps, depth, None, "rep").drop("inner")
     shared = placed.groupBy("label").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     led = placed.join(shared, "label").groupBy("rep").agg(F.max(F.struct("n", "leader")).alias("at")).select("rep", "at.leader")
-    led = stored(led.join(reps.select("rep", F.octet_length("shingles").alias("size")), "rep"), "join-led")
-    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_BYTES))
+    led = stored(led.join(reps, "rep"), "join-led")
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.col("size") * 8) / CHUNK_BYTES))
     chunks = led.groupBy("leader").agg(parts.alias("parts"))
     chunk = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    dealt = stored(led.join(chunks, "leader").select("rep", chunk.alias("chunk")), "join-dealt")
+    near = led.join(chunks, "leader").select("rep", "first_id", "copies", "labels", chunk.alias("chunk"))
     slot = F.row_number().over(Window.partitionBy("chunk").orderBy("rep")).alias("slot")
-    near = bucketed(reps.select("rep", "copies", "labels", "shingles").join(dealt, "rep").select("*", slot), "join-candidates", "chunk")
-    drop(led, dealt)
+    near = stored(near.select("*", slot), "join-candidates")
+    drop(led)
     return near
 
 
-def _level(near: DataFrame, done: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
+def _with_sets(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """What a unit needs of each candidate, with its set of shingles, sorted, as bytes; in buckets of the chunk. The ids that are
+    looked up are hashed by partition, so the texts aren't sorted; texts go no further than the task that hashes them."""
+    names = ["rep", "chunk", "slot", "copies", "labels"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            wanted = part.column("rep").to_pylist()
+            for own in groups(texts):
+                # rows of one id may have other texts than the candidate's
+                sets = {i: s.tobytes() for i, s in zip(own, shingle_sets([texts[i] for i in own]), strict=True) if _digest(s) == wanted[i]}
+                at = pa.array(list(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(n).take(at) for n in names], pa.array(list(sets.values()), pa.binary())], names=[*names, "shingles"])
+
+    batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(near.hint("shuffle_hash"), "first_id").select("text", *names)
+    sets = texts.mapInArrow(run, "rep binary, chunk long, slot int, copies long, labels binary, shingles binary")
+    dealt = sets.repartition(shuffle_width(docs.sparkSession), "chunk")
+    once = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("chunk", "rep").orderBy("slot"))).filter("_n = 1").drop("_n")
+    return bucketed(once, "join-sets", "chunk")
+
+
+def _level(near: DataFrame, held: DataFrame, done: DataFrame, threshold: float, depths: list[int], level: int) -> DataFrame:
     """What the pairs hold that match at this level first. done: rep, chunk and slot of those whose matching has ended."""
     depth, before = depths[level], depths[level - 1] if level else None
     still = near.select("rep", "chunk", "slot", "labels").join(done.select("rep", F.lit(True).alias("done")), "rep", "left").withColumn("open", F.col("done").isNull())
@@ -291,20 +317,20 @@ def _level(near: DataFrame, done: DataFrame, threshold: float, depths: list[int]
     sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))))
     sent = units.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.*")
     closed = done.groupBy("chunk").agg(F.collect_list("slot").alias("closed"))
-    dealt = sent.join(closed, "chunk", "left").withColumn("closed", F.coalesce("closed", F.array().cast("array<int>"))).join(near, "chunk").select("a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles")
+    dealt = sent.join(closed, "chunk", "left").withColumn("closed", F.coalesce("closed", F.array().cast("array<int>"))).join(held, "chunk").select("a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles")
     dealt = dealt.repartition(2 * shuffle_width(near.sparkSession), "a", "b").sortWithinPartitions("a", "b")
     found = stored(_verified(dealt, threshold, depths, level), "join-found")
     drop(touching)
     return found
 
 
-def forest(near: DataFrame, threshold: float, depths: list[int], target_recall: float) -> tuple[DataFrame, DataFrame]:
+def forest(near: DataFrame, held: DataFrame, threshold: float, depths: list[int], target_recall: float) -> tuple[DataFrame, DataFrame]:
     """rep, n (links), depth (the prefix length at which its matching ended); and all edges (rep, other)."""
     edges = None
     state = near.select("rep", "chunk", "slot", F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0.0)] * len(depths)).alias("missed"), F.lit(depths[0]).alias("depth"), F.lit(True).alias("open"))
     for level, depth in enumerate(depths):
         done = state.filter("NOT open").select("rep", "chunk", "slot")
-        found = _level(near, done, threshold, depths, level)
+        found = _level(near, held, done, threshold, depths, level)
         more = found.filter("other IS NULL").groupBy("rep").agg(F.sum("n").alias("_n"), F.array(*[F.sum(F.col("missed")[j]) for j in range(len(depths))]).alias("_missed"))
         n = F.col("n") + F.coalesce("_n", F.lit(0))
         missed = F.when(F.col("_missed").isNull(), F.col("missed")).otherwise(F.zip_with("missed", "_missed", lambda x, y: x + y))
@@ -327,17 +353,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float
     signed = stored(sign(docs.filter("doc_id IS NOT NULL")), "join-signed")
     one = signed.groupBy("doc_id", "digest", "text_key").agg(F.count("*").alias("rows")).groupBy("doc_id", "digest").agg(F.min(F.struct("text_key", "rows")).alias("t")).select("doc_id", "digest", "t.*")
     one = stored(one, "join-documents")
-    copies = one.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    # the first document of each set brings the set
-    firsts = signed.select(F.col("digest").alias("rep"), F.col("doc_id").alias("first_id"), "labels", "shingles")
-    reps = bucketed(firsts.join(copies, ["rep", "first_id"]).dropDuplicates(["rep"]), "join-reps", "rep")
+    same = signed.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("rep")).agg(F.min("doc_id").alias("first_id"), F.countDistinct("doc_id").alias("copies"), F.min("labels").alias("labels"), F.min("size").alias("size"))
+    reps = stored(same, "join-reps")
     drop(signed)
     near = _candidates(reps, depths[-1])
-    counts, edges = forest(near, threshold, depths, target_recall)
+    held = _with_sets(docs, near)
+    counts, edges = forest(near, held, threshold, depths, target_recall)
     joined_to = components(edges, "join-classes").withColumnRenamed("node", "rep")
     of = reps.select("rep", "first_id", "copies").join(counts, "rep", "left").join(joined_to, "rep", "left").select("rep", "first_id", "copies", "n", "depth", F.coalesce("component", "rep").alias("component"))
     of = stored(of, "join-classes")
-    drop(near, reps)
+    drop(near, held)
     first = of.groupBy("component").agg(F.min(F.struct("first_id", "rep")).alias("first"))
     per_rep = of.join(first, "component").select("rep", F.col("first.first_id").alias("class_id"), (F.col("first.rep") == F.col("rep")).alias("first"), "depth", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     out = one.join(per_rep, one.digest == per_rep.rep, "left")
