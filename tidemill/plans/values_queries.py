@@ -10,14 +10,14 @@ def _values(t, rows: str, columns: str):
     return t.spark.sql(f"SELECT * FROM VALUES {rows} AS v({columns})")
 
 
-@query("SELECT * FROM (VALUES (1, 1.15, 1.1, 1.0), (2, -2.57, -2.5, -2.0), (3, 0.29, 0.2, 0.0), (4, 8.0, 8.0, 8.0)) v(i, two, one, none)")
+@query("SELECT i, two::DOUBLE AS two, one::DOUBLE AS one, none::DOUBLE AS none FROM (VALUES (1, 1.15, 1.1, 1.0), (2, -2.57, -2.5, -2.0), (3, 0.29, 0.2, 0.0), (4, 8.0, 8.0, 8.0)) v(i, two, one, none)")
 def fn_trunc_decimals(t):
     """1.15 has no exact double below it that truncates to 1.14."""
     d = _values(t, "(1, 1.15D), (2, -2.57D), (3, 0.29D), (4, 8D)", "i, x")
     return d.select("i", *[numbers.trunc(F.col("x"), k).cast("double").alias(n) for k, n in ((2, "two"), (1, "one"), (0, "none"))])
 
 
-@query("""SELECT * FROM (VALUES (1, '  1,234.50', '1234.5', '#####', 1234.5), (2, '    -12.25', '-12.25', '  -12', -12.25), (3, '      0.00', '0', '    0', 0.0), (4, NULL, NULL, NULL, NULL)) v(i, grouped, plain, whole, back)""")
+@query("""SELECT i, grouped, plain, whole, back::DOUBLE AS back FROM (VALUES (1, '  1,234.50', '1234.5', '#####', 1234.5), (2, '    -12.25', '-12.25', '  -12', -12.25), (3, '      0.00', '0', '    0', 0.0), (4, NULL, NULL, NULL, NULL)) v(i, grouped, plain, whole, back)""")
 def fn_to_char_number(t):
     """Models with groups and decimals, without a model, and one into which a number doesn't fit."""
     d = _values(t, "(1, '1234.5'), (2, '-12.25'), (3, '0'), (4, NULL)", "i, s").withColumn("n", F.col("s").cast("decimal(12,2)"))
@@ -26,7 +26,7 @@ def fn_to_char_number(t):
     return d.select("i", F.lpad(grouped, 10, " ").alias("grouped"), conversions.to_nchar(F.col("s")).alias("plain"), F.lpad(whole, 5, " ").alias("whole"), numbers.to_number(F.trim(grouped), "S9,999.99").cast("double").alias("back"))
 
 
-@query("SELECT * FROM (VALUES (1, 1234.56), (2, -5.0), (3, 0.5)) v(i, n)")
+@query("SELECT i, n::DOUBLE AS n FROM (VALUES (1, 1234.56), (2, -5.0), (3, 0.5)) v(i, n)")
 def fn_to_number(t):
     d = _values(t, "(1, '1,234.56'), (2, '-5.00'), (3, '0.50')", "i, s")
     return d.select("i", numbers.to_number(F.col("s"), "S9,999.99").cast("double").alias("n"))
@@ -78,7 +78,7 @@ def fn_timestampadd(t):
                            dates.sys_extract_utc(zoned).alias("utc"), dates.local_of(zoned).alias("there"))
 
 
-@query("""SELECT * FROM (VALUES (1, 93784.5, 14, 5400.0, 18, 2.0, TIMESTAMP '2024-01-08 05:00:00'), (2, -1.0, -3, -43200.0, -6, -0.5, TIMESTAMP '2024-03-04 00:00:00')) v(i, ds, ym, num_ds, num_ym, mb, next)""")
+@query("""SELECT i, ds::DOUBLE AS ds, ym, num_ds::DOUBLE AS num_ds, num_ym, mb::DOUBLE AS mb, next FROM (VALUES (1, 93784.5, 14, 5400.0, 18, 2.0, TIMESTAMP '2024-01-08 05:00:00'), (2, -1.0, -3, -43200.0, -6, -0.5, TIMESTAMP '2024-03-04 00:00:00')) v(i, ds, ym, num_ds, num_ym, mb, next)""")
 def fn_intervals(t):
     """Intervals from text and numbers, as seconds and months; months_between and next_day."""
     d = _values(t, "(1, 'P1DT2H3M4.5S', '1-2', 1.5D, 1.5D, timestamp_ntz'2024-03-31 00:00:00', timestamp_ntz'2024-01-31 00:00:00', timestamp_ntz'2024-01-01 05:00:00'), (2, '-0 00:00:01', 'P-3M', -12D, -0.5D, timestamp_ntz'2024-02-01 00:00:00', timestamp_ntz'2024-02-16 12:00:00', timestamp_ntz'2024-02-29 00:00:00')", "i, ds, ym, h, y, a, b, d")
