@@ -99,8 +99,8 @@ def minhash(shingles: np.ndarray, count: int = TREES * FULL_DEPTH) -> np.ndarray
 
 
 def labels(shingles: np.ndarray) -> bytes:
-    """The labels in all tries, one after another."""
-    return (minhash(shingles) >> np.uint32(24)).astype(np.uint8).tobytes()
+    """The labels in all tries, one after another: of each value the lowest byte (the highest ones of a minimum say little)."""
+    return minhash(shingles).astype(np.uint8).tobytes()
 
 
 def _digest(shingles: np.ndarray) -> bytes:
