@@ -41,6 +41,8 @@ MAX_RUN = 64
 #: Bytes of a block of keys that a task sorts at a time, and surroundings of a key that are not too many for one.
 BLOCK_BYTES = 1 << 20
 GROUP = 2048
+#: Characters that are looked at together: what they need stays in the processor's cache.
+CHARS = 120_000
 
 
 def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -58,14 +60,36 @@ def stretch_keys(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    grams = low = mix((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram])
-    span, width = 1, length - gram + 1
+    grams = mix((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram])
+    low = sliding(grams, length - gram + 1, np.minimum)
+    return buf, place, low[place], np.repeat(np.arange(len(texts)), count), starts, grams
+
+
+def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """The minimum (or maximum) of each `width` neighbours."""
+    span = 1
     while 2 * span <= width:
-        low = np.minimum(low[:-span], low[span:])
+        x = pick(x[:-span], x[span:])
         span *= 2
-    if width > span:
-        low = np.minimum(low[: -(width - span)], low[width - span :])
-    return buf, place, low[place], np.repeat(np.arange(len(texts)), count), starts, grams
+    return pick(x[: -(width - span)], x[width - span :]) if width > span else x
+
+
+def gram_places(grams: np.ndarray, key: np.ndarray, first: np.ndarray, width: np.ndarray, window: int) -> np.ndarray:
+    """For each row, where among the `width` places from `first` on the gram with its key stands, from `first`; -1 if it stands
+    there more than once. Each key is the least of some window of grams in its row, so only such places are looked at."""
+    low = sliding(grams, window, np.minimum)
+    none = np.zeros(window - 1, np.uint64)
+    least = np.flatnonzero(grams == sliding(np.concatenate([none, low, none]), window, np.maximum))
+    begin, end = np.searchsorted(least, first), np.searchsorted(least, first + width)
+    at, count, left = np.full(len(key), -1), np.zeros(len(key), np.int64), np.flatnonzero(begin < end)
+    while len(left):
+        here = least[begin[left]]
+        hit = left[grams[here] == key[left]]
+        at[hit] = least[begin[hit]] - first[hit]
+        count[hit] += 1
+        begin[left] += 1
+        left = left[begin[left] < end[left]]
+    return np.where(count == 1, at, -1)
 
 
 def _keys(docs: DataFrame, length: int) -> DataFrame:
@@ -76,7 +100,7 @@ def _keys(docs: DataFrame, length: int) -> DataFrame:
             ids = part.column("doc_id").to_numpy()
             texts = part.column("text").to_pylist()
             whole = part.column("whole").to_numpy()
-            for own in groups([t or "" for t in texts]):
+            for own in groups([t or "" for t in texts], CHARS):
                 _, _, key, of, _, _ = stretch_keys([(texts[i] or "").encode() for i in own], length)
                 if len(key):
                     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
@@ -95,7 +119,7 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
             ids = part.column("doc_id").to_numpy()
             texts = [t or "" for t in part.column("text").to_pylist()]
             whole_of, wanted = part.column("whole").to_numpy(), part.column("keys")
-            for own in groups(texts):
+            for own in groups(texts, CHARS):
                 raw = [texts[i].encode() for i in own]
                 buf, place, key, of, starts, grams = stretch_keys(raw, length)
                 if not len(key):
@@ -118,13 +142,8 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
                 whole = buf.tobytes()
                 covered = [whole[p : p + m + length - 1] for p, m in zip(place[first].tolist(), n.tolist(), strict=True)]
                 doc = of[first]
-                # where the key's gram stands; -1 if it stands there more than once
-                at, from_, last = np.full(len(first), -1), place[first], n - 1 + length - GRAM
-                for o in range(MAX_RUN + length - GRAM):
-                    here = np.minimum(from_ + o, len(grams) - 1)
-                    hit = (o <= last) & (grams[here] == key[first])
-                    at = np.where(hit, np.where(at == -1, o, -2), at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(whole_of[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(np.maximum(at, -1), pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at"])
+                at = gram_places(grams, key[first], place[first], n + length - GRAM, length - GRAM + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(whole_of[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(at, pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at"])
 
     batches(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, whole long, key long, first long, n int, bytes binary, at short")
