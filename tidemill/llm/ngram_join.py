@@ -305,22 +305,34 @@ def _level(near: DataFrame, held: DataFrame, done: DataFrame, threshold: float,
     """What the pairs hold that match at this level first. done: rep, chunk and slot of those whose matching has ended."""
     depth, before = depths[level], depths[level - 1] if level else None
     still = near.select("rep", "chunk", "slot", "labels").join(done.select("rep", F.lit(True).alias("done")), "rep", "left").withColumn("open", F.col("done").isNull())
-    placed = _placed(still, depth, before, "chunk", "open")
+    placed = _placed(still, depth, before, "chunk", "slot", "open")
     of_chunks = placed.groupBy("label", "chunk").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min("inner").alias("low"), F.max("inner").alias("high"))
     shared = of_chunks.groupBy("label").agg(F.sum("n").alias("members"), F.max("open").alias("any_open"), (F.min("low") < F.max("high")).alias("branches"))
     shared = shared.filter(F.col("any_open") & (F.col("members") > 1) & (F.col("branches") | F.lit(before is None))).select("label")
     touching = stored(of_chunks.join(shared, "label").select("label", "chunk", "n", "open", (F.lit(before is None) | (F.col("low") < F.col("high"))).alias("branches")), "join-touching")
     # pairs of chunks that share a prefix, and chunks of which two members do
     alone = touching.filter("n > 1 AND open AND branches").select(F.col("chunk").alias("a"), F.col("chunk").alias("b"))
-    one, two = (touching.select("label", F.col("chunk").alias(x), F.col("open").alias(f"open_{x}")) for x in "ab")
-    units = one.join(two, "label").filter("a < b AND (open_a OR open_b)").select("a", "b").unionAll(alone).distinct()
-    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side"))))
-    sent = units.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.*")
+    one, two = (touching.select("label", F.col("chunk").alias(x), F.col("open").alias(f"open_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    met = one.join(two, "label").filter("a < b AND (open_a OR open_b)")
+    # two chunks meet as a whole, or, where few of their members share a prefix, only these do
+    sizes = near.groupBy("chunk").agg(F.count("*").alias("size"))
+    units = met.groupBy("a", "b").agg(F.sum(F.col("n_a") + F.col("n_b")).alias("need"))
+    units = units.join(sizes.select(F.col("chunk").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("chunk").alias("b"), F.col("size").alias("size_b")), "b")
+    units = stored(units.select("a", "b", (F.col("need") * 2 < F.col("size_a") + F.col("size_b")).alias("narrow")), "join-units")
+    sides = F.array(F.struct(F.col("a").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("b").alias("chunk"), F.lit(1).alias("side")))
+    wide = units.filter("NOT narrow").select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.*").unionAll(alone.distinct().select("a", "b", F.col("a").alias("chunk"), F.lit(0).alias("side")))
+    narrow = met.select("label", "a", "b").join(units.filter("narrow").select("a", "b"), ["a", "b"], "left_semi").select("label", "a", "b", F.explode(sides).alias("s")).select("label", "a", "b", "s.*")
+    narrow = narrow.join(placed.select("label", "chunk", "slot"), ["label", "chunk"]).select("a", "b", "chunk", "side", "slot").distinct()
     closed = done.groupBy("chunk").agg(F.collect_list("slot").alias("closed"))
-    dealt = sent.join(closed, "chunk", "left").withColumn("closed", F.coalesce("closed", F.array().cast("array<int>"))).join(held, "chunk").select("a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles")
+    columns = ["a", "b", "side", "rep", "slot", "closed", "copies", "labels", "shingles"]
+
+    def with_closed(sent: DataFrame) -> DataFrame:
+        return sent.join(closed, "chunk", "left").withColumn("closed", F.coalesce("closed", F.array().cast("array<int>")))
+
+    dealt = with_closed(wide).join(held, "chunk").select(*columns).unionAll(with_closed(narrow).join(held, ["chunk", "slot"]).select(*columns))
     dealt = dealt.repartition(2 * shuffle_width(near.sparkSession), "a", "b").sortWithinPartitions("a", "b")
     found = stored(_verified(dealt, threshold, depths, level), "join-found")
-    drop(touching)
+    drop(touching, units)
     return found
 
 
