@@ -39,7 +39,7 @@ GRAM = 16
 #: Stretches in a row of one key that are sent together.
 MAX_RUN = 64
 #: Bytes of a block of keys that a task sorts at a time, and surroundings of a key that are not too many for one.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 GROUP = 2048
 #: Characters that are looked at together: what they need stays in the processor's cache.
 CHARS = 120_000

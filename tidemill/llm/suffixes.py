@@ -22,6 +22,20 @@ def words(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order by several keys, the first one first. Two are sorted by at once; the others only decide among ties."""
+    order = np.lexsort(keys[1::-1])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys[:2]:
+        same &= k[order[1:]] == k[order[:-1]]
+    if len(keys) > 2 and same.any():
+        tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        group = np.cumsum(np.concatenate([[True], ~same]))[tied]
+        rest = order[tied]
+        order[tied] = rest[np.lexsort([*(k[rest] for k in keys[:1:-1]), group])]
+    return order
+
+
 def suffix_array(text: np.ndarray, eight: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """All suffixes of a text of bytes that ends with its smallest byte, in the order of their first `depth` bytes at least
     (ties in any order). eight: words(text, depth)."""
@@ -34,8 +48,7 @@ def suffix_array(text: np.ndarray, eight: np.ndarray, depth: int = DEPTH) -> np.
     rises = np.concatenate([text[edge + 1] > text[edge], [True]])
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], run_end])))
     direct = np.flatnonzero(smaller)
-    keys = [eight[direct + 8 * j] for j in range(depth // 8 - 1, -1, -1)]
-    direct = direct[np.lexsort(keys)]
+    direct = direct[_order([eight[direct + 8 * j] for j in range(depth // 8)])]
     first = text[direct]
     bounds = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
