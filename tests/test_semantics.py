@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import TINY
 from tidemill.functions import dates, jsons, nulls, numbers, strings
 from tidemill.operators import dml, grouping, hierarchy, joins, limits
-from tidemill.plans.registry import QUERIES
+from tidemill.plans.registry import ORACLE_SQL, QUERIES
 from tidemill.sources import tables
 from tidemill.streaming import events
 
@@ -199,3 +199,24 @@ def test_stream(spark, tmp_path):
 def test_unpivot_measures_of_all_orders(spark):
     found = QUERIES["unpivot_measures_whole"](spark, TINY)
     assert found.count() == 2 * spark.read.parquet(f"{TINY}/lineitem.parquet").count()
+
+
+def against_sql(spark, folder, name, **odd):
+    """A query over odd tables, and what its SQL gives over the same."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for table, df in odd.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    return sorted(map(str, map(tuple, got.collect()))), sorted(map(str, want))
+
+
+def test_conversions_of_halves_and_nulls(spark, tmp_path):
+    balances = [0.5, 1.5, 2.5, -0.5, -2.5, -3.5, 4278.5, 0.49999999999999994, 4503599627370497.5, None]
+    rows = [(i, f"c{i}", None if i == 3 else i - 4, b, "S") for i, b in enumerate(balances)]
+    got, want = against_sql(spark, tmp_path, "fn_conversion_more", customer=spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
+    assert got == want

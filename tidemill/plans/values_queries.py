@@ -143,10 +143,11 @@ def fn_is_numeric(t):
 
 @query("SELECT c_custkey, CAST(c_acctbal AS BIGINT) AS n, CAST(c_custkey AS VARCHAR) AS s, c_name AS blob, 0 AS eb, '' AS ec, CAST(c_nationkey % 2 = 0 AS BOOLEAN) AS same, CASE c_nationkey % 3 WHEN 0 THEN 'VARCHAR' WHEN 1 THEN 'TIMESTAMP' END AS kind FROM customer")
 def fn_conversion_more(t):
-    """convert, to_nchar, to_clob, to_blob, the empty values, hash and type names."""
+    """convert, to_nchar, to_clob, to_blob, the empty values, hash and type names. A double becomes a whole number as SQL's cast
+    makes it: halves go to the even one, and null keys are neither odd nor even."""
     n, k = F.col("c_name"), F.col("c_nationkey")
-    return t.customer.select("c_custkey", conversions.convert(F.round("c_acctbal"), "bigint").alias("n"), conversions.to_clob(conversions.to_nchar(F.col("c_custkey"))).alias("s"), F.decode(conversions.to_blob(F.hex(n)), "UTF-8").alias("blob"), F.octet_length(conversions.empty_blob()).alias("eb"), conversions.empty_clob().alias("ec"),
-                             (conversions.hash(k % 2) == conversions.hash(F.lit(0))).alias("same"), conversions.type_id2name(F.when(k % 3 == 0, 12).when(k % 3 == 1, 93)).alias("kind"))
+    return t.customer.select("c_custkey", conversions.convert(F.rint("c_acctbal"), "bigint").alias("n"), conversions.to_clob(conversions.to_nchar(F.col("c_custkey"))).alias("s"), F.decode(conversions.to_blob(F.hex(n)), "UTF-8").alias("blob"), F.octet_length(conversions.empty_blob()).alias("eb"), conversions.empty_clob().alias("ec"),
+                             F.when(k.isNotNull(), conversions.hash(k % 2) == conversions.hash(F.lit(0))).alias("same"), conversions.type_id2name(F.when(k % 3 == 0, 12).when(k % 3 == 1, 93)).alias("kind"))
 
 
 @query("SELECT true AS clock, true AS utc, true AS who, true AS known, true AS random, CAST((SELECT count(*) FROM orders) AS BIGINT) AS found_rows, true AS far")
