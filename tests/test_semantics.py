@@ -220,3 +220,22 @@ def test_conversions_of_halves_and_nulls(spark, tmp_path):
     rows = [(i, f"c{i}", None if i == 3 else i - 4, b, "S") for i, b in enumerate(balances)]
     got, want = against_sql(spark, tmp_path, "fn_conversion_more", customer=spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"))
     assert got == want
+
+
+def test_counts_within_are_linear(spark, tmp_path):
+    """Null and equal times, and frames over many ranges of a key's rows; no frame is summed anew for each row."""
+    from pyspark.sql import Window
+
+    from tidemill.operators import windows
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 17 == 0 else day + dt.timedelta(minutes=i * i % 997), i, None if i % 5 == 0 else "ab"[i % 2], 1.0, "{}") for i in range(400)]
+    got, want = against_sql(spark, tmp_path, "window_range_interval", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
+    assert got == want
+    t = spark.createDataFrame([(i % 4 or None, None if i % 13 == 0 else i * i % 500, i) for i in range(1500)], "k int, at long, id int")
+    w = Window.partitionBy("k").orderBy(F.col("at").asc_nulls_last())
+    for width in (0, 1, 40, 10_000):
+        found = windows.count_within(t, ["k"], "at", width, "n", rows=20)
+        assert sorted(map(str, found.collect())) == sorted(map(str, t.withColumn("n", F.count("*").over(w.rangeBetween(-width, 0))).collect()))
+    frames = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, unboundedpreceding$(), currentrow$()" in frames and "RangeFrame" not in frames

@@ -59,14 +59,24 @@ def last_known(df: DataFrame, keys: list[str], order: str, value: str, out: str,
     return joined.withColumn(out, F.coalesce("_own", "_carried")).select(*df.columns, out)
 
 
-def count_within(df: DataFrame, keys: list[str], order: str, width: int, out: str) -> DataFrame:
-    """COUNT(*) OVER (PARTITION BY keys ORDER BY order RANGE BETWEEN width PRECEDING AND CURRENT ROW), for whole numbers. The
-    order is cut into cells of `width`, so a frame touches its own cell and the one before; each cell is counted with those
-    rows, and no task holds more than two cells of a key. Rows of the cell before come as one count for each place."""
-    placed = df.withColumn("_cell", F.floor(F.col(order) / width))
-    steps = placed.filter(F.col(order).isNotNull()).groupBy(*keys, "_cell", order).agg(F.count("*").alias("_n"))
-    here = steps.withColumn("_to", F.explode(F.array("_cell", F.col("_cell") + 1)))
-    w = Window.partitionBy(*keys, "_to").orderBy(order).rangeBetween(-width, 0)
-    found = here.withColumn(out, F.sum("_n").over(w)).filter(F.col("_cell") == F.col("_to")).select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col(order).alias("_f_order"), out)
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys] + [F.col(order) == F.col("_f_order")])
+def count_within(df: DataFrame, keys: list[str], order: str, width: int, out: str, rows: int = 200_000) -> DataFrame:
+    """COUNT(*) OVER (PARTITION BY keys ORDER BY order RANGE BETWEEN width PRECEDING AND CURRENT ROW), for whole numbers; rows without
+    an order are peers of each other alone. A frame's count is the rows up to its end less those before its beginning. Both are
+    places in one running sum, in which each place has a row for its own count and one, `width` before it, for its frame's
+    beginning: linear, however many rows a frame holds. The sum runs within ranges of the order, with one figure a range."""
+    renamed = {k: f"_f_{k}" for k in keys}
+    steps = df.groupBy(*[F.col(k).alias(r) for k, r in renamed.items()], F.col(order).alias("_of")).agg(F.count("*").alias("_n"))
+    known, names = steps.filter(F.col("_of").isNotNull()), [*renamed.values()]
+    ends = F.array(F.struct((F.col("_of") - width).alias("at"), F.lit(-1).alias("sign"), F.lit(0).cast("long").alias("n")), F.struct(F.col("_of").alias("at"), F.lit(1).alias("sign"), F.col("_n").alias("n")))
+    placed = in_ranges(known.select(*names, "_of", F.inline(ends)), names, "at", rows)
+    # a beginning comes before the rows of its own place, which are in the frame
+    inside = Window.partitionBy(*names, "_cell").orderBy("at", "sign").rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy(*[F.col(c).alias(f"_b_{c}") for c in [*names, "_cell"]]).agg(F.sum("n").alias("_total"))
+    before = Window.partitionBy(*[f"_b_{c}" for c in names]).orderBy("_b__cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("_carried", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in [*names, "_cell"]])
+    summed = placed.withColumn("_sum", F.sum("n").over(inside)).join(carried, on)
+    found = summed.groupBy(*names, "_of").agg(F.sum(F.col("sign") * (F.col("_sum") + F.col("_carried"))).alias(out))
+    found = found.unionByName(steps.filter(F.col("_of").isNull()).withColumnRenamed("_n", out))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in [*renamed.items(), (order, "_of")]])
     return df.join(found, on, "left").select(*df.columns, out)
