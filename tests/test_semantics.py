@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import TINY
+from tests.conftest import SF, TINY
 from tidemill.functions import dates, jsons, nulls, numbers, strings
 from tidemill.operators import dml, grouping, hierarchy, joins, limits
 from tidemill.plans.registry import ORACLE_SQL, QUERIES
@@ -239,3 +239,17 @@ def test_counts_within_are_linear(spark, tmp_path):
         assert sorted(map(str, found.collect())) == sorted(map(str, t.withColumn("n", F.count("*").over(w.rangeBetween(-width, 0))).collect()))
     frames = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RowFrame, unboundedpreceding$(), currentrow$()" in frames and "RangeFrame" not in frames
+
+
+def test_frames_are_dealt_by_rows(spark):
+    """What a task of the frames sorts is bounded by rows: partitions by key, as many as the rows need, and not merged."""
+    from tidemill.operators import windows
+
+    t = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    found = windows.dealt(t, ["k"], rows=20).select("k", "id", F.sum("id").over(windows.frame("range", ["k"], ["id"], -100, None)).alias("s"), F.spark_partition_id().alias("p"))
+    assert found.select("p").distinct().count() > 30
+    w = windows.frame("range", ["k"], ["id"], -100, None)
+    assert sorted(map(tuple, found.drop("p").collect())) == sorted(map(tuple, t.select("k", "id", F.sum("id").over(w)).collect()))
+    for kind in ("rows", "range"):
+        plan = QUERIES[f"window_frames_{kind}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l_suppkey") == plan.count("REPARTITION_BY_NUM") == plan.count("Exchange ") == 1

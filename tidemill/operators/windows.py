@@ -31,6 +31,14 @@ def frame(kind: str, keys: list[str], order: list[str], low, high):
     return w.rowsBetween(a, b) if kind == "rows" else w.rangeBetween(a, b)
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int = 500_000) -> DataFrame:
+    """df dealt by keys for windows over them, to partitions of about `rows` each that aren't merged: what a task sorts doesn't
+    grow with the table. Rows are counted first, in Parquet's footers where df is a table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.count()
+    return df.repartition(max(1, -(-found // rows), min(least, found // 10_000)), *keys)
+
+
 def listagg_over(value: Column, separator: str, window) -> Column:
     return F.array_join(F.collect_list(value.cast("string")).over(window), separator)
 

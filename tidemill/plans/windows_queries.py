@@ -66,7 +66,7 @@ def _frames(kind: str, order: str):
 
     def run(t):
         columns = order.split(", ")
-        return t.lineitem.select("l_orderkey", "l_linenumber", *[F.sum("l_linenumber").over(windows.frame(kind, ["l_suppkey"], columns, low, high)).alias(name) for name, _, low, high in _FRAMES])
+        return windows.dealt(t.lineitem, ["l_suppkey"]).select("l_orderkey", "l_linenumber", *[F.sum("l_linenumber").over(windows.frame(kind, ["l_suppkey"], columns, low, high)).alias(name) for name, _, low, high in _FRAMES])
 
     run.__name__ = f"window_frames_{kind}"
     return query(f"SELECT {keys}, {sql} FROM lineitem")(run)
