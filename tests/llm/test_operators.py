@@ -646,3 +646,44 @@ def test_bpe_pairs_are_what_merging_gives():
         assert own.words(letters) == [own.merge(w) for w in letters]
 
     same()
+
+
+def test_chunks_that_come_again_stay():
+    """A full store goes on with the chunks that came again; each of them is encoded once."""
+    from tidemill.llm.chunks import ChunkStore
+
+    encoded = []
+
+    def encode(chunks):
+        encoded.extend(chunks)
+        return list(chunks), np.array([i for c in chunks for i in [int(c)] * (1 + int(c) % 3)], np.uint32), np.array([1 + int(c) % 3 for c in chunks], np.int64)
+
+    store = ChunkStore(encode, limit=60)
+    for k in range(40):
+        texts = [["1", "2", str(100 + 7 * k)], [], [str(101 + 7 * k), "3", "2"], [str(102 + 7 * k + j) for j in range(5)]]
+        ids, sizes = store.ids(texts)
+        assert sizes.tolist() == [sum(1 + int(c) % 3 for c in t) for t in texts]
+        assert ids.tolist() == [int(c) for t in texts for c in t for _ in range(1 + int(c) % 3)]
+        assert len(store.index) <= 60 + 10
+    assert [encoded.count(c) for c in "123"] == [1, 1, 1]
+    # more than half come again: anew
+    for _ in range(3):
+        ids, _ = store.ids([[str(i) for i in range(200)]])
+        assert ids.tolist() == [i for i in range(200) for _ in range(1 + i % 3)]
+
+
+def test_marks_after_letters_are_words_of_their_own():
+    import public_tokenizers
+
+    from tidemill.llm.simple8b import PieceEncoder
+
+    own = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["geht", "été", "x1", "Ωmega", "日本", "á", "it's", "l'", ""]
+    tails = ["&&&", "###", ".$$$", ",%%%", "'", "''", "'s", "'s'", "_", "_.", "***", '!"', "<|", "<|endoftext|>", "|>", "-", "--)", "€", "&1&", ". ."]
+    texts = [f"start {w}{t} {w}{t}\n{w}{t} end" for w in words for t in tails] * 2
+    got = [(ids.tolist(), sizes.tolist()) for ids, sizes in own.encode(texts)]
+    want = [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert [i for ids, _ in got for i in ids] == [i for w in want for i in w]
+    assert [n for _, sizes in got for n in sizes] == list(map(len, want))
+    # one encoding of a word serves it with all marks
+    assert {"geht&&&", "geht.$$$", "geht"} <= set(own.store.index)

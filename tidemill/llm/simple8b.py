@@ -13,6 +13,7 @@ partitions are one sum for each.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -152,8 +153,8 @@ class PieceEncoder:
         for p in list(pieces):
             if type(p) is not str or "<|" in p:
                 others.append(p)
-            elif (core := p.rstrip(".,;:!?")) != p and core and core[-1].isalpha():
-                # marks after a letter are a word of their own
+            elif (core := p.rstrip(string.punctuation)) != p and core and core[-1].isalpha():
+                # marks after a letter, up to the end, are a word of their own
                 tailed.append((p, core))
                 if core not in known:
                     known[core]  # it gets a number as well
