@@ -687,3 +687,20 @@ def test_marks_after_letters_are_words_of_their_own():
     assert [n for _, sizes in got for n in sizes] == list(map(len, want))
     # one encoding of a word serves it with all marks
     assert {"geht&&&", "geht.$$$", "geht"} <= set(own.store.index)
+
+
+def test_latin_words_are_what_the_library_gives():
+    import public_tokenizers
+
+    from tidemill.llm.simple8b import PieceEncoder
+
+    own = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    letters = [c for c in map(chr, range(65, 0x260)) if c.isalpha()]
+    words = [*letters, *("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)), *("".join(rng.choices("abcdefghthe", k=rng.randint(1, 40))) for _ in range(1000))]
+    texts = ["", " ", " a", "a\n", "x " + " ".join(words), "y\n" + "\n".join(words), *words]
+    got = list(own.encode(texts))
+    want = [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert [i for ids, _ in got for i in ids.tolist()] == [i for w in want for i in w]
+    assert [n for _, sizes in got for n in sizes.tolist()] == list(map(len, want))
+    assert own.by_word and own._WORD.fullmatch("\u00e9t\u00e9") and not own._WORD.fullmatch("l'eau")

@@ -135,9 +135,11 @@ class PieceEncoder:
     """
 
     _CUT = re.compile(r"(?<=\S) (?=\S)")
+    #: Latin letters, which every version of Unicode calls letters: a piece of these alone is one word.
+    _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -146,6 +148,12 @@ class PieceEncoder:
         tokens = self.library.get_vocab()
         self.begins = np.zeros(max(tokens.values()) + 1, bool)
         self.begins[[i for t, i in tokens.items() if t[0] in "\u0120\u010a"]] = True  # a space, a line feed
+        splits = self.library.pre_tokenizer
+        self.by_word = self.library.normalizer is None and isinstance(splits, pre_tokenizers.ByteLevel) and splits.use_regex and not splits.add_prefix_space
+        # the letters that stand for bytes in the file: these bytes for themselves, the others from 256 on
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        letters = [chr(b) if b in own else chr(256 + b - sum(x < b for x in own)) for b in range(256)]
+        self.letters = {c: "".join([letters[b] for b in chr(c).encode()]) for c in range(0x250)}
 
     def _encode(self, pieces: list) -> tuple[list, np.ndarray, np.ndarray]:
         plain, tailed, others = [], [], []
@@ -162,7 +170,17 @@ class PieceEncoder:
             else:
                 plain.append(p)
         ids, sizes = [], []
-        for k in range(0, len(plain), 5000):
+        words, rest = [], []
+        for p in plain if self.by_word else ():
+            (words if self._WORD.fullmatch(p) else rest).append(p)
+        if words:
+            # the library's model takes words as they are split already
+            model, letters = self.library.model, self.letters
+            got, size = self._flat([[t.id for t in model.tokenize("\u0120" + (p if p.isascii() else p.translate(letters)))] for p in words])
+            ids.append(got)
+            sizes.append(size)
+            plain = words + rest
+        for k in range(len(words), len(plain), 5000):
             # many pieces as one text: each begins with the only white space that it has
             part = plain[k : k + 5000]
             got = np.array(self.library.encode_batch_fast(["".join([p if p[0] == "\n" else " " + p for p in part])], add_special_tokens=False)[0].ids, np.uint32)
@@ -198,15 +216,19 @@ class PieceEncoder:
         return plain + others + [p for p, _ in tailed], np.concatenate([new.astype(np.uint32), whole]), np.concatenate([new_sizes, size + mark_sizes[mark]])
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._flat([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+
+    @staticmethod
+    def _flat(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
     def _pieces(self, text: str) -> list:
         if not text:
             return []
-        if text.split() == text.replace("\n", " ").split(" "):
-            parts = text.replace("\n", " \n").split(" ")
+        words = text.split()
+        if " ".join(words) == text.replace("\n", " "):
+            parts = text.replace("\n", " \n").split(" ") if "\n" in text else words
             parts[0] = (parts[0],)
             return parts
         parts = self._CUT.split(text)
