@@ -253,3 +253,10 @@ def test_frames_are_dealt_by_rows(spark):
     for kind in ("rows", "range"):
         plan = QUERIES[f"window_frames_{kind}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(l_suppkey") == plan.count("REPARTITION_BY_NUM") == plan.count("Exchange ") == 1
+
+
+def test_json_table_of_missing_turns(spark, tmp_path):
+    """A missing turn stands last; missing roles and conversations are kept."""
+    rows = [(1, 2, "b"), (1, None, "last"), (1, 1, "a"), (None, 1, "x"), (None, 0, None), (2, None, None), (2, 10, 'q"\\é'), (2, 9, "n")]
+    got, want = against_sql(spark, tmp_path, "json_table", conversations=spark.createDataFrame([(*r, "t") for r in rows], "conv_id long, turn long, role string, text string"))
+    assert got == want

@@ -107,7 +107,7 @@ def fn_json_merge_set(t):
 @query("""SELECT conv_id, i AS ord, json_extract_string(j, '$[' || (i - 1) || '].r') AS r, CAST(json_extract_string(j, '$[' || (i - 1) || '].t') AS BIGINT) AS t FROM
 (SELECT conv_id, json_group_array(json_object('r', role, 't', turn)) AS j, count(*) AS n FROM (SELECT * FROM conversations ORDER BY conv_id, turn) GROUP BY conv_id), LATERAL (SELECT unnest(range(1, n + 1)) AS i)""")
 def json_table(t):
-    made = t.conversations.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: F.struct(s["role"].alias("r"), s["turn"].alias("t")))).alias("j"))
+    made = t.conversations.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull(), "turn", "role"))), lambda s: F.struct(s["role"].alias("r"), s["turn"].alias("t")))).alias("j"))
     out = jsons.json_table(made, "j", "$", {"r": ("string", "$.r"), "t": ("bigint", "$.t")}, ordinality="ord")
     return out.select("conv_id", F.col("ord").cast("long").alias("ord"), "r", "t")
 
