@@ -704,3 +704,27 @@ def test_latin_words_are_what_the_library_gives():
     assert [i for ids, _ in got for i in ids.tolist()] == [i for w in want for i in w]
     assert [n for _, sizes in got for n in sizes.tolist()] == list(map(len, want))
     assert own.by_word and own._WORD.fullmatch("\u00e9t\u00e9") and not own._WORD.fullmatch("l'eau")
+
+
+def test_workers_hold_one_operators_tables(spark, docs):
+    """What one operator has loaded in a worker goes when a task of another one begins there, not with its own tasks."""
+    import gc
+
+    import pyarrow as pa
+    from tidemill.llm import common
+    from tidemill.llm.chunks import ChunkStore
+
+    def stores(parts):
+        for _ in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, ChunkStore) for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    def most() -> int:
+        return spark.range(0, 64, 1, 8).mapInArrow(stores, "n long").agg(F.max("n")).first()[0]
+
+    for _ in range(2):
+        bpe.encode(docs.repartition(8)).count()
+        bpe.encode(docs.repartition(8)).agg(F.sum("n_tokens")).collect()
+    assert most() == 1
+    for _ in range(3):  # all idle workers
+        ngram_join.sign(docs.repartition(16)).agg(F.sum("size")).collect()
+    assert spark.range(0, 64, 1, 8).mapInArrow(common.alone(stores), "n long").agg(F.max("n")).first()[0] == 0

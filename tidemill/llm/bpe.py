@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import ChunkStore, groups
-from tidemill.llm.common import batches, read
+from tidemill.llm.common import alone, batches, held, read
 
 END = "</w>"
 #: Printable ASCII and precomposed Latin-1 letters: lower-casing them is all that normalising does.
@@ -185,15 +185,14 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids.tolist()])
 
 
-_LOADED: dict[str, tuple[WordBpe, ChunkStore]] = {}
-
-
 def loaded(path: str) -> tuple[WordBpe, ChunkStore]:
     """The encoder of a file and its store of chunks; they stay with the worker for its next tasks."""
-    if path not in _LOADED:
+
+    def make() -> tuple[WordBpe, ChunkStore]:
         own = WordBpe(path)
-        _LOADED[path] = own, ChunkStore(own.encode_chunks)
-    return _LOADED[path]
+        return own, ChunkStore(own.encode_chunks)
+
+    return held(("bpe", path), make)
 
 
 def encode_batch(texts: list[str], path: str) -> Iterator[np.ndarray]:
@@ -243,7 +242,7 @@ def encode(docs: DataFrame, path: str | None = None, *, keep: list[str] | None =
     rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
     shape = [f"_k{i} {k}" for i, k in enumerate(kinds)] + ["_ids array<int>"] * keep_ids + ["_decoded string"] * keep_text + ["_n long", "_ids_sha string", "_text_sha string"]
     names = ["ids"] * keep_ids + ["decoded"] * keep_text + ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return rows.mapInArrow(run, ", ".join(shape)).toDF(*keep, *[f"bpe_{n}" if n in keep else n for n in names])
+    return rows.mapInArrow(alone(run), ", ".join(shape)).toDF(*keep, *[f"bpe_{n}" if n in keep else n for n in names])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,3 +205,42 @@ def batches(spark: SparkSession) -> None:
     same for all operators, so it doesn't matter which of several lazy plans runs first."""
     ship(spark)
     spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+# ---- what stays with a Python worker -------------------------------------------------------------------------------
+
+_HELD: dict = {}
+_OWNER: list[str] = [""]
+
+
+def held(key, make: Callable):
+    """What an operator has loaded in this worker, for its next tasks: until another operator's task begins here."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def begin(owner: str) -> None:
+    """A task of this operator begins. Workers are used again by all operators, so what another one has left goes, and its
+    memory goes back to the system: else an executor needs the sum of what its operators need, not the most."""
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
+    _HELD.clear()
+    _POW.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in a worker that holds nothing of other operators (those of other modules)."""
+    owner = run.__module__
+
+    def begun(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
+        return run(parts)
+
+    return begun

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, held_out, read
+from tidemill.llm.common import alone, batches, held_out, read
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -174,7 +174,7 @@ def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[np.
             yield pa.RecordBatch.from_arrays([place, pa.array(found, pa.binary()), part.column("lang")], names=["place", "windows", "lang"])
 
     batches(docs.sparkSession)
-    rows = taken.mapInArrow(run, "place long, windows binary, lang string").orderBy("place", "lang").collect()
+    rows = taken.mapInArrow(alone(run), "place long, windows binary, lang string").orderBy("place", "lang").collect()
     return [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW + PAD) for r in rows], [r.lang for r in rows]
 
 
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
 
     batches(docs.sparkSession)
     shape = ", ".join([f"_k{i} {k}" for i, k in enumerate(kinds)] + ["_held boolean", "_lang string", "_score double"])
-    return own.mapInArrow(run, shape).toDF(*keep, "held_out", "lang_pred", "score")
+    return own.mapInArrow(alone(run), shape).toDF(*keep, "held_out", "lang_pred", "score")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, bucketed, drop, joined, mix, read, shuffle_width, stored, word_hashes
+from tidemill.llm.common import alone, batches, bucketed, drop, joined, mix, read, shuffle_width, stored, word_hashes
 from tidemill.llm.graph import components
 
 SHINGLE = 5
@@ -125,7 +125,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return own.mapInArrow(run, "doc_id long, text_key long, digest binary, labels binary, size long")
+    return own.mapInArrow(alone(run), "doc_id long, text_key long, digest binary, labels binary, size long")
 
 
 def _prefix(tree, depth: int):
@@ -259,7 +259,7 @@ def _verified(dealt: DataFrame, threshold: float, depths: list[int], level: int)
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.binary()), pa.array(other, pa.binary()), pa.array(n, pa.int64()), pa.array(short, pa.list_(pa.float64()))], names=["rep", "other", "n", "missed"])
 
     batches(dealt.sparkSession)
-    return dealt.mapInArrow(run, "rep binary, other binary, n long, missed array<double>")
+    return dealt.mapInArrow(alone(run), "rep binary, other binary, n long, missed array<double>")
 
 
 def _candidates(reps: DataFrame, depth: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _with_sets(docs: DataFrame, near: DataFrame) -> DataFrame:
 
     batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(near.hint("shuffle_hash"), "first_id").select("text", *names)
-    sets = texts.mapInArrow(run, "rep binary, chunk long, slot int, copies long, labels binary, shingles binary")
+    sets = texts.mapInArrow(alone(run), "rep binary, chunk long, slot int, copies long, labels binary, shingles binary")
     dealt = sets.repartition(shuffle_width(docs.sparkSession), "chunk")
     once = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("chunk", "rep").orderBy("slot"))).filter("_n = 1").drop("_n")
     return bucketed(once, "join-sets", "chunk")

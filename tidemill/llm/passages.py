@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, drop, joined, mix, powers, read, shuffle_width, stored
+from tidemill.llm.common import alone, batches, drop, joined, mix, powers, read, shuffle_width, stored
 from tidemill.llm.suffixes import common_prefixes, suffix_array, words
 
 LENGTH = 50
@@ -107,7 +107,7 @@ def _keys(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[np.array(own)][of[new]], pa.int64()), pa.array(whole[np.array(own)][of[new]], pa.int64())], names=["key", "doc_id", "whole"])
 
     batches(docs.sparkSession)
-    return docs.select("doc_id", "text", "whole").mapInArrow(run, "key long, doc_id long, whole long")
+    return docs.select("doc_id", "text", "whole").mapInArrow(alone(run), "key long, doc_id long, whole long")
 
 
 def _surroundings(docs: DataFrame, length: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(whole_of[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(at, pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at"])
 
     batches(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, whole long, key long, first long, n int, bytes binary, at short")
+    return docs.mapInArrow(alone(run), "doc_id long, whole long, key long, first long, n int, bytes binary, at short")
 
 
 def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -252,7 +252,7 @@ def _longer_keys(hot: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("whole").take(of), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(at, pa.int16()), pa.array(low, pa.int16()), pa.array(high, pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at", "low", "high"])
 
     batches(hot.sparkSession)
-    return hot.mapInArrow(run, "doc_id long, whole long, key long, first long, n int, bytes binary, at short, low short, high short")
+    return hot.mapInArrow(alone(run), "doc_id long, whole long, key long, first long, n int, bytes binary, at short, low short, high short")
 
 
 def _grouped(wide: DataFrame, length: int) -> list[tuple[DataFrame, DataFrame]]:
@@ -295,7 +295,7 @@ def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         every, one = every.unionByName(more), one.unionByName(distinct)
     batches(spark)
     dealt = one.select("key", "digest", "bytes", "at", "source").repartition(2 * shuffle_width(spark), "key").sortWithinPartitions("key")
-    runs = stored(dealt.mapInArrow(_sorted_blocks(length), "key long, digest long, runs array<struct<first int, past int>>"), "passages-runs")
+    runs = stored(dealt.mapInArrow(alone(_sorted_blocks(length)), "key long, digest long, runs array<struct<first int, past int>>"), "passages-runs")
     # written before it is joined again: a join with a table can be split where a passage is hot
     sources = stored(one.select("key", "digest", "source").join(runs.hint("shuffle_hash"), ["key", "digest"], "left"), "passages-sources")
     drop(runs)
@@ -364,7 +364,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rows = _with_runs(docs.select("doc_id", "text"), length)
     batches(docs.sparkSession)
-    return rows.select("_row.doc_id", "_text", "_runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("_row.doc_id", "_text", "_runs").mapInArrow(alone(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -386,7 +386,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(changed)], names=["_row", "_new", "_changed"])
 
     batches(spark)
-    cut = rows.select("_row", "_text", "_runs").mapInArrow(run, f"_row {shape}, _new string, _changed boolean")
+    cut = rows.select("_row", "_text", "_runs").mapInArrow(alone(run), f"_row {shape}, _new string, _changed boolean")
     cut = cut.filter(~F.col("_changed") | (F.trim("_new") != ""))
     out = {c: F.col(f"_row.`{c}`") for c in own}
     out["text"] = F.when(F.col("_changed"), F.col("_new")).otherwise(out["text"])

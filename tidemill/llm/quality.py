@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import batches, held_out, joined, mix, powers, read
+from tidemill.llm.common import alone, batches, held_out, joined, mix, powers, read
 
 #: The most labelled rows of each class that are learnt from.
 MAX_ROWS = 2500
@@ -163,7 +163,7 @@ def score_documents(docs: DataFrame, table: np.ndarray, bias: float) -> DataFram
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], names=["doc_id", "held_out", "score"])
 
     batches(docs.sparkSession)
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(alone(run), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

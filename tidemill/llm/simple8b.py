@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import ChunkStore, groups
-from tidemill.llm.common import batches, folder, ranges, read, shuffle_width, stored
+from tidemill.llm.common import alone, batches, folder, held, ranges, read, shuffle_width, stored
 
 #: Bits a value for selectors 1 to 14; selector 0 is the escape.
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -240,13 +240,8 @@ class PieceEncoder:
             yield self.store.ids([self._pieces(texts[i]) for i in run])
 
 
-_LOADED: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
-    return _LOADED[path]
+    return held(("simple8b", path), lambda: PieceEncoder(path))
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
@@ -280,7 +275,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
                 at += len(sizes)
 
     batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids long, offsets array<int>, words binary")
+    return docs.select("doc_id", "text").mapInArrow(alone(run), f"doc_id {kind}, n_ids long, offsets array<int>, words binary")
 
 
 def write_files(docs: DataFrame, where: str, path: str, end_id: int | None = 0) -> None:
@@ -324,7 +319,7 @@ def read_files(spark: SparkSession, where: str, *, with_ids: bool = True) -> Dat
 
     batches(spark)
     shape = f"doc_id {kind}, part int, place long, n_tokens long, ids_crc32 long" + (", ids array<bigint>" if with_ids else "")
-    return files.mapInArrow(run, shape)
+    return files.mapInArrow(alone(run), shape)
 
 
 def starts(decoded: DataFrame) -> DataFrame:
