@@ -276,6 +276,43 @@ def test_passages_of_other_lengths(spark, length):
     assert got == Counter(removed(rows, length))
 
 
+def test_passages_tell_shared_keys_once(spark):
+    rng = random.Random(5)
+    passage, own = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (400, 200))
+    texts = [passage + str(i) * 60 for i in range(20)] + [own] * 300
+    table = spark.createDataFrame(list(enumerate(texts)), "whole long, text string").withColumn("whole", F.least("whole", F.lit(20)))
+    of = {}
+    for i, t in enumerate(texts[:21]):
+        for k in passages.stretch_keys([t.encode()])[2].view(np.int64).tolist():
+            of.setdefault(k, set()).add(i)
+    got = Counter((r.whole, r.key) for r in passages._shared_keys(table.repartition(4), 50, 3).collect())
+    assert set(got) == {(i, k) for k, ids in of.items() if len(ids) > 1 for i in ids}
+    assert max(got.values()) <= 2
+
+
+def test_passages_deal_surroundings_once(spark):
+    rng = random.Random(6)
+    common, other = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (70, 300))
+    rows = [(i, "".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(0, 90))) + common[: rng.randint(50, 70)] + "".join(rng.choice("stuvwxyz ") for _ in range(90))) for i in range(100)]
+    rows += [(100 + i, other[i : 200 + 2 * i] + str(i) * 70) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = passages.covered_places(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.remove_passages(table).collect())
+    assert got == Counter(removed(rows))
+
+
+@pytest.mark.parametrize(("most", "each"), [(1, 1), (4, 2), (4096, 8)])
+def test_passages_of_common_keys(spark, monkeypatch, most, each):
+    monkeypatch.setattr(passages, "GROUP", most)
+    monkeypatch.setattr(passages, "FOLDED", each)
+    rng = random.Random(7)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(4)]
+    rows = [(i, "".join(rng.choice(parts)[rng.randint(0, 25) :] + rng.choice(["", "xyz" * 30]) for _ in range(3))) for i in range(60)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(removed(rows))
+
+
 def test_passages_of_repeated_ids(spark):
     rng = random.Random(2)
     p, x, y = ("".join(rng.choice("abcdefgh ") for _ in range(140)) for _ in range(3))

@@ -4,14 +4,17 @@ A suffix array over all text at once is no work for a cluster, and most of its e
 stretch of LENGTH bytes is therefore given a key by its own content: the smallest hash among its GRAM-byte substrings.
 Equal stretches have equal keys, so
 
-1. keys that occur in one text only are dropped (a count that is combined before the shuffle);
+1. keys that occur in one text only are dropped: a batch of texts tells once what its own texts share and sends the others,
+   so a key has at most two rows a batch in the task that looks for keys of several batches;
 2. for the others, the bytes around each occurrence go to the task of their key. Equal bytes (by 128 bits: their key and a
-   digest) are one row by then, with the smallest document that has them;
+   digest) are one row there, with the smallest document that has them: all the others lose everything;
 3. a task leaves out what can't match (both sides of the key's gram unlike all others') and builds suffix arrays of the
    rest, in blocks of whole keys and bounded size, by two-stage sorting, and compares adjacent suffixes: runs with LENGTH
    common bytes are equal stretches, and the smallest document of a run is their source;
 4. what is to be removed goes back to the documents.
 
+Keys that occur more than FOLDED * GROUP times go another way: equal bytes are one row before anything is dealt by key, and what is
+found of a row is joined with its occurrences, by Spark's joins.
 A key with more than GROUP different surroundings (the edge of a passage that a large part of all documents hold) gets
 longer first: its stretches are told apart by where the gram stands in them, in two halves, and those of one half have more
 than the gram in common, which is their new key. Halves of which the key is still too common are halved again, until a key is
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.chunks import groups
-from tidemill.llm.common import alone, batches, drop, joined, mix, powers, read, shuffle_width, stored
+from tidemill.llm.common import alone, batches, drop, joined, mix, powers, ranges, read, shuffle_width, stored
 from tidemill.llm.suffixes import common_prefixes, suffix_array, words
 
 LENGTH = 50
@@ -41,6 +44,11 @@ MAX_RUN = 64
 #: Bytes of a block of keys that a task sorts at a time, and surroundings of a key that are not too many for one.
 BLOCK_BYTES = 1 << 18
 GROUP = 2048
+#: Times GROUP, the occurrences of a key that one task folds: a block of so many different surroundings is one of 1.4 MB.
+FOLDED = 8
+#: Rows of numbers that a task orders at a time, about, and rows of surroundings.
+TASK_ROWS = 1_000_000
+CHUNK_ROWS = 1 << 17
 #: Characters that are looked at together: what they need stays in the processor's cache.
 CHARS = 120_000
 
@@ -92,27 +100,113 @@ def gram_places(grams: np.ndarray, key: np.ndarray, first: np.ndarray, width: np
     return np.where(count == 1, at, -1)
 
 
-def _keys(docs: DataFrame, length: int) -> DataFrame:
-    """key, doc_id and whole (the number of the row's text) of every run of stretches with one key."""
+def starts_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where new keys begin in arrays that are sorted by them."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def distinct_rows(key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort([whole, key])
+    order = order[starts_of(key[order], whole[order])]
+    return key[order], whole[order]
+
+
+def shared_rows(key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Key and text of the rows whose key several texts have, each once; of every key with one text only, that one row; and two rows of
+    different texts of each of the former keys."""
+    if not len(key):
+        return (key, whole) * 3
+    order = np.argsort(key)
+    key, whole = key[order], whole[order]
+    begin = starts_of(key)
+    low, high = np.minimum.reduceat(whole, begin), np.maximum.reduceat(whole, begin)
+    several = low != high
+    rows = np.repeat(several, np.diff(np.append(begin, len(key))))
+    told = key[begin[several]]
+    return *distinct_rows(key[rows], whole[rows]), key[begin[~several]], low[~several], np.concatenate([told, told]), np.concatenate([low[several], high[several]])
+
+
+def _tasks(spark: SparkSession, size: int) -> int:
+    """How many tasks texts of so many bytes need for what has a row for each run of stretches with one key: as minima of 35
+    places change every 18 places, about."""
+    return max(shuffle_width(spark), -(-size // (18 * TASK_ROWS)))
+
+
+def _shared_keys(docs: DataFrame, length: int, tasks: int) -> DataFrame:
+    """whole (the number of a text) and each of its keys that another text has as well; a row may come a second time."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids = part.column("doc_id").to_numpy()
             texts = part.column("text").to_pylist()
             whole = part.column("whole").to_numpy()
+            keys, wholes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for own in groups([t or "" for t in texts], CHARS):
                 _, _, key, of, _, _ = stretch_keys([(texts[i] or "").encode() for i in own], length)
                 if len(key):
-                    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[np.array(own)][of[new]], pa.int64()), pa.array(whole[np.array(own)][of[new]], pa.int64())], names=["key", "doc_id", "whole"])
+                    new = starts_of(key, of)
+                    keys.append(key[new].view(np.int64))
+                    wholes.append(whole[np.array(own)][of[new]])
+            held_key, held_whole, lone_key, lone_whole, told_key, told_whole = shared_rows(np.concatenate(keys), np.concatenate(wholes))
+            known = np.repeat([True, False, False], [len(held_key), len(lone_key), len(told_key)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([held_key, lone_key, told_key])), pa.array(np.concatenate([held_whole, lone_whole, told_whole])), pa.array(known)], names=["key", "whole", "known"])
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, wholes, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for part in parts:
+            for column, out in (("key", keys), ("whole", wholes), ("known", known)):
+                out.append(part.column(column).to_numpy(zero_copy_only=False))
+        key, whole, is_known = np.concatenate(keys), np.concatenate(wholes), np.concatenate(known)
+        for key, whole in (distinct_rows(key[is_known], whole[is_known]), shared_rows(key[~is_known], whole[~is_known])[:2]):
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(key)], names=["whole", "key"])
 
     batches(docs.sparkSession)
-    return docs.select("doc_id", "text", "whole").mapInArrow(alone(run), "key long, doc_id long, whole long")
+    rows = docs.select("text", "whole").mapInArrow(alone(run), "key long, whole long, known boolean")
+    # what is known already needs no task of its key, and what copies of a text tell is one row
+    return rows.repartition(tasks, F.when(F.col("known"), F.xxhash64("key", "whole")).otherwise(F.col("key"))).mapInArrow(alone(count), "whole long, key long")
+
+
+def _listed(rows: DataFrame, by: list[str], values: list[str], name: str, tasks: int) -> DataFrame:
+    """All rows of numbers with the same `by` as one row, with a list of their values (of structures, if there are several)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(parts)
+        if not parts:
+            return
+        columns = {c: np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (*by, *values)}
+        order = np.lexsort([columns[c] for c in by])
+        own = [columns[c][order] for c in by]
+        begin = starts_of(*own)
+        ends = np.append(begin, len(order))
+        for a in range(0, len(begin), 1000):
+            cuts = ends[a : a + 1001]
+            lists = [pa.array(columns[c][order[cuts[0] : cuts[-1]]]) for c in values]
+            flat = lists[0] if len(values) == 1 else pa.StructArray.from_arrays(lists, names=values)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[cuts[:-1]]) for k in own), pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), flat)], names=[*by, name])
+
+    kind = "long" if len(values) == 1 else f"struct<{', '.join(f'{v} long' for v in values)}>"
+    return rows.select(*by, *values).repartition(tasks, *by).mapInArrow(alone(run), ", ".join(f"{c} long" for c in by) + f", {name} array<{kind}>")
+
+
+def side_hashes(grams: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the `half` bytes before the gram at each place, and of those after it; 0 where they leave first ... end."""
+    out = []
+    for inside, offsets in ((at - half >= first, [*range(-half, -GRAM, GRAM), -min(half, GRAM)]), (at + GRAM + half <= end, [*range(GRAM, half, GRAM), half])):
+        side = np.zeros(len(at), np.uint64)
+        for o in offsets:
+            side[inside] = mix(side[inside] + grams[at[inside] + o])
+        side[inside] |= np.uint64(1)
+        out.append(side.astype(np.uint32).view(np.int32))
+    return out[0], out[1]
 
 
 def _surroundings(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, whole, key, first (place of the first stretch), n (stretches), bytes (what they cover), for runs of stretches whose
-    key is in the row's array `keys`; at: where in them the gram with the key stands (-1: at several places)."""
+    key is in the row's array `keys`; at: where in them the gram with the key stands (-1: at several places); left and right:
+    hashes of what is beside that gram (0: not within them)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -143,14 +237,15 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
                 covered = [whole[p : p + m + length - 1] for p, m in zip(place[first].tolist(), n.tolist(), strict=True)]
                 doc = of[first]
                 at = gram_places(grams, key[first], place[first], n + length - GRAM, length - GRAM + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(whole_of[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(at, pa.int16())], names=["doc_id", "whole", "key", "first", "n", "bytes", "at"])
+                left, right = side_hashes(grams, place[first] + at, place[first], np.where(at < 0, 0, place[first] + n + length - 1), (length - GRAM) // 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(own)][doc], pa.int64()), pa.array(whole_of[np.array(own)][doc], pa.int64()), pa.array(key[first].view(np.int64)), pa.array(place[first] - starts[doc], pa.int64()), pa.array(n, pa.int32()), pa.array(covered, pa.binary()), pa.array(at, pa.int16()), pa.array(left), pa.array(right)], names=["doc_id", "whole", "key", "first", "n", "bytes", "at", "left", "right"])
 
     batches(docs.sparkSession)
-    return docs.mapInArrow(alone(run), "doc_id long, whole long, key long, first long, n int, bytes binary, at short")
+    return docs.mapInArrow(alone(run), "doc_id long, whole long, key long, first long, n int, bytes binary, at short, left int, right int")
 
 
-def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each piece of text, the runs (first, past the last) of its stretches that a piece with a smaller source holds.
+def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs (number of the piece of text, first, past the last) of stretches that a piece with a smaller source holds.
 
     One suffix array over all pieces: pieces end with a zero byte, other bytes are raised by one (255 is in no UTF-8 text).
     """
@@ -167,18 +262,15 @@ def earlier_runs(surroundings: list[bytes], sources: np.ndarray, length: int = L
     valid = np.arange(len(text)) + length <= (starts + sizes)[of]
     order = order[valid[order]]
     if not len(order):
-        return [[] for _ in surroundings]
+        return (np.zeros(0, np.int64),) * 3
     new = np.flatnonzero(common_prefixes(order, eight, depth) < length)
     mine = sources[of[order]]
     least = np.repeat(np.minimum.reduceat(mine, new), np.diff(np.concatenate([new, [len(order)]])))
     flag = np.zeros(len(text) + 1, np.int8)
     flag[order[least < mine]] = 1
     edge = np.diff(flag, prepend=np.int8(0))
-    out: list[list[tuple[int, int]]] = [[] for _ in surroundings]
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        i = int(of[a])
-        out[i].append((a - int(starts[i]), b - int(starts[i])))
-    return out
+    first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return of[first], first - starts[of[first]], past - starts[of[first]]
 
 
 def can_match(rows: list[tuple], length: int = LENGTH, gram: int = GRAM) -> list[tuple]:
@@ -196,8 +288,10 @@ def can_match(rows: list[tuple], length: int = LENGTH, gram: int = GRAM) -> list
 def _sorted_blocks(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
-            runs = earlier_runs([r[0] for r in rows], np.array([r[4] for r in rows], np.int64), length)
-            keep = [i for i, r in enumerate(runs) if r]
+            runs: dict[int, list[tuple[int, int]]] = {}
+            for i, a, b in zip(*(x.tolist() for x in earlier_runs([r[0] for r in rows], np.array([r[4] for r in rows], np.int64), length)), strict=True):
+                runs.setdefault(i, []).append((a, b))
+            keep = list(runs)
             return pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i in keep], pa.int64()), pa.array([rows[i][3] for i in keep], pa.int64()), pa.array([[{"first": a, "past": b} for a, b in runs[i]] for i in keep], pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))], names=["key", "digest", "runs"])
 
         block, size, group = [], 0, []
@@ -219,6 +313,59 @@ def _sorted_blocks(length: int):
     return run
 
 
+def may_match(key: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """can_match() by the hashes of both sides, for rows that are sorted by their keys."""
+    begin = starts_of(key)
+    size = np.diff(np.append(begin, len(key)))
+    out = np.repeat(np.maximum.reduceat(at < 0, begin), size)
+    for side in (left, right):
+        inside = np.flatnonzero(side)
+        _, of, count = np.unique(side[inside].view(np.uint32) + mix(key[inside].view(np.uint64)), return_inverse=True, return_counts=True)
+        out[inside] |= count[of] > 1
+    return out & np.repeat(size > 1, size)
+
+
+def lost_runs(table: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of whole keys, and first and past of what a smaller document holds of them; from the start of each row."""
+    key, digest, doc, n, at, left, right = (table.column(c).to_numpy() for c in ("key", "digest", "doc_id", "n", "at", "left", "right"))
+    order = np.lexsort([doc, digest, key])
+    begin = starts_of(key[order], digest[order])
+    source = doc[order[begin]]
+    later = doc[order] > np.repeat(source, np.diff(np.append(begin, len(order))))
+    # a later document with the same surroundings loses them all; the first one, what earlier ones hold of them
+    yield order[later], np.zeros(int(later.sum()), np.int64), n[order[later]].astype(np.int64)
+    own = np.add.reduceat(~later, begin, dtype=np.int64)
+    one = order[begin]
+    keep = np.flatnonzero(may_match(key[one], at[one], left[one], right[one]))
+    pieces = table.column("bytes").take(pa.array(one[keep])).to_pylist()
+    new = starts_of(key[one[keep]])
+    size = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), new) if len(new) else new
+    block = (np.cumsum(size) - size) // BLOCK_BYTES
+    cuts = np.append(new[starts_of(block)], len(keep)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        of, first, past = earlier_runs(pieces[a:b], source[keep[a:b]], length)
+        of = keep[a:b][of]
+        yield order[ranges(begin[of], own[of])], np.repeat(first, own[of]), np.repeat(past, own[of])
+
+
+def _lost(few: DataFrame, length: int) -> DataFrame:
+    """doc_id, whole, first, past: runs of stretches that a smaller document holds, for surroundings of keys with few of them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for p in parts if p.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        doc, whole, start = (table.column(c).to_numpy() for c in ("doc_id", "whole", "first"))
+        for rows, first, past in lost_runs(table, length):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows], whole[rows], start[rows] + first, start[rows] + past)], names=["doc_id", "whole", "first", "past"])
+
+    spark = few.sparkSession
+    batches(spark)
+    dealt = few.repartition(max(shuffle_width(spark), -(-few.count() // CHUNK_ROWS)), "key").withColumn("digest", F.xxhash64("bytes"))
+    return dealt.mapInArrow(alone(run), "doc_id long, whole long, first long, past long")
+
+
 def halves(low: int, high: int) -> list[tuple[int, int]]:
     middle = (low + high) // 2
     return [(low, middle), (middle + 1, high)] if low < high else [(low, high)]
@@ -269,27 +416,10 @@ def _grouped(wide: DataFrame, length: int) -> list[tuple[DataFrame, DataFrame]]:
         wide = stored(_longer_keys(wide.join(large, "key", "left_semi").drop("digest"), length).withColumn("digest", F.xxhash64("bytes")), "passages-wide")
 
 
-def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, whole (the hash of the text) and runs [first, past): stretches of `length` bytes that also start in a document
-    with a smaller id."""
-    if length < GRAM + 2:
-        raise ValueError(f"passages of fewer than {GRAM + 2} bytes aren't looked for")
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("whole")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    # whole copies: the first of them takes part; the others lose everything
-    texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "whole", F.unhex(F.md5("text")).alias("text"), F.octet_length("text").alias("size"))
-    firsts = texts.groupBy("text").agg(F.min("doc_id").alias("first_id"))
-    ids = stored(texts.join(firsts, "text").select("doc_id", "whole", "size", (F.col("doc_id") > F.col("first_id")).alias("copy")).distinct(), "passages-ids")
-    # what is looked up has distinct keys, so it is hashed by partition: the long sides of the joins aren't sorted
-    keys = stored(_keys(docs, length), "passages-all-keys")
-    shared = stored(keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key"), "passages-keys")
-    held = keys.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("doc_id", "whole").agg(F.collect_set("key").alias("keys"))
-    held = stored(held.join(ids.filter("NOT copy").select("doc_id", "whole"), ["doc_id", "whole"], "left_semi"), "passages-held")
-    drop(keys, shared)
-    wide = _surroundings(docs.join(held, ["doc_id", "whole"]).select("doc_id", "text", "whole", "keys"), length)
-    wide = stored(wide.withColumn("digest", F.xxhash64("bytes")), "passages-wide")
-    drop(held)
-    pieces = _grouped(wide, length)
+def _lost_of_many(hot: DataFrame, length: int) -> DataFrame:
+    """As _lost(), for keys with any number of surroundings."""
+    spark = hot.sparkSession
+    pieces = _grouped(hot, length)
     every, one = pieces[0]
     for more, distinct in pieces[1:]:
         every, one = every.unionByName(more), one.unionByName(distinct)
@@ -303,11 +433,34 @@ def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # a later document with the same surroundings loses them all; the first one, what earlier ones hold of them
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("past")))
     part = F.when(F.col("doc_id") > F.col("source"), whole).otherwise(F.col("runs"))
-    gone = back.select("doc_id", "whole", "first", part.alias("part")).filter(F.size("part") > 0)
-    gone = gone.select("doc_id", "whole", F.transform("part", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["past"]).alias("past"))).alias("part"))
-    found = gone.groupBy("doc_id", "whole").agg(F.flatten(F.collect_list("part")).alias("runs"))
-    copies = ids.filter("copy").select("doc_id", "whole", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("past"))).alias("runs"))
-    return found.join(copies.select("doc_id", "whole"), ["doc_id", "whole"], "left_anti").unionAll(copies)
+    gone = back.select("doc_id", "whole", F.col("first").alias("start"), F.explode(part).alias("r"))
+    return gone.select("doc_id", "whole", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.past")).alias("past"))
+
+
+def covered_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, whole (the hash of the text) and runs [first, past): stretches of `length` bytes that also start in a document
+    with a smaller id."""
+    if length < GRAM + 2:
+        raise ValueError(f"passages of fewer than {GRAM + 2} bytes aren't looked for")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("whole")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    # whole copies: the first of them takes part; the others lose everything
+    texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "whole", F.unhex(F.md5("text")).alias("text"), F.octet_length("text").alias("size"))
+    firsts = texts.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    ids = stored(texts.join(firsts, "text").select("doc_id", "whole", "size", (F.col("doc_id") > F.col("first_id")).alias("copy")).distinct(), "passages-ids")
+    tasks = _tasks(docs.sparkSession, ids.agg(F.sum("size")).first()[0] or 0)
+    held = _listed(_shared_keys(docs, length, tasks), ["whole"], ["key"], "keys", tasks)
+    held = stored(held.join(ids.filter("NOT copy").select("doc_id", "whole"), "whole"), "passages-held")
+    wide = _surroundings(docs.join(held, ["doc_id", "whole"]).select("doc_id", "text", "whole", "keys"), length)
+    wide = stored(wide, "passages-wide")
+    drop(held)
+    many = stored(wide.groupBy("key").count().filter(F.col("count") > FOLDED * GROUP).select("key"), "passages-many")
+    if many.isEmpty():
+        lost = _lost(wide, length)
+    else:
+        hot = wide.join(many, "key", "left_semi").drop("left", "right").withColumn("digest", F.xxhash64("bytes"))
+        lost = _lost(wide.join(many, "key", "left_anti"), length).unionByName(_lost_of_many(hot, length))
+    copies = ids.filter("copy").select("doc_id", "whole", F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("past"))
+    return _listed(lost.unionByName(copies), ["doc_id", "whole"], ["first", "past"], "runs", tasks)
 
 
 def removal(size: int, first: np.ndarray, past: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
